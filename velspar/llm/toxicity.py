@@ -22,6 +22,8 @@ GRAMS = (3, 4, 5)
 #: Words whose numbers a Python worker remembers.
 REMEMBERED = 300_000
 THRESHOLD = 0.7
+#: Weight of a toxic segment in training; they are few.
+POSITIVE = 3.0
 _WORD = re.compile(r"\w+")
 
 
@@ -86,10 +88,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -40, 40))))
 
 
+def segments(n: int) -> np.ndarray:
+    """Where the segments of n words start: SEGMENT apart, and the last one at the end; a shorter text is one segment."""
+    return np.append(np.arange(0, n - SEGMENT, SEGMENT), n - SEGMENT) if n > SEGMENT else np.zeros(1, np.int64)
+
+
 def segment_means(x: np.ndarray) -> np.ndarray:
-    """Means over segments of SEGMENT words; what is left at the end is joined to the last of a longer text."""
-    starts = np.arange(0, max(1, len(x) - SEGMENT + 1), SEGMENT)
-    return np.add.reduceat(x, starts) / np.diff(np.append(starts, len(x)))
+    """The sum over the distinct words of each segment, divided by its length: a word that repeats itself doesn't outweigh the rest."""
+    starts = segments(len(x))
+    rows = np.sort(x[starts[:, None] + np.arange(min(SEGMENT, len(x)))], 1)
+    rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = np.nan
+    return np.nansum(rows, 1) / rows.shape[1]
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 7, rounds: int = 5) -> Model:
@@ -109,7 +118,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, rounds: int
     U[:, 1] = rng.normal(0, 0.1, DIM)
     gE, gU, gb = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
 
-    def step(bags: list[np.ndarray], y: np.ndarray, rate: float) -> None:
+    def step(bags: list[np.ndarray], length: np.ndarray, y: np.ndarray, rate: float) -> None:
         nonlocal U, b
         count = np.array([len(x) for x in bags])
         flat = np.concatenate(bags)
@@ -118,13 +127,14 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, rounds: int
         g, s = grams[at], sizes[used]
         word = np.add.reduceat(E[g], np.concatenate(([0], np.cumsum(s)[:-1]))) / s[:, None]
         bag = np.repeat(np.arange(len(bags)), count)
-        x = np.add.reduceat(word[place], np.concatenate(([0], np.cumsum(count)[:-1]))) / count[:, None]
+        x = np.add.reduceat(word[place], np.concatenate(([0], np.cumsum(count)[:-1]))) / length[:, None]
         z = x @ U + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         d = p.copy()
         d[np.arange(len(y)), y] -= 1
-        dx = d @ U.T / count[:, None]
+        d[y == 1] *= POSITIVE
+        dx = d @ U.T / length[:, None]
         dword = np.stack([np.bincount(place, dx[bag, j], len(used)) for j in range(DIM)], 1) / s[:, None]
         buckets, where = np.unique(g, return_inverse=True)
         dE = np.stack([np.bincount(where, np.repeat(dword[:, j], s), len(buckets)) for j in range(DIM)], 1)
@@ -138,32 +148,26 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, rounds: int
     def numbers() -> np.ndarray:
         return np.add.reduceat((E @ (U[:, 1] - U[:, 0]))[grams], limits[:-1]) / sizes
 
-    def part(doc: np.ndarray, i: int) -> np.ndarray:
-        last = max(1, (len(doc) - SEGMENT) // SEGMENT + 1) - 1
-        return doc[i * SEGMENT :] if i == last else doc[i * SEGMENT : (i + 1) * SEGMENT]
-
     for turn in range(rounds + 1):
-        bags, y = [], []
+        bags, length, y = [], [], []
         now = numbers() if turn else None
-        for doc, label in zip(docs, toxic, strict=True):
-            pieces = max(1, (len(doc) - SEGMENT) // SEGMENT + 1)
-            if turn == 0:  # whole texts first: their means say which words go with the label
-                bags.append(doc if len(doc) < 2000 else doc[np.sort(rng.choice(len(doc), 2000, replace=False))]), y.append(label)
-                continue
-            means = segment_means(now[doc])
-            if label:
-                bags.append(part(doc, int(np.argmax(means)))), y.append(1)
+        for doc, label in zip(docs, toxic.tolist(), strict=True):
+            if turn == 0:  # words of the whole text first: their means say which words go with the label
+                some = [doc if len(doc) <= 200 else rng.choice(doc, 200, replace=False)]
             else:
-                some = {int(np.argmax(means)), *rng.integers(0, pieces, 3).tolist()}
-                bags += [part(doc, i) for i in some]
-                y += [0] * len(some)
-        y = np.array(y)
-        weight = 4 if turn == 0 else 2
-        for _ in range(weight):
+                starts = segments(len(doc))
+                worst = int(np.argmax(segment_means(now[doc])))
+                chosen = {worst} if label else {worst, *rng.integers(0, len(starts), 2).tolist()}
+                some = [doc[starts[i] : starts[i] + SEGMENT] for i in sorted(chosen)]
+            bags += [np.unique(x) for x in some]
+            length += map(len, some)
+            y += [label] * len(some)
+        y, length = np.array(y), np.array(length)
+        for _ in range(2):
             order = rng.permutation(len(bags))
             for at in range(0, len(order), 256):
                 chosen = order[at : at + 256]
-                step([bags[i] for i in chosen], y[chosen], 0.3)
+                step([bags[i] for i in chosen], length[chosen], y[chosen], 0.3)
     return Model(E @ (U[:, 1] - U[:, 0]), float(b[1] - b[0]))
 
 
