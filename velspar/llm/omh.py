@@ -11,16 +11,18 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velspar.llm.common import components, mixed, shingles, words, written
 
 #: Words of a shingle, shingles of a sketch, sketches of a text. Two texts of similarity 0.8 share a sketch with
-#: probability of about 0.8**4 = 0.41 each, and miss all with (1 - 0.41)**24 = 3e-6.
-WORDS, TAKEN, SKETCHES = 5, 4, 24
+#: probability of about 0.8**6 = 0.26 each, and miss all with (1 - 0.26)**40 = 5e-6.
+WORDS, TAKEN, SKETCHES = 5, 6, 40
 SIMILARITY = 0.8
 SALTS = 64
+#: 64-bit words of a text's parity bits.
+PARITY = 8
 _LABEL = np.uint64(0xA24BAED4963EE407)
 _SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
@@ -83,15 +85,34 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return m / (total - m)
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """64 * PARITY bits, each the parity of the labelled shingles that fall on it: two texts differ in at least as many shingles as in bits."""
+    odd = np.bincount((own % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SKETCHED = "node long, keys array<long>, n int, bits array<long>"
+
+
 def _sketched(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
+    kind = pa.list_(pa.int64())
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             h, _, _, limits = words(part.column("text"))
-            found = [sketches(labelled(h[a:b])).view(np.int64) if b > a else None for a, b in zip(limits[:-1], limits[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "keys"])
+            own = [labelled(h[a:b]) for a, b in zip(limits[:-1], limits[1:], strict=True)]
+            keys = [sketches(o).view(np.int64) if len(o) else None for o in own]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(keys, kind), pa.array([len(o) for o in own], pa.int32()), pa.array([parity(o) for o in own], kind)], names=["node", "keys", "n", "bits"])
+
+
+def _possible(x: str, y: str) -> Column:
+    """Whether two texts can be similar at all: m aligned shingles need at least 0.8 / 1.8 of both lengths together, so what is left over, and so
+    the parity bits in which they differ, is at most 0.2 / 1.8 of them."""
+    left = (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    differ = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(PARITY)), F.lit(0))
+    return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= left) & (differ <= left)
 
 
 def _sequences(batches: Iterator) -> Iterator:
@@ -150,7 +171,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # a node is a text: 63 bits of its SHA-256 name it
     node = F.conv(F.substring("__blob", 1, 15), 16, 10).cast("long")
     named = base.select("doc_id", "text", node.alias("node"))
-    keyed = written(named.select("node", "text").mapInArrow(_sketched, "node long, keys array<long>").where("keys is not null").groupBy("node").agg(F.first("keys").alias("keys")), "omh-sketches")
+    keyed = written(named.select("node", "text").mapInArrow(_sketched, SKETCHED).where("keys is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", "n", "bits")]), "omh-sketches")
     buckets = keyed.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("key", "least")
     members = written(buckets.join(shared, "key"), "omh-members")
@@ -163,9 +184,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # what the first pass leaves: pairs of a bucket in different classes
     colour = members.join(classes, members["node"] == classes["id"], "left").select("key", "node", F.coalesce("component", "node").alias("colour"))
     mixed_keys = colour.groupBy("key").agg(F.min("colour").alias("low"), F.max("colour").alias("high")).where("low < high").select("key")
-    left = written(colour.join(mixed_keys, "key", "left_semi"), "omh-left")
+    left = written(colour.join(mixed_keys, "key", "left_semi").join(keyed.select("node", "n", "bits"), "node"), "omh-left")
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.colour") != F.col("y.colour")))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.colour") != F.col("y.colour")) & _possible("x", "y"))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     more = _links(written(rest, "omh-rest"), named, bearers).where(F.col("similarity") >= SIMILARITY).select("a", "b")
     classes = components(links.unionByName(more), "omh-classes")
