@@ -61,8 +61,9 @@ def dedup_lines(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     # first pass on fingerprints alone: most lines occur once and go no further
     marks = windows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     met = windows.join(marks, "mark", "left_semi")
-    first = met.groupBy("mark", "run").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "run", "first")
-    later = met.join(first, ["mark", "run"]).where(~here.eqNullSafe(F.col("first")))
+    # the run has its mark within it, so its hash alone tells windows apart, and a very common mark is dealt over many tasks
+    first = met.groupBy("run").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
+    later = met.join(first, "run").where(~here.eqNullSafe(F.col("first")))
     gone = later.select("doc_id", "part", F.explode("at").alias("at")).groupBy("doc_id", "part").agg(F.collect_set("at").alias("gone"))
     d, g = base.alias("d"), gone.alias("g")
     joined = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & F.col("d.part").eqNullSafe(F.col("g.part")), "left")
