@@ -55,8 +55,8 @@ def cuts(places: list[int], costs: list[float], most: int = LENGTH) -> list[int]
         left = places[j] - places[i]
         if left >= most:
             break
-        if not padding(left, most) and best[i] <= best[j]:
-            best[j], back[j] = best[i], i
+        if not padding(left, most) and best[i] + costs[j] <= best[j]:
+            best[j], back[j] = best[i] + costs[j], i
     out = []
     while j:
         out.append(places[j])

@@ -85,7 +85,7 @@ class KDTree:
 
 def _matrix(rows) -> np.ndarray:
     """Floats while all sums stay exact in them, else Python's integers."""
-    lists = [list(r) for r in rows]
+    lists = [np.asarray(r).tolist() for r in rows]
     most = max((abs(x) for r in lists for x in r), default=0)
     wide = len(lists[0]) if lists else 0
     return np.array(lists, dtype=np.float64 if most * most * max(1, wide) < 2**53 else object).reshape(len(lists), wide)
