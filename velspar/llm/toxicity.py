@@ -8,22 +8,22 @@ short one. Since the softmax is linear, a trained word is one number, so scoring
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The classifier is fitted on at most so many labelled rows, those with the smallest hash of doc_id.
-MAX_LABELLED = 8000
+#: The classifier is fitted on at most so many toxic and clean labelled rows, those with the smallest hash of doc_id.
+MAX_TOXIC, MAX_CLEAN = 2000, 4000
 BUCKETS, DIM, SEGMENT = 1 << 17, 8, 8
 GRAMS = (3, 4, 5)
 #: Words whose numbers a Python worker remembers.
 REMEMBERED = 300_000
 THRESHOLD = 0.7
 #: Weight of a toxic segment in training; they are few.
-POSITIVE = 3.0
+POSITIVE = 2.0
 _WORD = re.compile(r"\w+")
 
 
@@ -101,18 +101,27 @@ def segment_means(x: np.ndarray) -> np.ndarray:
     return np.nansum(rows, 1) / rows.shape[1]
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7, rounds: int = 5) -> Model:
-    """Fits embeddings and softmax together (AdaGrad). In each round a toxic text teaches by the segment that scores worst so far, a clean one by its worst and by others drawn at random."""
+def train(rows: Iterable[tuple[int, str | None, int]], seed: int = 7, rounds: int = 6) -> Model:
+    """A model of rows (doc_id, text, label), which are read once and held as numbers of words.
+
+    Fits embeddings and softmax together (AdaGrad). In each round a toxic text teaches by the segment that scores worst so far, a clean one by its worst and by others drawn at random.
+    """
     rng = np.random.default_rng(seed)
-    pairs = [(w, y) for w, y in ((split_words(t), int(y)) for t, y in zip(texts, labels, strict=True)) if w]
-    if not pairs or len({y for _, y in pairs}) < 2:
-        share = sum(labels) / len(labels) if labels else 0.0
-        return Model(np.zeros(BUCKETS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w]) for w, _ in pairs]
-    toxic = np.array([y for _, y in pairs])
-    grams, limits = word_grams(list(vocabulary))
+    numbered = sorted(((i, int(y > 0), np.array([vocabulary.setdefault(x, len(vocabulary)) for x in split_words(t)], np.int32)) for i, t, y in rows), key=lambda r: (r[0], len(r[2])))
+    share = sum(y for _, y, _ in numbered) / len(numbered) if numbered else 0.0
+    docs, toxic = [d for _, _, d in numbered if len(d)], np.array([y for _, y, d in numbered if len(d)], np.int64)
+    if len(set(toxic.tolist())) < 2:
+        return Model(np.zeros(BUCKETS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    names, parts, limits = list(vocabulary), [], [np.zeros(1, np.int64)]
+    del vocabulary, numbered
+    for at in range(0, len(names), 10_000):  # a few words at a time: this runs on the driver
+        own, ends = word_grams(names[at : at + 10_000])
+        parts.append(own.astype(np.int32))
+        limits.append(ends[1:] + limits[-1][-1])
+    grams, limits = np.concatenate(parts), np.concatenate(limits)
     sizes = np.diff(limits)
+    del names, parts
     E = rng.normal(0, 0.1, (BUCKETS, DIM))
     U, b = np.zeros((DIM, 2)), np.zeros(2)
     U[:, 1] = rng.normal(0, 0.1, DIM)
@@ -146,7 +155,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, rounds: int
         b = b - rate * db / np.sqrt(gb)
 
     def numbers() -> np.ndarray:
-        return np.add.reduceat((E @ (U[:, 1] - U[:, 0]))[grams], limits[:-1]) / sizes
+        flat = (E @ (U[:, 1] - U[:, 0])).astype(np.float32)
+        cuts = range(0, len(sizes), 20_000)
+        return np.concatenate([np.add.reduceat(flat[grams[limits[a] : limits[min(a + 20_000, len(sizes))]]], limits[a : min(a + 20_000, len(sizes))] - limits[a]) for a in cuts]) / sizes
 
     for turn in range(rounds + 1):
         bags, length, y = [], [], []
@@ -171,19 +182,17 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, rounds: int
     return Model(E @ (U[:, 1] - U[:, 0]), float(b[1] - b[0]))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, toxic): labelled rows that aren't held out, at most `most` of them by a hash of doc_id. Held out: crc32(doc_id as text) mod 3 is 1."""
-    fit = (
-        labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    )
-    return documents.select("doc_id", "text").join(F.broadcast(fit), "doc_id")  # at most `most` pairs of numbers
+def training_rows(documents: DataFrame, labels: DataFrame, toxic: int = MAX_TOXIC, clean: int = MAX_CLEAN) -> DataFrame:
+    """(doc_id, text, toxic): labelled rows that aren't held out, at most so many toxic and clean ones, by a hash of doc_id. Held out: crc32(doc_id as text) mod 3 is 1."""
+    known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    fit = known.where("toxic = 1").limit(toxic).unionByName(known.where("toxic = 0").limit(clean))
+    return documents.select("doc_id", "text").join(F.broadcast(fit), "doc_id")  # at most toxic + clean pairs of numbers
 
 
-def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
+def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """A model from the bounded sample of training_rows; without any usable label it scores by the labels' share alone."""
-    rows = sorted((r.doc_id, r.text or "", r.toxic) for r in training_rows(documents, labels, most).toLocalIterator())[: 2 * most]
-    return train([t for _, t, _ in rows], [int(y > 0) for _, _, y in rows])
+    return train((r.doc_id, r.text, r.toxic) for r in training_rows(documents, labels).toLocalIterator())
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
