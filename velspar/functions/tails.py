@@ -46,4 +46,4 @@ def _two_sided_t(t: pd.Series, dof: pd.Series) -> pd.Series:
 
 def two_sided_t(t: Column, dof: Column) -> Column:
     """The two-sided p-value of Student's t; NaN where t isn't finite."""
-    return _two_sided_t(t.cast("double"), dof.cast("double"))
+    return F.coalesce(_two_sided_t(t.cast("double"), dof.cast("double")), F.lit(float("nan")))  # pandas gives NaN back as null
