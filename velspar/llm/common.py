@@ -20,9 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
+#: Files of a small table for each core.
+FILES = 3
+
+
+def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors. A small one gets a few files for each core,
+    however many shuffle partitions there are."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if small:
+        df = df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -30,30 +37,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, component) for every id of edges (a, b); component is the smallest id that links reach.
 
-    Alternates large-star and small-star steps until the edges stand still. Each step is a pre-aggregated minimum and
-    a join, so no neighbourhood is gathered in one place. Null ends and self links count for nothing.
+    Alternates large-star and small-star steps until every id points at its component's least one alone. Each step is a
+    pre-aggregated minimum and a join, so no neighbourhood is gathered in one place. Null ends and self links count for nothing.
     """
-    star = written(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label,
-    )
-    said = None
-    while True:
+    star = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    star = written(star.distinct(), label, small=True)
+    while not _flat(star):
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
-        now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == said:
-            break
-        said = now
+        star = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label, small=True)
     return star.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         star.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
 
 
+def _flat(star: DataFrame) -> bool:
+    """Whether no id has two targets or is both a source and a target."""
+    ends = star.select(F.col("u").alias("i"), F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(star.select(F.col("v").alias("i"), F.lit(0).alias("s"), F.lit(1).alias("t")))
+    return ends.groupBy("i").agg(F.sum("s").alias("s"), F.max("t").alias("t")).where("s > 1 or (s = 1 and t = 1)").isEmpty()
+
+
 # --- hashing of words, straight from Arrow's buffers -------------------------------------------------------------
 
 #: Bytes hashed at a time; bounds the working arrays whatever the length of a text.

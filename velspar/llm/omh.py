@@ -177,24 +177,31 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     members = written(buckets.join(shared, "key"), "omh-members")
     before = F.lag("node").over(Window.partitionBy("key", F.pmod("node", F.lit(SALTS))).orderBy("node"))  # salted: a bucket may hold a third of all texts
     near = members.select(F.col("least").alias("a"), F.col("node").alias("b")).union(members.select(before.alias("a"), "node")).where("a < b").distinct()
-    near = written(near, "omh-pairs")
-    bearers = written(named.groupBy("node").agg(F.min("doc_id").alias("bearer")), "omh-bearers")
+    near = written(near, "omh-pairs", small=True)
+    bearers = written(named.groupBy("node").agg(F.min("doc_id").alias("bearer")), "omh-bearers", small=True)
     links = _links(near, named, bearers).where(F.col("similarity") >= SIMILARITY).select("a", "b")
-    classes = written(components(links, "omh-classes"), "omh-first")
+    classes = written(components(links, "omh-classes"), "omh-first", small=True)
     # what the first pass leaves: pairs of a bucket in different classes
     colour = members.join(classes, members["node"] == classes["id"], "left").select("key", "node", F.coalesce("component", "node").alias("colour"))
     mixed_keys = colour.groupBy("key").agg(F.min("colour").alias("low"), F.max("colour").alias("high")).where("low < high").select("key")
-    left = written(colour.join(mixed_keys, "key", "left_semi").join(keyed.select("node", "n", "bits"), "node"), "omh-left")
+    left = written(colour.join(mixed_keys, "key", "left_semi").join(keyed.select("node", "n", "bits"), "node"), "omh-left", small=True)
     x, y = left.alias("x"), left.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.colour") != F.col("y.colour")) & _possible("x", "y"))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    more = _links(written(rest, "omh-rest"), named, bearers).where(F.col("similarity") >= SIMILARITY).select("a", "b")
-    classes = components(links.unionByName(more), "omh-classes")
+    rest = written(rest, "omh-rest", small=True)
+    if not rest.isEmpty():
+        more = _links(rest, named, bearers).where(F.col("similarity") >= SIMILARITY).select("a", "b")
+        for end in ("a", "b"):  # links between classes
+            own = classes.select(F.col("id").alias(end), F.col("component").alias("__c"))
+            more = more.join(own, end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
+        joined = components(more, "omh-joined").withColumnsRenamed({"id": "component", "component": "last"})
+        grown = classes.join(joined, "component", "left").select("id", F.coalesce("last", "component").alias("component"))
+        classes = written(grown.unionByName(joined.select(F.col("component").alias("id"), F.col("last").alias("component"))).distinct(), "omh-classes", small=True)
     ids = base.select("doc_id", node.alias("node"))
     coloured = ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("lacks"))
     coloured = coloured.join(classes, coloured["node"] == classes["id"], "left").select("node", "least", "lacks", F.coalesce("component", "node").alias("colour"))
     named_class = coloured.groupBy("colour").agg(F.min("least").alias("class_id"), F.max("lacks").alias("lacks"))
-    lookup = written(coloured.select("node", "colour").join(named_class, "colour").select(F.col("node").alias("__node"), "class_id", "lacks"), "omh-lookup")
+    lookup = written(coloured.select("node", "colour").join(named_class, "colour").select(F.col("node").alias("__node"), "class_id", "lacks"), "omh-lookup", small=True)
     out = base.withColumn("__node", node).join(lookup, "__node")
     keeps = F.when(F.col("lacks"), F.col("doc_id").isNull()).otherwise(F.col("doc_id") == F.col("class_id"))
     return out.withColumn("kept", keeps).drop("__blob", "__node", "lacks")
