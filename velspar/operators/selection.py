@@ -10,13 +10,12 @@ def path_metrics(pred: DataFrame) -> DataFrame:
     """(path, correlation, correlation_squared, mse, slope, r2) of predictions (path, s, yhat, y): r2 = 1 - SSE / SST; null where a side is constant."""
     x, y = F.col("yhat"), F.col("y")
     got = pred.groupBy("path").agg(
-        F.corr("yhat", "y").alias("correlation"), F.avg((y - x) * (y - x)).alias("mse"), F.regr_slope("y", "yhat").alias("slope"),
-        F.sum((y - x) * (y - x)).alias("sse"), F.var_pop("y").alias("vy"), F.var_pop("yhat").alias("vx"), F.count("*").alias("n"),
-    )
-    some = (F.col("vx") > 0) & (F.col("vy") > 0)
+        F.covar_pop("yhat", "y").alias("c"), F.avg((y - x) * (y - x)).alias("mse"), F.sum((y - x) * (y - x)).alias("sse"), F.var_pop("y").alias("vy"), F.var_pop("yhat").alias("vx"), F.count("*").alias("n")
+    )
+    corr = F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.sqrt(F.col("vx") * F.col("vy")))
     return got.select(
-        "path", F.when(some, F.col("correlation")).alias("correlation"), F.when(some, F.col("correlation") * F.col("correlation")).alias("correlation_squared"),
-        "mse", F.when(F.col("vx") > 0, F.col("slope")).alias("slope"), F.when(F.col("vy") > 0, 1 - F.col("sse") / (F.col("vy") * F.col("n"))).alias("r2"),
+        "path", corr.alias("correlation"), (corr * corr).alias("correlation_squared"), "mse",
+        F.when(F.col("vx") > 0, F.col("c") / F.col("vx")).alias("slope"), F.when(F.col("vy") > 0, 1 - F.col("sse") / (F.col("vy") * F.col("n"))).alias("r2"),
     )
 
 
