@@ -156,19 +156,40 @@ def _links(pairs: DataFrame, texts: DataFrame, bearers: DataFrame) -> DataFrame:
     return written(both.select("a", "b", "seq_a", "seq_b").mapInArrow(_aligned, "a long, b long, similarity double"), "omh-links")
 
 
+def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members (key, node) with their colour, of the buckets that hold more than one."""
+    coloured = members.join(classes, members["node"] == classes["id"], "left").select("key", "node", F.coalesce("component", "node").alias("colour"))
+    several = coloured.groupBy("key").agg(F.min("colour").alias("low"), F.max("colour").alias("high")).where("low < high").select("key")
+    return coloured.join(several, "key", "left_semi")
+
+
+def _grown(classes: DataFrame, pairs: DataFrame, texts: DataFrame, bearers: DataFrame) -> DataFrame:
+    """classes (id, component) after the similar ones among pairs have joined theirs: only the classes' representatives are linked anew."""
+    if pairs.isEmpty():
+        return classes
+    more = _links(pairs, texts, bearers).where(F.col("similarity") >= SIMILARITY).select("a", "b")
+    for end in ("a", "b"):
+        own = classes.select(F.col("id").alias(end), F.col("component").alias("__c"))
+        more = more.join(own, end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
+    joined = components(more, "omh-joined").withColumnsRenamed({"id": "component", "component": "last"})
+    grown = classes.join(joined, "component", "left").select("id", F.coalesce("last", "component").alias("component"))
+    return written(grown.unionByName(joined.select(F.col("component").alias("id"), F.col("last").alias("component"))).distinct(), "omh-classes", small=True)
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """documents with class_id, the least doc_id of the texts that links reach, and kept, true on one row of each class.
 
     Links join texts whose similarity, the share of five-word shingles that align in order, is 0.8 or more. Equal texts are one node
-    from the start, by their SHA-256. In each bucket of a sketch every node is aligned with the least one and with the
-    one before it; then all pairs of a bucket that are still in different classes, and only those, are aligned too, so
-    buckets of any size lose no link and no bucket is expanded into all pairs of one class. The row kept is that of the least doc_id; a null
+    from the start, by 60 bits of their SHA-256. In each bucket of a sketch every node is aligned with the least one, with the
+    one before it, and, if the bucket still holds several classes, with the one that has most links; then the pairs that are still in
+    different classes are aligned too, unless their lengths or the parity bits of their shingles rule out that they are similar. So
+    buckets of any size lose no link, and none is expanded into all its pairs. The row kept is that of the least doc_id; a null
     doc_id comes first and its class_id is null if alone. Texts without words (null, empty, blank) are one class if equal,
     null counting as empty. Texts under five words are one shingle. Rows that repeat a doc_id and its text are kept or not
     together; an empty table gives an empty result. Columns named class_id or kept are replaced, others stay.
     """
     base = documents.drop("class_id", "kept").withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    # a node is a text: 63 bits of its SHA-256 name it
+    # a node is a text: 60 bits of its SHA-256 name it
     node = F.conv(F.substring("__blob", 1, 15), 16, 10).cast("long")
     named = base.select("doc_id", "text", node.alias("node"))
     keyed = written(named.select("node", "text").mapInArrow(_sketched, SKETCHED).where("keys is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", "n", "bits")]), "omh-sketches")
@@ -181,22 +202,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     bearers = written(named.groupBy("node").agg(F.min("doc_id").alias("bearer")), "omh-bearers", small=True)
     links = _links(near, named, bearers).where(F.col("similarity") >= SIMILARITY).select("a", "b")
     classes = written(components(links, "omh-classes"), "omh-first", small=True)
-    # what the first pass leaves: pairs of a bucket in different classes
-    colour = members.join(classes, members["node"] == classes["id"], "left").select("key", "node", F.coalesce("component", "node").alias("colour"))
-    mixed_keys = colour.groupBy("key").agg(F.min("colour").alias("low"), F.max("colour").alias("high")).where("low < high").select("key")
-    left = written(colour.join(mixed_keys, "key", "left_semi").join(keyed.select("node", "n", "bits"), "node"), "omh-left", small=True)
+    # in buckets that still hold several classes all meet the node with most links: variants of one text are nearer to it than to each other
+    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    left = _mixed(members.select("key", "node"), classes).join(degree, "node", "left")
+    hubs = left.groupBy("key").agg(F.max_by(F.struct("node", "colour"), F.struct(F.coalesce("degree", F.lit(0)), -F.col("node"))).alias("hub"))
+    met = left.join(hubs, "key").where(F.col("colour") != F.col("hub.colour"))
+    met = written(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), "omh-hubs", small=True)
+    classes = _grown(classes, met, named, bearers)
+    # what is left: pairs of a bucket in different classes
+    left = written(_mixed(members.select("key", "node"), classes).join(keyed.select("node", "n", "bits"), "node"), "omh-left", small=True)
     x, y = left.alias("x"), left.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.colour") != F.col("y.colour")) & _possible("x", "y"))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    rest = written(rest, "omh-rest", small=True)
-    if not rest.isEmpty():
-        more = _links(rest, named, bearers).where(F.col("similarity") >= SIMILARITY).select("a", "b")
-        for end in ("a", "b"):  # links between classes
-            own = classes.select(F.col("id").alias(end), F.col("component").alias("__c"))
-            more = more.join(own, end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
-        joined = components(more, "omh-joined").withColumnsRenamed({"id": "component", "component": "last"})
-        grown = classes.join(joined, "component", "left").select("id", F.coalesce("last", "component").alias("component"))
-        classes = written(grown.unionByName(joined.select(F.col("component").alias("id"), F.col("last").alias("component"))).distinct(), "omh-classes", small=True)
+    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(near.unionByName(met), ["a", "b"], "left_anti")
+    classes = _grown(classes, written(rest, "omh-rest", small=True), named, bearers)
     ids = base.select("doc_id", node.alias("node"))
     coloured = ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("lacks"))
     coloured = coloured.join(classes, coloured["node"] == classes["id"], "left").select("node", "least", "lacks", F.coalesce("component", "node").alias("colour"))
