@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velspar.operators import align, gwas, ld, linops, selection, solvers, stats
+from velspar.operators import effects as after
 from velspar.plans.proxy import covar, effects, geno, pheno, sql, table, variants
 from velspar.sources.shared import written
 
@@ -506,3 +507,12 @@ def lasso_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     betas = solvers.lasso_path(gram, q, lams)
     rows = [(i, float(lam), int(v), float(betas[i, k])) for i, lam in enumerate(lams) for v, (k, _) in at.items() if betas[i, k]]
     return spark.createDataFrame(rows, "path int, lam double, v long, beta double")
+
+
+@query()
+def blup_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(v, comp, b): effects of all variants given H = 0.5 I + 0.1 K_0 + 0.2 K_1 + 0.3 K_2."""
+    g, st, comps = _system(spark, sf_dir)
+    theta = F.broadcast(spark.createDataFrame([(c, 0.1 * (c + 1)) for c in range(3)], "comp int, theta double"))
+    y = written(response(spark, sf_dir), "response")
+    return after.estimate(lambda t: linops.h(g, st, comps, theta, 0.5, t), g, st, comps, theta, y, written(gwas.basis(y, []), "basis"))["variants"]
