@@ -21,6 +21,8 @@ from velspar.llm.common import components, mixed, shingles, words, written
 WORDS, TAKEN, SKETCHES = 5, 6, 40
 SIMILARITY = 0.8
 SALTS = 64
+#: Shingles that are ordered at a time, over several sketches if a text is short.
+TOGETHER = 1 << 20
 #: 64-bit words of a text's parity bits.
 PARITY = 8
 _LABEL = np.uint64(0xA24BAED4963EE407)
@@ -43,15 +45,16 @@ def sketches(own: np.ndarray) -> np.ndarray:
     """SKETCHES keys: of each order of the labelled shingles the TAKEN least, hashed in text order."""
     taken = min(TAKEN, len(own))
     keys = np.empty(len(_SEEDS), np.uint64)
-    for at in range(0, len(_SEEDS), 8):
-        seeds = _SEEDS[at : at + 8]
+    step = max(1, min(8, TOGETHER // max(1, len(own))))
+    for at in range(0, len(_SEEDS), step):
+        seeds = _SEEDS[at : at + step]
         v = (own[None, :] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15)
         v ^= v >> np.uint64(32)
         places = np.sort(np.argpartition(v, taken - 1, axis=1)[:, :taken], axis=1)
         key = seeds.copy()
         for j in range(taken):
             key = mixed(key * np.uint64(31) + own[places[:, j]])
-        keys[at : at + 8] = key
+        keys[at : at + step] = key
     return keys
 
 

@@ -24,13 +24,23 @@ REMEMBERED = 300_000
 THRESHOLD = 0.7
 #: Weight of a toxic segment in training; they are few.
 POSITIVE = 2.0
-_WORD = re.compile(r"\w+")
+_WORD, _GAP = re.compile(r"\w+"), re.compile(r"\s")
 
 
 def split_words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def parts(text: str, size: int = 500_000) -> Iterator[str]:
+    """A long text in parts, cut at white space, so that the words of one part fit in memory; a segment doesn't reach over such a cut."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + size)
+        to = gap.start() if gap else len(text)
+        yield text[at:to]
+        at = to
+
+
 def word_grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of <word>, and per word the start of its own; each word has its whole as one gram too."""
     if not vocabulary:
@@ -80,11 +90,13 @@ class Model:
 
     def score(self, text: str | None) -> float:
         """The softmax of the worst segment; a text without words has the bias alone."""
-        found = split_words(text)
-        worst = 0.0
-        if found:
-            # in parts that the memory of words can hold
-            worst = max(float(segment_means(self.word_scores(found[a : a + SEGMENT * 10_000])).max()) for a in range(0, len(found), SEGMENT * 10_000))
+        worst = None
+        for part in parts(text or ""):
+            found = split_words(part)
+            if found:
+                top = float(segment_means(self.word_scores(found)).max())
+                worst = top if worst is None else max(worst, top)
+        worst = worst or 0.0
         return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -40, 40))))
 
 
