@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velspar.operators import align, gwas, ld, linops, selection, solvers, stats
+from velspar.operators import align, gwas, ld, linops, selection, solvers, sparse, stats
 from velspar.operators import effects as after
 from velspar.plans.proxy import covar, effects, geno, pheno, sql, table, variants
 from velspar.sources.shared import written
@@ -516,3 +516,13 @@ def blup_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     theta = F.broadcast(spark.createDataFrame([(c, 0.1 * (c + 1)) for c in range(3)], "comp int, theta double"))
     y = written(response(spark, sf_dir), "response")
     return after.estimate(lambda t: linops.h(g, st, comps, theta, 0.5, t), g, st, comps, theta, y, written(gwas.basis(y, []), "basis"))["variants"]
+
+
+@query()
+def certified_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, lam, v, b): a lasso path over all variants, screened and certified."""
+    g, st, _ = _system(spark, sf_dir)
+    y = written(response(spark, sf_dir), "response")
+    top = linops.zt(g, st, vector(spark, sf_dir)).agg(F.max(F.abs("b")).alias("top")).first().top
+    lams = np.array([r.lam for r in selection.lambda_grid(spark, top, 0.2, 12).orderBy("path").collect()])
+    return sparse.certified_path(g, st, y, lams, first=20, block=6)[0]
