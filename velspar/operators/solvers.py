@@ -25,15 +25,16 @@ def _scalars(spark, **columns: dict) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(k, *[float(c.get(k, 0.0)) for c in columns.values()]) for k in keys], "r long, " + ", ".join(f"{n} double" for n in columns)))  # a row per right-hand side
 
 
-def pcg(product: Operator, b: DataFrame, diagonal: DataFrame | None = None, tol: float = 1e-8, maxiter: int = 50) -> tuple[DataFrame, dict, int]:
+def pcg(product: Operator, b: DataFrame, diagonal: DataFrame | None = None, tol: float = 1e-8, maxiter: int = 50, precond: Operator | None = None) -> tuple[DataFrame, dict, int]:
     """(x, true relative residuals, iterations) of product(x) = b for all right-hand sides of b (s, r, x) at once.
 
-    Preconditioned by a diagonal (s, d) if there is one. Sides that have converged stand still; a side of zeros gives zeros. The
+    Preconditioned by a diagonal (s, d) or a linear map if there is one. Sides that have converged stand still; a side of zeros gives zeros. The
     residual that is returned is computed anew from x. Curvature that isn't positive is an error.
     """
     spark = b.sparkSession
     norm = dots(b, b)
-    inverse = (lambda t: t.join(diagonal, "s").select("s", "r", (F.col("x") / F.col("d")).alias("x"))) if diagonal is not None else (lambda t: t)
+    scaled = lambda t: t if diagonal is None else t.join(diagonal, "s").select("s", "r", (F.col("x") / F.col("d")).alias("x"))
+    inverse = precond or scaled
     start = b.select("s", "r", F.lit(0.0).alias("u"), F.col("x").alias("res"))
     state = written(start.join(inverse(b).select("s", "r", F.col("x").alias("p")), ["s", "r"]), "pcg")
     side = lambda c: state.select("s", "r", F.col(c).alias("x"))
