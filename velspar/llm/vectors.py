@@ -21,10 +21,11 @@ COSINE = 0.93
 SHARD, BRANCH, SAMPLE, BRANCHES, DEPTH = 8000, 2000, 8000, 256, 6
 #: Branches that a vector may belong to in a split; rows that one task assigns.
 OVERLAP, BLOCK = 3, 20_000
-#: Neighbours kept by pruning, its slack, and the beam of a search.
-DEGREE, ALPHA, BEAM = 24, 1.2, 16
-#: Queries of a shard whose partners are found by brute force too; a lower share found makes the beam twice as wide.
-AUDIT, RECALL = 64, 0.99
+#: Neighbours kept by pruning, its slack, and the nearest ones that link back to a vector, so that none is out of reach.
+DEGREE, ALPHA, BACK = 24, 1.2, 8
+#: The beams of a search, and the queries of a shard whose partners are found by brute force too. If the first beam misses any of
+#: them the next is tried; a shard that all beams fail is compared in blocks.
+BEAMS, AUDIT = (16, 32, 64), 64
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -123,15 +124,18 @@ def _graph(rows):
     import pandas as pd
 
     x, ids = _unit(rows["v"]), rows["node"].to_numpy()
-    out = []
+    out, back = [], []
     take = min(4 * DEGREE, len(x) - 1)
     for at in range(0, len(x), 512):
         close = x[at : at + 512] @ x.T
         close[np.arange(len(close)), np.arange(at, at + len(close))] = -np.inf
         best = np.argpartition(-close, take - 1, axis=1)[:, :take] if take else np.zeros((len(close), 0), int)
         for i in range(len(close)):
-            out.append(ids[prune(x, at + i, best[i], close[i, best[i]])].tolist() if take else [])
-    return pd.DataFrame({"node": ids, "near": out})
+            out.append(prune(x, at + i, best[i], close[i, best[i]]) if take else [])
+            back += [(int(j), at + i) for j in best[i][np.argsort(-close[i, best[i]], kind="stable")[:BACK]]]
+    for j, i in back:
+        out[j].append(i)
+    return pd.DataFrame({"node": ids, "near": [ids[sorted(set(o))].tolist() for o in out]})
 
 
 def search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, medoid: int, beam: int, least: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
@@ -212,13 +216,16 @@ def _found(rows):
         lists[i, : len(at)] = at
     medoid = int(np.argmax(x @ x.mean(0)))
     asked = np.flatnonzero(home)
-    beam = BEAM
     audited = asked[np.unique(np.linspace(0, len(asked) - 1, AUDIT).astype(int))] if len(asked) else asked
     there = sum(int((x @ x[i] >= COSINE).sum()) for i in audited)
-    while beam < len(x) and len(search(x, lists, audited, medoid, beam)[0]) < RECALL * there:
-        beam *= 2
-    qs, ns = search(x, lists, asked, medoid, beam)
-    qs = asked[qs]
+    for beam in BEAMS:
+        if len(search(x, lists, audited, medoid, beam)[0]) >= there:
+            qs, ns = search(x, lists, asked, medoid, beam)
+            qs = asked[qs]
+            break
+    else:
+        pairs = [np.nonzero(x[asked[a : a + 512]] @ x.T >= COSINE - 1e-9) for a in range(0, len(asked), 512)]
+        qs, ns = (np.concatenate([asked[p[0] + 512 * k] if not j else p[1] for k, p in enumerate(pairs)]) for j in (0, 1))
     exact = (qs != ns) & ((x[qs] * x[ns]).sum(1) >= COSINE)  # verified in doubles
     qs, ns = qs[exact], ns[exact]
     links = np.bincount(qs, copies[ns], len(x)).astype(np.int64) + copies - 1
