@@ -134,8 +134,11 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
         rows.append((i, [float(x) for x in np.float32(v)], i % 4 // 2 if i % 17 else None))
     rows += [(300, rows[1][1], rows[1][2]), (301, rows[1][1], rows[1][2]), (302, None, 1), (303, [0.0] * 16, 1), (304, [float("nan")] * 16, 1), (305, [1.0, None] * 8, 1), (306, [], 1), (307, [1.0], 1), (307, [1.0], 1), (308, [-0.0, 1e300], 1), (309, [0.0, 1e300], 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, kept string")
-    for small in (False, True):
+    for small in (False, None, True):
+        if small is None:  # a shard that no beam serves is compared in blocks
+            monkeypatch.setattr(vectors, "BEAMS", ())
         if small:  # several levels of overlapping shards
+            monkeypatch.setattr(vectors, "BEAMS", (16, 32))
             for name, value in (("SHARD", 40), ("BRANCH", 15), ("SAMPLE", 100), ("BLOCK", 50)):
                 monkeypatch.setattr(vectors, name, value)
         got = {}
