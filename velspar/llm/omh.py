@@ -174,7 +174,7 @@ def _grown(classes: DataFrame, pairs: DataFrame, texts: DataFrame, bearers: Data
     for end in ("a", "b"):
         own = classes.select(F.col("id").alias(end), F.col("component").alias("__c"))
         more = more.join(own, end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
-    joined = components(more, "omh-joined").withColumnsRenamed({"id": "component", "component": "last"})
+    joined = components(more, "omh-joined").select(F.col("id").alias("component"), F.col("component").alias("last"))
     grown = classes.join(joined, "component", "left").select("id", F.coalesce("last", "component").alias("component"))
     return written(grown.unionByName(joined.select(F.col("component").alias("id"), F.col("last").alias("component"))).distinct(), "omh-classes", small=True)
 
