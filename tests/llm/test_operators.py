@@ -319,6 +319,26 @@ def test_near_duplicates_against_all_pairs(spark):
     assert omh.near_duplicates(docs(spark, {})).count() == 0
 
 
+def test_variants_that_only_their_source_links(spark):
+    """Two variants are less alike than 0.8, each and the source are more; a third kind is like none."""
+    w = [f"{x}{i}" for i, x in enumerate(prose(400, 77).split())]
+    rows = [(500, " ".join(w))]
+    for i in range(30):
+        v = list(w)
+        for k in range(7):
+            v[(i * 13 + k * 57 + 5) % 400] = f"new{i}x{k}"
+        rows.append((i, " ".join(v)))
+    for i in range(6):
+        v = list(w)
+        for k in range(14):
+            v[(i * 17 + k * 28 + 3) % 400] = f"far{i}x{k}"
+        rows.append((600 + i, " ".join(v)))
+    got = {x.doc_id: x.class_id for x in omh.near_duplicates(docs(spark, rows)).collect()}
+    assert aligned_similarity(rows[0][1], rows[1][1]) >= 0.8 > aligned_similarity(rows[1][1], rows[2][1])
+    assert aligned_similarity(rows[0][1], rows[-1][1]) < 0.8
+    assert got == {i: i if i >= 600 else 0 for i, _ in rows}
+
+
 def test_banded_alignment_equals_the_whole_table():
     for e in (0, 1, 3, 8, 20):
         a, b = prose(90, 1), edited(prose(90, 1), e, e)
