@@ -125,7 +125,7 @@ def _sequences(batches: Iterator) -> Iterator:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             h, _, _, limits = words(part.column("text"))
-            # 32 bits tell a text's shingles apart well enough for an alignment; equal ones get the next free value
+            # 32 bits tell a text's shingles apart well enough for an alignment; of equal ones the first stays
             found = [_unique32(labelled(h[a:b])).tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], names=["node", "seq"])
 
@@ -213,10 +213,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     met = written(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), "omh-hubs", small=True)
     classes = _grown(classes, met, named, bearers)
     # what is left: pairs of a bucket in different classes
-    left = written(_mixed(members.select("key", "node"), classes).join(keyed.select("node", "n", "bits"), "node"), "omh-left", small=True)
+    left = written(_mixed(members.select("key", "node"), classes).join(keyed, "node"), "omh-left", small=True)
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.colour") != F.col("y.colour")) & _possible("x", "y"))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(near.unionByName(met), ["a", "b"], "left_anti")
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair that shares several sketches comes out of one bucket
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.colour") != F.col("y.colour")) & _possible("x", "y") & once)
+    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(near.unionByName(met), ["a", "b"], "left_anti")
     classes = _grown(classes, written(rest, "omh-rest", small=True), named, bearers)
     ids = base.select("doc_id", node.alias("node"))
     coloured = ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("lacks"))
