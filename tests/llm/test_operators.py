@@ -319,6 +319,37 @@ def test_near_duplicates_against_all_pairs(spark):
     assert omh.near_duplicates(docs(spark, {})).count() == 0
 
 
+def test_short_pairs_share_a_key():
+    """All pairs of 1 to 40 shingles that are similar, whatever is left out of either."""
+    r = np.random.default_rng(3)
+    for n in range(1, 41):
+        for extra in range(n // 4 + 1):
+            for missing in range(n // 5 + 1):
+                m, u = n - missing, n + extra
+                if u - missing > 40 or m < 0.8 * u:
+                    continue
+                for _ in range(20):
+                    whole = r.integers(1, 1 << 63, u).astype(np.uint64)
+                    drop = r.permutation(u)
+                    a, b = np.delete(whole, drop[:extra]), np.delete(whole, drop[extra : extra + missing])
+                    assert omh.similarity(a, b) >= 0.8
+                    assert np.isin(omh.sketches(a), omh.sketches(b)).any(), (n, extra, missing)
+
+
+def test_short_near_duplicates_against_all_pairs(spark):
+    rows = []
+    for n in range(5, 31):
+        w = prose(n, 900 + n).split()
+        rows += [(10 * n, " ".join(w)), (10 * n + 1, " ".join([*w, "appended"])), (10 * n + 2, " ".join(w[1:])), (10 * n + 3, " ".join([*w[:-1], "last"])), (10 * n + 4, " ".join([*w[: n // 2], "mid", *w[n // 2 :]]))]
+    class_of = {i: i for i, _ in rows}
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if class_of[i] != class_of[j] and aligned_similarity(a, b) >= 0.8:
+            low, high = sorted((class_of[i], class_of[j]))
+            class_of = {k: low if c == high else c for k, c in class_of.items()}
+    assert class_of[81] == class_of[80] and class_of[91] == class_of[90]
+    assert {x.doc_id: x.class_id for x in omh.near_duplicates(docs(spark, rows)).collect()} == class_of
+
+
 def test_variants_that_only_their_source_links(spark):
     """Two variants are less alike than 0.8, each and the source are more; a third kind is like none."""
     w = [f"{x}{i}" for i, x in enumerate(prose(400, 77).split())]

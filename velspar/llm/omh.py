@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from velspar.llm.common import components, mixed, shingles, words, written
 
-#: Words of a shingle, shingles of a sketch, sketches of a text. Two texts of similarity 0.8 share a sketch with
-#: probability of about 0.8**6 = 0.26 each, and miss all with (1 - 0.26)**40 = 5e-6.
+#: Words of a shingle, shingles of a sketch, sketches of a text. Two texts that share m of u shingles in order share a sketch with
+#: probability C(m, 6) / C(u, 6) each: at similarity 0.8 they miss all 40 with 2e-5 at most beyond 40 shingles, 5e-6 if very long.
 WORDS, TAKEN, SKETCHES = 5, 6, 40
 SIMILARITY = 0.8
+#: Pairs whose longer text has few shingles miss no key: (its least and most shingles, shingles of a key).
+SHORT = ((1, 10, 4), (11, 20, 3), (21, 40, 2))
 SALTS = 64
 #: Shingles that are ordered at a time, over several sketches if a text is short.
 TOGETHER = 1 << 20
@@ -41,8 +44,31 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
     return mixed(sh + seen * _LABEL)
 
 
+def short_keys(own: np.ndarray) -> np.ndarray:
+    """Keys of the pairs in SHORT that the text can belong to: all choices of a few of its least shingles, hashed in text order.
+
+    At similarity 0.8 or more at most a fifth of either text's shingles is not shared, so the `taken` least shared ones are among
+    the fifth + `taken` least of both, and each text makes a key of just these.
+    """
+    n, keys = len(own), [np.zeros(0, np.uint64)]
+    order = np.argsort(own, kind="stable")
+    for low, high, taken in SHORT:
+        if n > high or 5 * n < 4 * low:  # no partner makes such a pair
+            continue
+        taken = min(taken, n)
+        places = np.array(list(combinations(sorted(order[: n // 5 + taken].tolist()), taken)))
+        key = np.full(len(places), mixed(np.array([low], np.uint64))[0])
+        for j in range(taken):
+            key = mixed(key * np.uint64(31) + own[places[:, j]])
+        keys.append(key)
+    return np.concatenate(keys)
+
+
 def sketches(own: np.ndarray) -> np.ndarray:
-    """SKETCHES keys: of each order of the labelled shingles the TAKEN least, hashed in text order."""
+    """short_keys, and for a text that may have a partner beyond them SKETCHES keys: of each order of the labelled shingles the TAKEN least, hashed in text order."""
+    short = short_keys(own)
+    if 5 * len(own) <= 4 * SHORT[-1][1]:
+        return short
     taken = min(TAKEN, len(own))
     keys = np.empty(len(_SEEDS), np.uint64)
     step = max(1, min(8, TOGETHER // max(1, len(own))))
@@ -55,7 +81,7 @@ def sketches(own: np.ndarray) -> np.ndarray:
         for j in range(taken):
             key = mixed(key * np.uint64(31) + own[places[:, j]])
         keys[at : at + step] = key
-    return keys
+    return np.concatenate((short, keys))
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
