@@ -165,6 +165,35 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_group_of_near_copies_larger_than_a_shard(spark, monkeypatch):
+    """No split parts the group; each member counts all others, copies of one vector too."""
+    rng = np.random.default_rng(8)
+    group, far = rng.normal(size=16) + rng.normal(size=(200, 16)) * 0.05, rng.normal(size=(60, 16))
+    x = np.float32(np.concatenate((group, group[:2], far)))
+    for name, value in (("SHARD", 40), ("SAMPLE", 100), ("BLOCK", 50)):
+        monkeypatch.setattr(vectors, name, value)
+    df = spark.createDataFrame([(i, [float(y) for y in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    assert near[:202, :202].all()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, 0 if near[i, 0] else int(near[i].argmax())) for i in range(len(x))}
+
+
+def test_home_branch_holds_all_partners():
+    """A group of near copies that centres cut into ten branches."""
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.05
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = pd.DataFrame({"node": range(300), "label": 1, "v": x.tolist(), "copies": 1, "home": True, "shard": "s"})
+    out = vectors._assign(rows, pd.DataFrame({"shard": ["s"], "centres": [vectors._centres(u, 10).tolist()]}))
+    inside = out.groupby("shard")["node"].agg(set)
+    for node, shard in out[out["home"]][["node", "shard"]].itertuples(index=False):
+        assert set(np.flatnonzero(u @ u[node] >= 0.93)) <= inside[shard]
+
+
 # 4 --------------------------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,8 @@
 """Near-duplicate vectors: robust-pruned flat graphs on overlapping cluster shards, and range-expanding greedy search.
 
-Vectors of one label split into clusters, recursively, until a shard is small. A shard holds its own vectors and a rim: those that
+Vectors of one label split into clusters, recursively, until a shard is small. A shard holds its own vectors and a rim: all those that
 can lie within the threshold of one of its own. So each vector meets all its partners in its home shard, and
-the search there decides. Each shard builds a flat graph; a vector's lists from all its shards are united; greedy
+the search there decides. A shard that clusters don't part, such as a large group of near copies, is compared in pairs of row blocks instead. Each shard builds a flat graph; a vector's lists from all its shards are united; greedy
 search starts at the shard's medoid and, once inside the threshold, expands everything in range.
 """
 
@@ -19,8 +19,8 @@ from velspar.llm.common import components, written
 COSINE = 0.93
 #: Shards larger than this are split into branches of about this size, by centres fitted on about SAMPLE of their rows, BRANCHES at most at a time.
 SHARD, BRANCH, SAMPLE, BRANCHES, DEPTH = 8000, 2000, 8000, 256, 6
-#: Branches that a vector may belong to in a split; rows that one task assigns.
-OVERLAP, BLOCK = 3, 20_000
+#: A split that makes more than SPREAD rows of each, or a branch of more than WIDEST of all rows, parts nothing; rows that one task assigns.
+SPREAD, WIDEST, BLOCK = 3, 0.75, 20_000
 #: Neighbours kept by pruning, its slack, and the nearest ones that link back to a vector, so that none is out of reach.
 DEGREE, ALPHA, BACK = 24, 1.2, 8
 #: The beams of a search, and the queries of a shard whose partners are found by brute force too. If the first beam misses any of
@@ -61,7 +61,7 @@ def _fit(rows):
 
 def _assign(rows, fitted):
     """Home and rim rows of a split shard's branches. A partner of x is within r of it; if it lies nearest to centre c and x nearest to h, then
-    x is at most r beyond the plane between them: (|x-c|² - |x-h|²) / (2 |c-h|) <= r. Of the branches that this allows x joins the OVERLAP nearest."""
+    x is at most r beyond the plane between them: (|x-c|² - |x-h|²) / (2 |c-h|) <= r. x joins all branches that this allows."""
     import pandas as pd
 
     if not len(rows):
@@ -73,8 +73,7 @@ def _assign(rows, fitted):
     near = np.argmin(d, 1)
     beyond = (d - d[np.arange(len(x)), near][:, None]) / (2 * between[near])
     beyond[np.arange(len(x)), near] = -1
-    rank = np.argsort(np.argsort(beyond, 1, kind="stable"), 1, kind="stable")
-    at, branch = np.nonzero((beyond <= float(np.sqrt(2 - 2 * COSINE)) + 1e-9) & (rank < OVERLAP))
+    at, branch = np.nonzero(beyond <= float(np.sqrt(2 - 2 * COSINE)) + 1e-9)
     out = rows.iloc[at][["node", "label", "v", "copies", "home", "shard"]].copy()
     out["home"] = out["home"].to_numpy() & (near[at] == branch)
     out["shard"] = [f"{s}.{b}" for s, b in zip(out["shard"], branch, strict=True)]
@@ -84,11 +83,17 @@ def _assign(rows, fitted):
 SHARDED = "node long, label int, v array<double>, copies long, home boolean, shard string"
 
 
-def shards(nodes: DataFrame) -> DataFrame:
-    """nodes in overlapping shards; each node is at home in one."""
+def _widths(rows, fitted):
+    """Rows that each branch would get from this block."""
+    got = _assign(rows, fitted)
+    return got.groupby("shard").size().rename("rows").reset_index().rename(columns={"shard": "branch"}).assign(shard=fitted["shard"].iloc[0])[["shard", "branch", "rows"]]
+
+
+def shards(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """nodes in overlapping shards, and the rows, if any, of shards that are large and that no split parts; each node is at home in one shard."""
     split = nodes.withColumn("home", F.lit(True)).withColumn("shard", F.concat_ws(":", "label", F.size("v")))
-    done = None
-    for _ in range(DEPTH):
+    done = dense = None
+    for depth in range(DEPTH + 1):
         split = written(split.select("node", F.col("label").cast("int").alias("label"), "v", "copies", "home", "shard"), "shards")
         large = split.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
         if large.isEmpty():
@@ -96,13 +101,24 @@ def shards(nodes: DataFrame) -> DataFrame:
         small = split.join(large.select("shard"), "shard", "left_anti")
         done = small if done is None else done.unionByName(small)
         big = split.join(large, "shard")
+        if depth == DEPTH:
+            dense = big if dense is None else dense.unionByName(big)
+            return done, dense
         sample = big.where(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLE)).cast("long")) == 0)
         centres = sample.select("shard", "v", "n").groupBy("shard").applyInPandas(_fit, "shard string, centres array<array<double>>")
         blocks = F.ceil(F.col("n") / BLOCK).cast("long")
         parts = centres.join(large, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        rows = big.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), blocks))
-        split = rows.groupBy("shard", "block").cogroup(parts.groupBy("shard", "block")).applyInPandas(_assign, SHARDED)
-    return split if done is None else done.unionByName(split)
+        parts = written(parts.select("shard", "centres", "block"), "vector-centres")  # both passes need the same ones
+        dealt = lambda df: df.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), blocks))
+        widths = dealt(big).groupBy("shard", "block").cogroup(parts.groupBy("shard", "block")).applyInPandas(_widths, "shard string, branch string, rows long")
+        widths = widths.groupBy("shard", "branch").agg(F.sum("rows").alias("rows")).groupBy("shard").agg(F.sum("rows").alias("all"), F.max("rows").alias("widest"))
+        tight = widths.join(large, "shard").where((F.col("all") > SPREAD * F.col("n")) | (F.col("widest") > WIDEST * F.col("n"))).select("shard")
+        tight = written(tight, "vector-tight", small=True)
+        whole = big.join(tight, "shard", "left_semi")
+        dense = whole if dense is None else dense.unionByName(whole)
+        loose, parts = dealt(big.join(tight, "shard", "left_anti")), parts.join(tight, "shard", "left_anti")
+        split = loose.groupBy("shard", "block").cogroup(parts.groupBy("shard", "block")).applyInPandas(_assign, SHARDED)
+    return (split if done is None else done.unionByName(split)), dense
 
 
 def prune(x: np.ndarray, around: int, candidates: np.ndarray, closeness: np.ndarray) -> list[int]:
@@ -243,6 +259,52 @@ def _found(rows):
     return pd.DataFrame({"node": ids[told], "n_links": np.where(home, links, 0)[told], "root": ids[root[told]], "home": home[told]})
 
 
+def _block(rows):
+    """_found of the home rows of one block (ask) with the rows of another: a node's links are the sum over the other blocks."""
+    import pandas as pd
+
+    asked, other = rows[rows["ask"]], rows[~rows["ask"]]
+    if not len(asked) or not len(other):
+        return pd.DataFrame({"node": [], "n_links": [], "root": [], "home": []}).astype({"node": "int64", "n_links": "int64", "root": "int64", "home": "bool"})
+    x, y, copies = _unit(asked["v"]), _unit(other["v"]), other["copies"].to_numpy()
+    ids = np.unique(np.concatenate((asked["node"].to_numpy(), other["node"].to_numpy())))
+    at_x, at_y = np.searchsorted(ids, asked["node"].to_numpy()), np.searchsorted(ids, other["node"].to_numpy())
+    root, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    for a in range(0, len(x), 256):
+        close = x[a : a + 256] @ y.T
+        hit = close >= COSINE
+        q, n = np.nonzero(np.abs(close - COSINE) <= 1e-9)
+        hit[q, n] = (x[a + q] * y[n]).sum(1) >= COSINE  # the same sum as elsewhere
+        own = at_x[a : a + 256, None] == at_y[None, :]
+        hit[own] = True
+        links[at_x[a : a + 256]] += hit @ copies - own.any(1)
+        q, n = np.nonzero(hit)
+        q, n = at_x[a + q], at_y[n]
+        while True:
+            u, w = root[q], root[n]
+            apart = u != w
+            if not apart.any():
+                break
+            np.minimum.at(root, np.maximum(u, w)[apart], np.minimum(u, w)[apart])
+            while not np.array_equal(root[root], root):
+                root = root[root]
+    home = np.isin(np.arange(len(ids)), at_x)
+    told = home | (root != np.arange(len(ids)))
+    return pd.DataFrame({"node": ids[told], "n_links": links[told], "root": ids[root[told]], "home": home[told]})
+
+
+def _in_blocks(dense: DataFrame) -> DataFrame:
+    """_found of shards of any size: each pair of row blocks is one task."""
+    blocks = F.ceil(F.col("n") / SHARD).cast("long")
+    rows = dense.select("node", "v", "copies", "home", "shard", F.pmod(F.xxhash64(F.lit(7), "node"), blocks).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("met"))
+    asked = rows.where("home").select("shard", F.col("mine").alias("x"), F.col("met").alias("y"), "node", "v", "copies", F.lit(True).alias("ask"))
+    other = rows.select("shard", F.col("met").alias("x"), F.col("mine").alias("y"), "node", "v", "copies", F.lit(False).alias("ask"))
+    return asked.unionByName(other).groupBy("shard", "x", "y").applyInPandas(_block, FOUND)
+
+
+FOUND = "node long, n_links long, root long, home boolean"
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vectors (vec_id, embedding, label, ...) with n_links, component_id and kept.
 
@@ -254,12 +316,14 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """
     base = vectors.drop("n_links", "component_id", "kept")
     nodes = written(clean(base), "vector-nodes")
-    placed = written(shards(nodes), "vector-shards")
+    placed, dense = shards(nodes)
+    placed = written(placed, "vector-shards")
     graph = placed.groupBy("shard").applyInPandas(_graph, "node long, near array<long>")
     lists = written(graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vector-graph")
-    found = written(placed.join(lists, "node").groupBy("shard").applyInPandas(_found, "node long, n_links long, root long, home boolean"), "vector-links")
+    found = placed.join(lists, "node").groupBy("shard").applyInPandas(_found, FOUND)
+    found = written(found if dense is None else found.unionByName(_in_blocks(dense)), "vector-links")
     reach = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector-components")
-    per_node = found.where("home").select("node", "n_links").join(reach, F.col("node") == F.col("id"), "left").select("node", "n_links", F.coalesce("component", "node").alias("component"))
+    per_node = found.where("home").groupBy("node").agg(F.sum("n_links").alias("n_links")).join(reach, F.col("node") == F.col("id"), "left").select("node", "n_links", F.coalesce("component", "node").alias("component"))
     wide = F.transform("embedding", lambda x: x.cast("double"))
     keyed = base.withColumn("__v", F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull(), wide))
     by_vector = nodes.join(per_node, "node").select(F.col("label").alias("__label"), F.col("v").alias("__key"), F.col("n_links").alias("__n"), F.col("component").alias("__c"))
