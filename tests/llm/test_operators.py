@@ -471,6 +471,12 @@ def test_repeated_passages(spark):
     passage, other = prose(70, 900), prose(55, 901)
     rows = [(i, f"{prose(40 + i, i)} {passage} {prose(30, 50 + i)}") for i in range(8)]
     rows += [(20, f"{prose(10, 70)} {other}"), (21, f"{other} {prose(90, 71)} {other} {prose(10, 72)}"), (22, prose(300, 73)), (23, passage[: len(passage) // 2]), (24, None), (25, ""), (26, prose(80, 74)), (27, prose(80, 74)), (None, f"{passage} tail"), (28, " ".join(["again"] * 200))]
+    rows += [(29, f"{passage} again"), (29, f"{passage} again")]
+    covered_like_brute_force(spark, rows)
+    assert suffixes.repeated_passages(docs(spark, {})).count() == 0
+
+
+def covered_like_brute_force(spark, rows):
     got = {}
     for r in suffixes.repeated_passages(docs(spark, rows)).collect():
         got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
@@ -484,10 +490,49 @@ def test_repeated_passages(spark):
         if len(places) > 1:
             for k, a in places:
                 want.setdefault(rows[k][0], set()).update(range(a, a + 50))
-    assert got.keys() == want.keys()
-    for d in want:
-        assert got[d] == want[d], d
-    assert suffixes.repeated_passages(docs(spark, {})).count() == 0
+    assert got == want
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "17"])
+def test_passages_of_families(spark, partitions):
+    """Documents around one core that isn't enough by itself: what two of them share besides lies to its left and right in every proportion."""
+    rows = []
+    for f in range(6):
+        core = prose(40, 3000 + f)
+        sides = [(f"{prose(12, 100 * f + k)} {prose(9, 7000 + k % 5)}", f"{prose(9, 8000 + k % 7)} {prose(12, 100 * f + 50 + k)}") for k in range(26)]
+        rows += [(100 * f + k, f"{left} {core} {right}") for k, (left, right) in enumerate(sides)]
+        own, most = prose(5, 9000 + f), prose(45, 9100 + f)
+        rows += [(100 * f + 30, f"x{f} {own} {core} {own} y{f}"), (100 * f + 31, f"z{f} {own} {core} {own} w{f}"), (100 * f + 40, f"p{f} {most} q r s"), (100 * f + 41, f"t{f} {most} u v w")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        covered_like_brute_force(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_blocks_settle_or_pass_on(monkeypatch):
+    """However suffixes are cut into blocks, what is settled and what meets again across blocks come to the same."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(10)
+    side = lambda least: (np.arange(23) + (np.arange(23) >= r.integers(0, 40))).astype("<u8")[: r.integers(least, 24)].tobytes()
+    rows = [(int(p), side(18), side(0), n, 100) for n, p in enumerate(r.integers(0, 4, 400))]
+    rows = sorted(rows + [(9, bytes(8 * 23), bytes(8 * 23), 1000 + n, 100) for n in range(300)])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["prefix", "right", "left", "node", "place"])
+    seen = {}
+    for block, whole, parts in ((1 << 20, 1 << 21, [700]), (50, 70, [700]), (7, 9, [100] * 7), (1, 1, [1] * 700)):
+        monkeypatch.setattr(suffixes, "BLOCK", block), monkeypatch.setattr(suffixes, "WHOLE", whole)
+        limits = np.cumsum([0, *parts])
+        out = [x for b in suffixes._compared(iter([batch.slice(a, n) for a, n in zip(limits, parts)])) for x in b.to_pylist()]
+        times, covered = {}, {}
+        for x in out:
+            times[x["k1"], x["k2"]] = times.get((x["k1"], x["k2"]), 0) + (x["n"] or 0)
+        for x in out:
+            if x["node"] is not None and (x["k1"] is None or times[x["k1"], x["k2"]] > 1):
+                covered.setdefault(x["node"], set()).update(range(x["start"], x["end"]))
+        seen[block] = covered
+    assert all(x == seen[1] for x in seen.values()) and len(seen[1]) > 300
 
 
 # ----------------------------------------------------------------------------------------------------------------

@@ -11,25 +11,27 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a fresh local one if driver and executors are one process, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-velspar-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
-#: Files of a small table for each core.
-FILES = 3
+#: Tasks for each core at least, and rows of a task at most, of a table whose number of rows is known beforehand.
+FILES, ROWS = 3, 200_000
 
 
-def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors. A small one gets a few files for each core,
-    however many shuffle partitions there are."""
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors. Where `rows` bounds its rows, it gets no more
+    tasks than these need."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    if small:
-        df = df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)
+    if rows is not None:
+        df = df.coalesce(max(FILES * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,14 +43,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     pre-aggregated minimum and a join, so no neighbourhood is gathered in one place. Null ends and self links count for nothing.
     """
     star = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    star = written(star.distinct(), label, small=True)
+    star = written(star.distinct(), label)
+    rows = star.count()
     while not _flat(star):
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label, small=True)
+        star = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label, rows)  # a step never adds links
     return star.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         star.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
