@@ -255,15 +255,26 @@ def plain_line_dedup(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window", [2, 3])
-def test_line_dedup(spark, window):
+@pytest.mark.parametrize("window", [2, 3, 4])
+@pytest.mark.parametrize("few", [1000, 1])
+def test_line_dedup(spark, window, few, monkeypatch):
+    monkeypatch.setattr(lines, "FEW", few), monkeypatch.setattr(lines, "HOT", lines.HOT if few > 1 else 20)
     r = random.Random(6)
     pool = [prose(4, i) for i in range(12)] + ["", "  ", " a ", "a"]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 9)))) for i in range(60)] + [(None, "\n".join(pool[:4])), (70, None), (71, ""), (72, "\n" * 50), (73, "\n".join(["same"] * 400))]
     got = {x.doc_id: (x.text, x.n_removed) for x in lines.dedup_lines(docs(spark, rows), window).collect()}
     assert got == plain_line_dedup(rows, window)
+    if window > 2 or few == 1:
+        return
+    long = [(1, "\n".join(f"line {i}" for i in range(50_000))), (2, "\n".join(f"line {i}" for i in range(49_990, 50_010)))]
+    assert {x.doc_id: x.n_removed for x in lines.dedup_lines(docs(spark, long)).collect()} == {1: 0, 2: 10}
     twice = lines.dedup_lines(docs(spark, [(1, "p\nq\nr"), (1, "p\nq\nr"), (2, "q\nr\ns")])).orderBy("doc_id").collect()
-    assert [x.text for x in twice] == ["p\nq\nr", "p\nq\nr", "s"] and twice[0].part == 1 if "part" in twice[0] else True
+    assert [(x.doc_id, x.text, x.n_removed, x.part, x.kept) for x in twice] == [(1, "p\nq\nr", 0, 1, "x")] * 2 + [(2, "s", 2, 1, "x")]
+    parts = lines.dedup_lines(docs(spark, [(1, "p\nq\nr"), (1, "q\nr")])).collect()  # one of the two, by the hash of the text, keeps the run
+    assert sorted(x.n_removed for x in parts) == [0, 2]
+    clash = docs(spark, [(1, "p\nq\nr"), (2, "q\nr\ns")]).withColumn("n_removed", F.lit("old"))
+    got = lines.dedup_lines(clash)
+    assert got.columns == ["doc_id", "text", "kept", "blob", "part", "n_removed"] and {(x.doc_id, x.text, x.n_removed, x.part) for x in got.collect()} == {(1, "p\nq\nr", 0, 1), (2, "s", 2, 1)}
     assert lines.dedup_lines(docs(spark, {})).count() == 0
 
 

@@ -1,4 +1,4 @@
-"""Line dedup with DataFrame functions only: winnowed line hashes name the places where runs of lines may repeat."""
+"""Line dedup with DataFrame functions only, by winnowing: window minima of line hashes are fingerprints that a repeated run can't go without."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from velspar.llm.common import written
 
 #: A run of so many lines that occurred before, earlier in its document or in an earlier one, is deleted.
 WINDOW = 2
+#: Keys that more than one in so many rows hold are hot: there are no more than HOT of them, so they are broadcast. Fewer rows than FEW aren't hot.
+HOT, FEW = 100_000, 1000
 
 
 def _least(h: Column, start: Column, window: int) -> Column:
@@ -17,60 +19,70 @@ def _least(h: Column, start: Column, window: int) -> Column:
     return start + window - F.array_position(F.reverse(F.slice(h, start + 1, window)), least).cast("int")
 
 
-def winnowed(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, part, mark, run, start, at) of every window of lines that aren't blank.
+def fingerprints(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, __part, m1, m2, place, first, around) of the selected lines: those with the least hash of some window of lines that aren't blank.
 
-    mark is the window's fingerprint, the least of its line hashes; run hashes all its lines, which stand at the places `at`
-    of the text; start counts lines that aren't blank. Equal windows have equal fingerprints, wherever they stand, so a
-    repeated run of `window` lines or more can't go without a common one.
+    m1 and m2 are 128 bits of the line; place counts lines that aren't blank; around holds the lines (h, k, at) from `first` on
+    that windows with this line can hold, at being their places in the text. Equal windows select equal lines, wherever they stand.
     """
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x))
-    rows = documents.select("doc_id", "part", lines.alias("all")).select(
-        "doc_id", "part", F.filter(F.transform("all", lambda x, i: F.when(x != "", F.struct(F.xxhash64(x).alias("h"), i.alias("at")))), lambda x: x.isNotNull()).alias("l")
-    )
-    rows = rows.where(F.size("l") >= window).select("doc_id", "part", F.col("l.h").alias("h"), F.col("l.at").alias("at"))
-    return rows.select(
-        "doc_id", "part", F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.size("h") - window),
-                lambda s: F.struct(
-                    F.get("h", _least(F.col("h"), s, window)).alias("mark"),
-                    F.xxhash64(F.slice("h", s + 1, window)).alias("run"),
-                    s.alias("start"),
-                    F.slice("at", s + 1, window).alias("at"),
-                ),
-            )
-        ).alias("w"),
-    ).select("doc_id", "part", "w.*")
+    trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x))
+    solid = F.filter(F.transform(trimmed, lambda x, i: F.when(x != "", F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("k"), i.alias("at")))), lambda x: x.isNotNull())
+    rows = documents.select("doc_id", "__part", solid.alias("l")).where(F.size("l") >= window).withColumn("h", F.col("l.h"))
+    selected = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda s: _least(F.col("h"), s, window)))
+    near = rows.select("doc_id", "__part", F.explode(
+        F.transform(selected, lambda p: F.struct(
+            F.get("l", p).alias("own"), p.alias("place"), F.greatest(p - (window - 1), F.lit(0)).alias("first"),
+            F.slice("l", F.greatest(p - (window - 1), F.lit(0)) + 1, F.least(p, F.lit(window - 1)) + window).alias("around")))
+    ).alias("w"))
+    return near.select("doc_id", "__part", F.col("w.own.h").alias("m1"), F.col("w.own.k").alias("m2"), "w.place", "w.first", "w.around")
+
+
+def extended(met: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, __part, r1, r2, start, at): a fingerprint extended to both sides, by each number of lines to its left that a window with this minimum has.
+
+    r1 and r2 are 128 bits of the window's lines. A window has one minimum, so it comes from one fingerprint alone.
+    """
+    h = F.col("around.h")
+    starts = F.sequence(F.lit(0), F.least(F.col("place") - F.col("first"), F.size("around") - window))
+    own = F.filter(starts, lambda s: _least(h, s, window) == F.col("place") - F.col("first"))
+    run = lambda s: F.slice("around", s + 1, window)
+    hashed = lambda s, *salt: F.xxhash64(*salt, F.transform(run(s), lambda x: x["h"]), F.transform(run(s), lambda x: x["k"]))
+    parts = F.transform(own, lambda s: F.struct(hashed(s).alias("r1"), hashed(s, F.lit(1)).alias("r2"), (F.col("first") + s).alias("start"), F.transform(run(s), lambda x: x["at"]).alias("at")))
+    return met.where(F.size("around") >= window).select("doc_id", "__part", F.explode(parts).alias("w")).select("doc_id", "__part", "w.*")
+
+
+def _joined(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
+    """rows with what counted, a row per key with n, says of their keys. Hot keys, HOT at most, are met where they lie; the others are shuffled."""
+    hot = F.col("n") > max(FEW, rows.count() // HOT)
+    few = F.broadcast(counted.where(hot))
+    rest = rows.join(F.broadcast(counted.where(hot).select(*on)), on, "left_anti").join(counted.where(~hot), on)
+    return rows.join(few, on).unionByName(rest)
 
 
 def dedup_lines(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents without the lines of runs that occurred before; n_removed counts them; text is null where it was.
 
-    Fingerprints that occur once are dropped. The others are joined by position: each window around a common fingerprint is
-    compared with the earliest equal one, and since the windows of a longer run overlap, they extend it both ways.
-    A run is `window` or more neighbouring lines that aren't blank, equal after trimming; blank lines between them don't
-    part it and stay. The earliest place by doc_id (null first), then by place in the text, keeps its lines. Documents that lose all
-    lines keep their row. Repeated rows of one doc_id count as one document in several parts, told apart by their text's hash;
-    rows equal in both are one part and lose the same lines. Other columns stay, but for n_removed and part, which are
-    replaced; an empty table gives an empty result.
+    Fingerprints that occur once are dropped. The others are extended to the left and right to the windows that hold them; equal
+    windows meet, the earliest by doc_id (null first), then by place in the text, keeps its lines and all later ones lose theirs.
+    Windows of a longer run overlap, so together they reach as far as it does on both sides. A run is `window` or more neighbouring lines that
+    aren't blank, equal after trimming blanks; a line that repeats between other neighbours stays, however long. Blank lines between them don't
+    part a run and stay. Documents that lose all lines keep their row. Repeated rows of one doc_id count as one document in several parts,
+    told apart by their text's hash; rows equal in both are one part and lose the same lines. Other columns stay, but for n_removed,
+    which is replaced; an empty table gives an empty result.
     """
-    base = documents.drop("n_removed", "part").withColumn("part", F.xxhash64("text"))
-    windows = written(winnowed(base, window), "line-windows")
-    here = F.struct(F.col("doc_id"), F.col("part"), F.col("start"))
-    # first pass on fingerprints alone: most lines occur once and go no further
-    marks = windows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    met = windows.join(marks, "mark", "left_semi")
-    # the run has its mark within it, so its hash alone tells windows apart, and a very common mark is dealt over many tasks
-    first = met.groupBy("run").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
-    later = met.join(first, "run").where(~here.eqNullSafe(F.col("first")))
-    gone = later.select("doc_id", "part", F.explode("at").alias("at")).groupBy("doc_id", "part").agg(F.collect_set("at").alias("gone"))
+    base = documents.drop("n_removed").withColumn("__part", F.xxhash64("text"))
+    prints = written(fingerprints(base, window), "line-prints")
+    marks = written(prints.groupBy("m1", "m2").agg(F.count("*").alias("n")).where("n > 1"), "line-marks")
+    windows = written(extended(_joined(prints, marks, ["m1", "m2"]), window), "line-windows")
+    here = F.struct(F.col("doc_id"), F.col("__part"), F.col("start"))
+    first = written(windows.groupBy("r1", "r2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-first")
+    later = _joined(windows, first, ["r1", "r2"]).where(~here.eqNullSafe(F.col("first")))
+    gone = later.select("doc_id", "__part", F.explode("at").alias("at")).groupBy("doc_id", "__part").agg(F.collect_set("at").alias("gone"))
     d, g = base.alias("d"), gone.alias("g")
-    joined = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & F.col("d.part").eqNullSafe(F.col("g.part")), "left")
+    joined = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & F.col("d.__part").eqNullSafe(F.col("g.__part")), "left")
     kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda x, i: ~F.array_contains("g.gone", i)), "\n")
-    names = [c for c in base.columns if c != "part"]
     return joined.select(
-        *[F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(kept).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in names],
+        *[F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(kept).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in base.columns if c != "__part"],
         F.coalesce(F.size("g.gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
