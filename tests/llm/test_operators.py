@@ -112,6 +112,16 @@ def test_secret_ledger_scans_each_blob_once(spark):
         said = ",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(t))
         assert (r.spans, r.base_sha256) == (said, hashlib.sha256(said.encode()).hexdigest())
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for x, _, _ in plain_spans(t)) for k in secrets.KINDS)
+    spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-twice")
+    spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-twice")
+    again = secrets.scan_history(docs(spark, rows), f"{ledger}-twice")
+    assert again.count() == len(rows) and again.columns == ["doc_id", "text", "kept", "part", "blob", "findings"]
+    spark.read.parquet(ledger).withColumn("rule_version", F.lit("older")).write.parquet(f"{ledger}-older")
+    assert secrets.scan_history(docs(spark, rows), f"{ledger}-older").count() == len(rows)
+    assert spark.read.parquet(f"{ledger}-older").count() == 2 * spark.read.parquet(ledger).count()
+    long = "x " * 300_000 + "token=abcdefgh"
+    (one,) = secrets.scan_history(docs(spark, {1: long}), secrets.new_ledger(spark)).collect()
+    assert [(f.kind, f.start, f.end) for f in one.findings] == [("assign", 600_000, 600_014)]
     assert secrets.scan_history(docs(spark, {}), secrets.new_ledger(spark)).count() == 0
 
 
@@ -426,25 +436,39 @@ def test_banded_alignment_equals_the_whole_table():
 
 
 def test_cuts_against_all_plans():
+    """Every token may end a sequence; the least cost of all plans, by the whole table."""
     r = random.Random(9)
-    for _ in range(60):
-        places = sorted(r.sample(range(1, 60), r.randint(1, 9)))
-        places = [0, *places]
-        if max(b - a for a, b in itertools.pairwise(places)) > 20:
-            continue
-        costs = [0.0] + [float(r.choice([0, 1, 5])) for _ in places[1:]]
-        best = None
-        inner = range(1, len(places) - 1)
-        for chosen in itertools.chain.from_iterable(itertools.combinations(inner, n) for n in range(len(places))):
-            ends = [*chosen, len(places) - 1]
-            sizes = [places[b] - places[a] for a, b in itertools.pairwise([0, *ends])]
-            if max(sizes) <= 20:
-                cost = sum(20 - s for s in sizes[:-1]) + min(20 - sizes[-1], packing.padding(sizes[-1], 20)) + sum(costs[e] for e in ends)
-                best = cost if best is None else min(best, cost)
-        got = packing.cuts(places, costs, 20)
-        sizes = [b - a for a, b in itertools.pairwise([0, *got])]
-        cost = sum(20 - s for s in sizes[:-1]) + min(20 - sizes[-1], packing.padding(sizes[-1], 20)) + sum(costs[places.index(e)] for e in got)
-        assert cost == pytest.approx(best) and got[-1] == places[-1]
+    for turn in range(300):
+        most, n = r.choice([8, 16, 20]), r.randint(1, 120)
+        places = sorted({n, *r.sample(range(1, n + 1), min(n, r.choice([0, 1, 5, 30])))})
+        costs = [float(r.choice([0, 1, 5])) for _ in places]
+        at = dict(zip(places, costs, strict=True)) | {0: 0.0}
+        inside = r.choice([5.0, 7.0, 64.0])  # not less than at any place
+
+        def padding(a, b, at=at, most=most):
+            return 0 if b - a == most or a in at and b in at and (b - a) & (b - a - 1) == 0 else most - (b - a)
+
+        best = [0.0]
+        for p in range(1, n + 1):
+            best.append(min(best[i] + padding(i, p) for i in range(max(0, p - most), p)) + at.get(p, inside))
+        got = packing.cuts([0, *places], [0.0, *costs], most, inside)
+        assert got[-1] == n and all(0 < b - a <= most for a, b in itertools.pairwise([0, *got]))
+        assert sum(padding(a, b) + at.get(b, inside) for a, b in itertools.pairwise([0, *got])) == pytest.approx(best[n]), turn
+
+
+def test_cut_where_a_sequence_is_full():
+    got = packing.plan([(100, np.zeros(0, np.int64)), (10_000, np.zeros(0, np.int64))])
+    assert sum(2048 - (b - a) for a, b in itertools.pairwise([0, *got][:-1])) == 0 and len(got) == 5
+
+
+def test_fast_ids_are_those_of_the_file():
+    held = packing._encoder(f"{TOKENIZERS}/byte_bpe_50k.json")
+    assert held.fast is not held._whole
+    tokens = [held.tokenizer.decode([i]) for i in range(held.tokenizer.get_vocab_size())]
+    r = random.Random(12)
+    texts = [t for t in tokens if "\ufffd" not in t and t != "<|endoftext|>"]
+    texts += ["".join(r.choice(texts) for _ in range(12)) for _ in range(3000)]
+    assert sum(not np.array_equal(held.fast(t), held._whole(t)) for t in texts) == 0
 
 
 def test_packing_keeps_every_id(spark):

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 LENGTH, END = 2048, 1
 #: Cost in tokens of cutting a document at the end of a sentence, and elsewhere.
 AT_SENTENCE, INSIDE = 1.0, 64.0
+#: Full stops of scripts that put no blank after them.
+WIDE_STOPS = "。！？｡।؟۔"
 #: Tokens that are planned together; what the last sequence of a plan holds is planned anew with what follows.
 PLAN = 1 << 17
 #: The groups of texts from which a Python worker learns, and the chunks whose ids it remembers.
@@ -26,40 +28,46 @@ PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def padding(length: int, most: int = LENGTH) -> int:
-    """A sequence whose length is a power of two needs none."""
-    return 0 if length & (length - 1) == 0 else most - length
-
-
-def cuts(places: list[int], costs: list[float], most: int = LENGTH) -> list[int]:
+def cuts(places: list[int], costs: list[float], most: int = LENGTH, inside: float = INSIDE) -> list[int]:
     """The places, from the first to the last, at which sequences end, with the least sum of padding and costs of cutting.
 
-    places rise from 0 with gaps of at most `most`. A cut at j after one at i costs best[i] + most - (places[j] - places[i]),
-    so a queue that is monotone in best[i] + places[i] gives the best i of the window. What is left at the end may instead
-    be a sequence whose length is a power of two, which needs no padding.
+    places rise from 0; cutting at one has its cost, cutting anywhere between them costs `inside`, not less than at any place. A sequence from i to j costs
+    best[i] + most - (places[j] - places[i]), so a queue that is monotone in best[i] + places[i] gives the best i of the window. A cut
+    between places pays only where it fills its sequence: moved to the right, any other one leaves as much padding in all. So the queue needs such a
+    cut only `most` after a place that stays in it until its window ends, since a place that a later one drops is no better a start for that either.
+    Between two places a sequence whose length is a power of two needs no padding: besides the window's best there is one candidate for each power.
     """
-    best, back = [0.0] * len(places), [0] * len(places)
+    at = np.asarray(places)
+    short: dict[int, list[int]] = {}
+    for length in (1 << k for k in range(most.bit_length()) if 1 << k < most):
+        i = np.searchsorted(at, at - length)
+        for j in np.flatnonzero(at[i] == at - length).tolist():
+            short.setdefault(j, []).append(int(i[j]))
+    best, back, stops = [0.0] * len(places), [0] * len(places), list(places)  # of the places, then of the cuts between them
     queue: deque[tuple[float, int, int]] = deque([(float(places[0]), places[0], 0)])
     for j in range(1, len(places)):
         p = places[j]
         while queue[0][1] < p - most:
-            queue.popleft()
+            _, q, i = queue.popleft()
+            value, q = best[i] + inside, q + most
+            best.append(value), back.append(i), stops.append(q)
+            key = value + q
+            while queue and queue[-1][0] >= key:
+                queue.pop()
+            queue.append((key, q, len(best) - 1))
         key, _, back[j] = queue[0]
-        best[j] = value = key + most - p + costs[j]
+        value = key + most - p
+        for i in short.get(j, ()):
+            if best[i] < value:
+                value, back[j] = best[i], i
+        best[j] = value = value + costs[j]
         key = value + p
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, p, j))
-    j = len(places) - 1
-    for i in range(j - 1, -1, -1):
-        left = places[j] - places[i]
-        if left >= most:
-            break
-        if not padding(left, most) and best[i] + costs[j] <= best[j]:
-            best[j], back[j] = best[i] + costs[j], i
-    out = []
+    out, j = [], len(places) - 1
     while j:
-        out.append(places[j])
+        out.append(stops[j])
         j = back[j]
     return out[::-1]
 
@@ -88,9 +96,11 @@ class Encoder:
         vocabulary = {bytes(chars[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special and all(c in chars for c in t)}
         size = self.tokenizer.get_vocab_size() + 1
         self.opens, self.closes = np.zeros(size, bool), np.zeros(size, bool)  # tokens that begin with white space or a blank, end a sentence
-        self.blank = np.zeros(size, bool)
+        self.blank, self.breaks = np.zeros(size, bool), np.zeros(size, bool)  # tokens that begin with a blank; after which a cut is a sentence's end whatever follows
         for t, i in vocabulary.items():
-            self.blank[i], self.opens[i], self.closes[i] = t[:1] == b" ", t[:1].isspace(), t[-1:] in b".!?" and t != b""
+            last = t.rstrip(b"\"')]")[-1:]
+            self.blank[i], self.opens[i], self.closes[i] = t[:1] == b" ", t[:1].isspace(), last != b"" and last in b".!?"
+            self.breaks[i] = t.endswith((b"\n", *(x.encode() for x in WIDE_STOPS)))
         self.fast = self._fast(vocabulary)
 
     def _whole(self, text: str) -> np.ndarray:
@@ -163,24 +173,18 @@ class Encoder:
                 ids = own[0] if own else self._whole(text)
             ends = self.closes[ids]
             ends[:-1] &= self.opens[ids[1:]]
+            ends |= self.breaks[ids]
             out.append((ids, np.flatnonzero(ends) + 1))
         return out
 
 
 def plan(documents: list[tuple[int, np.ndarray]], most: int = LENGTH) -> list[int]:
-    """Where sequences end, in tokens from the first one, for documents (tokens, sentence ends): at ends of documents or sentences, elsewhere only inside longer sentences."""
+    """Where sequences end, in tokens from the first one, for documents (tokens, sentence ends): at ends of documents or sentences, elsewhere where a sequence is full."""
     ends = np.cumsum([n for n, _ in documents])
     inner = np.concatenate([s[(s > 0) & (s < n)] + e - n for (n, s), e in zip(documents, ends, strict=True)])
-    places, costs, last = [0], [0.0], 0
-    whole = set(ends.tolist())
-    for s in np.union1d(inner, ends).tolist():
-        while s - last > most:  # a sentence that no sequence holds
-            last += most
-            places.append(last), costs.append(INSIDE)
-        if s > last or s > places[-1]:
-            places.append(s), costs.append(0.0 if s in whole else AT_SENTENCE)
-        last = s
-    return cuts(places, costs, most)
+    places = np.union1d(inner, ends).astype(np.int64)
+    costs = np.where(np.isin(places, ends), 0.0, AT_SENTENCE)
+    return cuts([0, *places.tolist()], [0.0, *costs.tolist()], most)
 
 
 def pack(documents: DataFrame, path: str, most: int = LENGTH, ids: bool = False) -> DataFrame:

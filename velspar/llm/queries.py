@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velspar.llm import chat, lines, omh, packing, pieces, secrets, suffixes, topk, toxicity, vectors
 
 #: Where the files of public tokenizers lie.
-TOKENIZERS = os.environ.get("VELSPAR_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("VELSPAR_TOKENIZERS", os.path.dirname(public_tokenizers.path("README.md")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -11,7 +12,6 @@ from pyspark.sql import types as T
 
 from velspar.llm.common import shared_dir
 
-RULE_VERSION = "1"
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns of the rules.
 ASSIGN = re.compile(
@@ -19,6 +19,8 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Names the rules by what they say, so that a changed rule scans anew.
+RULE_VERSION = hashlib.sha256(repr([r.pattern for r in (ASSIGN, ACCESS, HEX)] + [6, 20, 24]).encode()).hexdigest()[:16]
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 FINDINGS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -59,8 +61,9 @@ def scan_history(history: DataFrame, ledger: str, text: str = "text") -> DataFra
     """All rows of history (any columns: paths, versions) with blob, the SHA-256 of the text, and findings.
 
     Texts of one content are one blob: only blobs that the ledger, a Parquet folder, lacks for RULE_VERSION are
-    scanned; their findings are appended to it, those without any too. Then findings join back to every row.
-    A third of all rows may hold one text: each map task sends one row of it, and rows that join back are short.
+    scanned; their findings are appended to it, those without any too. Then findings, one row for each blob however often a ledger
+    names it (two runs may have appended at once), join back to every row.
+    A third of all rows may hold one text: each map task sends one row of it to be scanned; where rows join back, adaptive execution splits it.
     Null texts count as empty; repeated rows stay; an empty table gives an empty result. Columns of history named
     blob or findings are replaced. Running it twice on one ledger scans nothing the second time.
     """
@@ -69,7 +72,7 @@ def scan_history(history: DataFrame, ledger: str, text: str = "text") -> DataFra
     blobs = named.groupBy("blob").agg(F.first(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("__text"))
     done = _ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION)
     blobs.join(done.select("blob"), "blob", "left_anti").mapInArrow(_scan, LEDGER).write.mode("append").parquet(ledger)
-    known = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == RULE_VERSION).select("blob", "findings")
+    known = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == RULE_VERSION).groupBy("blob").agg(F.first("findings").alias("findings"))
     return named.join(known, "blob")
 
 
