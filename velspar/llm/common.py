@@ -36,6 +36,19 @@ def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that more than one in HOT of the rows hold are hot: there are no more than HOT of them. Fewer rows than FEW aren't hot.
+HOT, FEW = 100_000, 1000
+
+
+def met(rows: DataFrame, counted: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows, `total` at most, joined with what counted, a row per key with n, their number, says of their keys. The hot keys are broadcast and
+    met where their rows lie; the others are shuffled."""
+    hot = F.col("n") > max(FEW, total // HOT)
+    few = F.broadcast(counted.where(hot).drop("n"))
+    rest = rows.join(F.broadcast(counted.where(hot).select(*on)), on, "left_anti").join(counted.where(~hot).drop("n"), on)
+    return rows.join(few, on).unionByName(rest)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, component) for every id of edges (a, b); component is the smallest id that links reach.
 
@@ -47,8 +60,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     rows = star.count()
     while not _flat(star):
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = met(both, least, ["u"], 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label, rows)  # a step never adds links

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velspar.llm.common import written
+from velspar.llm.common import met, written
 
 #: A run of so many lines that occurred before, earlier in its document or in an earlier one, is deleted.
 WINDOW = 2
-#: Keys that more than one in so many rows hold are hot: there are no more than HOT of them, so they are broadcast. Fewer rows than FEW aren't hot.
-HOT, FEW = 100_000, 1000
 
 
 def _least(h: Column, start: Column, window: int) -> Column:
@@ -37,7 +35,7 @@ def fingerprints(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     return near.select("doc_id", "__part", F.col("w.own.h").alias("m1"), F.col("w.own.k").alias("m2"), "w.place", "w.first", "w.around")
 
 
-def extended(met: DataFrame, window: int = WINDOW) -> DataFrame:
+def extended(prints: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, __part, r1, r2, start, at): a fingerprint extended to both sides, by each number of lines to its left that a window with this minimum has.
 
     r1 and r2 are 128 bits of the window's lines. A window has one minimum, so it comes from one fingerprint alone.
@@ -48,15 +46,7 @@ def extended(met: DataFrame, window: int = WINDOW) -> DataFrame:
     run = lambda s: F.slice("around", s + 1, window)
     hashed = lambda s, *salt: F.xxhash64(*salt, F.transform(run(s), lambda x: x["h"]), F.transform(run(s), lambda x: x["k"]))
     parts = F.transform(own, lambda s: F.struct(hashed(s).alias("r1"), hashed(s, F.lit(1)).alias("r2"), (F.col("first") + s).alias("start"), F.transform(run(s), lambda x: x["at"]).alias("at")))
-    return met.where(F.size("around") >= window).select("doc_id", "__part", F.explode(parts).alias("w")).select("doc_id", "__part", "w.*")
-
-
-def _joined(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
-    """rows with what counted, a row per key with n, says of their keys. Hot keys, HOT at most, are met where they lie; the others are shuffled."""
-    hot = F.col("n") > max(FEW, rows.count() // HOT)
-    few = F.broadcast(counted.where(hot))
-    rest = rows.join(F.broadcast(counted.where(hot).select(*on)), on, "left_anti").join(counted.where(~hot), on)
-    return rows.join(few, on).unionByName(rest)
+    return prints.where(F.size("around") >= window).select("doc_id", "__part", F.explode(parts).alias("w")).select("doc_id", "__part", "w.*")
 
 
 def dedup_lines(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -73,10 +63,10 @@ def dedup_lines(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     base = documents.drop("n_removed").withColumn("__part", F.xxhash64("text"))
     prints = written(fingerprints(base, window), "line-prints")
     marks = written(prints.groupBy("m1", "m2").agg(F.count("*").alias("n")).where("n > 1"), "line-marks")
-    windows = written(extended(_joined(prints, marks, ["m1", "m2"]), window), "line-windows")
+    windows = written(extended(met(prints, marks, ["m1", "m2"], prints.count()), window), "line-windows")
     here = F.struct(F.col("doc_id"), F.col("__part"), F.col("start"))
     first = written(windows.groupBy("r1", "r2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-first")
-    later = _joined(windows, first, ["r1", "r2"]).where(~here.eqNullSafe(F.col("first")))
+    later = met(windows, first, ["r1", "r2"], windows.count()).where(~here.eqNullSafe(F.col("first")))
     gone = later.select("doc_id", "__part", F.explode("at").alias("at")).groupBy("doc_id", "__part").agg(F.collect_set("at").alias("gone"))
     d, g = base.alias("d"), gone.alias("g")
     joined = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & F.col("d.__part").eqNullSafe(F.col("g.__part")), "left")

@@ -24,6 +24,9 @@ SIMILARITY = 0.8
 #: Pairs whose longer text has few shingles miss no key: (its least and most shingles, shingles of a key).
 SHORT = ((1, 10, 4), (11, 20, 3), (21, 40, 2))
 SALTS = 64
+#: Nodes of a bucket that one group of the last join holds, twice.
+BUCKET = 2048
+RESULTS = ("class_id", "kept", "linked_doc", "similarity")
 #: Shingles that are ordered at a time, over several sketches if a text is short.
 TOGETHER = 1 << 20
 #: 64-bit words of a text's parity bits.
@@ -120,7 +123,7 @@ def parity(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-SKETCHED = "node long, keys array<long>, n int, bits array<long>"
+SKETCHED = "n1 long, n2 long, keys array<long>, n int, bits array<long>"
 
 
 def _sketched(batches: Iterator) -> Iterator:
@@ -133,7 +136,7 @@ def _sketched(batches: Iterator) -> Iterator:
             h, _, _, limits = words(part.column("text"))
             own = [labelled(h[a:b]) for a, b in zip(limits[:-1], limits[1:], strict=True)]
             keys = [sketches(o).view(np.int64) if len(o) else None for o in own]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(keys, kind), pa.array([len(o) for o in own], pa.int32()), pa.array([parity(o) for o in own], kind)], names=["node", "keys", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("n1"), part.column("n2"), pa.array(keys, kind), pa.array([len(o) for o in own], pa.int32()), pa.array([parity(o) for o in own], kind)], names=["n1", "n2", "keys", "n", "bits"])
 
 
 def _possible(x: str, y: str) -> Column:
@@ -151,38 +154,24 @@ def _sequences(batches: Iterator) -> Iterator:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             h, _, _, limits = words(part.column("text"))
-            # 32 bits tell a text's shingles apart well enough for an alignment; of equal ones the first stays
-            found = [_unique32(labelled(h[a:b])).tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
+            found = [labelled(h[a:b]).astype("<u8").tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], names=["node", "seq"])
 
 
-def _unique32(own: np.ndarray) -> np.ndarray:
-    short = (own >> np.uint64(32)).astype("<u4")
-    if len(np.unique(short)) < len(short):
-        _, first = np.unique(short, return_index=True)
-        keep = np.zeros(len(short), bool)
-        keep[first] = True
-        short = short[keep]
-    return short
-
-
 def _aligned(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        a, b = (batch.column(c).to_pylist() for c in ("seq_a", "seq_b"))
-        found = [similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(a, b, strict=True)]
+        a, b = batch.column("seq_a"), batch.column("seq_b")
+        found = [similarity(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(a, b, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, bearers: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes with their texts' similarity, written; bearers names for each node one document that has its text."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(bearers, "node")
-    t, n = texts.alias("t"), nodes.alias("n")
-    needed = t.join(n, (F.col("t.node") == F.col("n.node")) & F.col("t.doc_id").eqNullSafe(F.col("n.bearer")), "left_semi").select("node", "text")
-    seq = written(needed.mapInArrow(_sequences, "node long, seq binary").groupBy("node").agg(F.first("seq").alias("seq")), "omh-seq")
+def _links(pairs: DataFrame, seq: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar enough, with their similarity, written; seq holds the sequences of all nodes that share a key."""
     both = pairs.join(seq.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b").join(seq.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a")
-    return written(both.select("a", "b", "seq_a", "seq_b").mapInArrow(_aligned, "a long, b long, similarity double"), "omh-links")
+    links = both.select("a", "b", "seq_a", "seq_b").mapInArrow(_aligned, "a long, b long, similarity double")
+    return written(links.where(F.col("similarity") >= SIMILARITY), "omh-links")
 
 
 def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -192,64 +181,95 @@ def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
     return coloured.join(several, "key", "left_semi")
 
 
-def _grown(classes: DataFrame, pairs: DataFrame, texts: DataFrame, bearers: DataFrame) -> DataFrame:
-    """classes (id, component) after the similar ones among pairs have joined theirs: only the classes' representatives are linked anew."""
-    if pairs.isEmpty():
+def _grown(classes: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """classes (id, component), at most `rows`, after linked ones have joined: only the classes' representatives are linked anew."""
+    if links.isEmpty():
         return classes
-    more = _links(pairs, texts, bearers).where(F.col("similarity") >= SIMILARITY).select("a", "b")
+    more = links.select("a", "b")
     for end in ("a", "b"):
         own = classes.select(F.col("id").alias(end), F.col("component").alias("__c"))
         more = more.join(own, end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
     joined = components(more, "omh-joined").select(F.col("id").alias("component"), F.col("component").alias("last"))
     grown = classes.join(joined, "component", "left").select("id", F.coalesce("last", "component").alias("component"))
-    return written(grown.unionByName(joined.select(F.col("component").alias("id"), F.col("last").alias("component"))).distinct(), "omh-classes", small=True)
+    return written(grown.unionByName(joined.select(F.col("component").alias("id"), F.col("last").alias("component"))).distinct(), "omh-classes", rows)
+
+
+def _apart(left: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that share a key but no colour and may be similar, each once, for left (key, node, colour, n, bits, keys).
+
+    A bucket is cut into blocks of about BUCKET nodes and each two blocks are one group of the join, so no task holds a bucket.
+    """
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("long").alias("blocks"))
+    dealt = left.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")))
+    low = dealt.withColumn("i", F.col("mine")).withColumn("j", F.explode(F.sequence("mine", F.col("blocks") - 1)))
+    high = dealt.withColumn("j", F.col("mine")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "mine")))
+    x, y = low.alias("x"), high.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")]
+    ordered = (F.col("x.mine") < F.col("y.mine")) | (F.col("x.node") < F.col("y.node"))
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair that shares several sketches comes out of one bucket
+    pairs = x.join(y, same[0] & same[1] & same[2] & ordered & (F.col("x.colour") != F.col("y.colour")) & _possible("x", "y") & once)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """documents with class_id, the least doc_id of the texts that links reach, and kept, true on one row of each class.
+    """documents with class_id, the least doc_id of the texts that links reach, kept, true on one row of each class, linked_doc and similarity.
 
     Links join texts whose similarity, the share of five-word shingles that align in order, is 0.8 or more. Equal texts are one node
-    from the start, by 60 bits of their SHA-256. In each bucket of a sketch every node is aligned with the least one, with the
+    from the start, by 128 bits of their SHA-256. In each bucket of a sketch every node is aligned with the least one, with the
     one before it, and, if the bucket still holds several classes, with the one that has most links; then the pairs that are still in
     different classes are aligned too, unless their lengths or the parity bits of their shingles rule out that they are similar. So
     buckets of any size lose no link, and none is expanded into all its pairs. The row kept is that of the least doc_id; a null
-    doc_id comes first and its class_id is null if alone. Texts without words (null, empty, blank) are one class if equal,
+    doc_id comes first and its class_id is null if alone. linked_doc is the document, the least of its text, that a row's text was aligned with and is
+    most similar to, similarity says how much; both are null for a text without a link. Texts without words (null, empty, blank) are one class if equal,
     null counting as empty. Texts under five words are one shingle. Rows that repeat a doc_id and its text are kept or not
-    together; an empty table gives an empty result. Columns named class_id or kept are replaced, others stay.
+    together; an empty table gives an empty result. Columns of these four names are replaced, others stay.
     """
-    base = documents.drop("class_id", "kept").withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    # a node is a text: 60 bits of its SHA-256 name it
-    node = F.conv(F.substring("__blob", 1, 15), 16, 10).cast("long")
-    named = base.select("doc_id", "text", node.alias("node"))
-    keyed = written(named.select("node", "text").mapInArrow(_sketched, SKETCHED).where("keys is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", "n", "bits")]), "omh-sketches")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    half = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
+    base = documents.drop(*RESULTS).withColumn("__n1", half(1)).withColumn("__n2", half(17))
+    named = base.select("doc_id", "text", F.col("__n1").alias("n1"), F.col("__n2").alias("n2"))
+    sketched = named.select("n1", "n2", "text").mapInArrow(_sketched, SKETCHED).where("keys is not null").groupBy("n1", "n2").agg(*[F.first(c).alias(c) for c in ("keys", "n", "bits")])
+    keyed = written(sketched.withColumn("node", F.monotonically_increasing_id()), "omh-sketches")
     buckets = keyed.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("key", "least")
     members = written(buckets.join(shared, "key"), "omh-members")
+    rows = members.count()
+    bearers = written(named.groupBy("n1", "n2").agg(F.min("doc_id").alias("bearer")), "omh-bearers")
+    # the sequences of all texts that share a key are made once
+    needed = members.select("node").distinct().join(keyed.select("node", "n1", "n2"), "node").join(bearers, ["n1", "n2"])
+    t, n = named.alias("t"), needed.alias("n")
+    texts = t.join(n, (F.col("t.n1") == F.col("n.n1")) & (F.col("t.n2") == F.col("n.n2")) & F.col("t.doc_id").eqNullSafe(F.col("n.bearer"))).select("n.node", "t.text")
+    seq = written(texts.mapInArrow(_sequences, "node long, seq binary").groupBy("node").agg(F.first("seq").alias("seq")), "omh-seq")
     before = F.lag("node").over(Window.partitionBy("key", F.pmod("node", F.lit(SALTS))).orderBy("node"))  # salted: a bucket may hold a third of all texts
     near = members.select(F.col("least").alias("a"), F.col("node").alias("b")).union(members.select(before.alias("a"), "node")).where("a < b").distinct()
-    near = written(near, "omh-pairs", small=True)
-    bearers = written(named.groupBy("node").agg(F.min("doc_id").alias("bearer")), "omh-bearers", small=True)
-    links = _links(near, named, bearers).where(F.col("similarity") >= SIMILARITY).select("a", "b")
-    classes = written(components(links, "omh-classes"), "omh-first", small=True)
+    near = written(near, "omh-pairs", 2 * rows)
+    links = _links(near, seq)
+    classes = written(components(links, "omh-classes"), "omh-first", rows)
     # in buckets that still hold several classes all meet the node with most links: variants of one text are nearer to it than to each other
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
     left = _mixed(members.select("key", "node"), classes).join(degree, "node", "left")
     hubs = left.groupBy("key").agg(F.max_by(F.struct("node", "colour"), F.struct(F.coalesce("degree", F.lit(0)), -F.col("node"))).alias("hub"))
     met = left.join(hubs, "key").where(F.col("colour") != F.col("hub.colour"))
-    met = written(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), "omh-hubs", small=True)
-    classes = _grown(classes, met, named, bearers)
+    met = written(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), "omh-hubs", rows)
+    second = _links(met, seq)
+    classes = _grown(classes, second, rows)
     # what is left: pairs of a bucket in different classes
-    left = written(_mixed(members.select("key", "node"), classes).join(keyed, "node"), "omh-left", small=True)
-    x, y = left.alias("x"), left.alias("y")
-    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair that shares several sketches comes out of one bucket
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.colour") != F.col("y.colour")) & _possible("x", "y") & once)
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(near.unionByName(met), ["a", "b"], "left_anti")
-    classes = _grown(classes, written(rest, "omh-rest", small=True), named, bearers)
-    ids = base.select("doc_id", node.alias("node"))
-    coloured = ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("lacks"))
-    coloured = coloured.join(classes, coloured["node"] == classes["id"], "left").select("node", "least", "lacks", F.coalesce("component", "node").alias("colour"))
-    named_class = coloured.groupBy("colour").agg(F.min("least").alias("class_id"), F.max("lacks").alias("lacks"))
-    lookup = written(coloured.select("node", "colour").join(named_class, "colour").select(F.col("node").alias("__node"), "class_id", "lacks"), "omh-lookup", small=True)
-    out = base.withColumn("__node", node).join(lookup, "__node")
+    left = written(_mixed(members.select("key", "node"), classes).join(keyed.select("node", "n", "bits", "keys"), "node"), "omh-left", rows)
+    rest = written(_apart(left).join(near.unionByName(met), ["a", "b"], "left_anti"), "omh-rest")
+    third = _links(rest, seq)
+    classes = _grown(classes, third, rows)
+    links = links.unionByName(second).unionByName(third)
+    partner = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "similarity").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), "similarity"))
+    partner = partner.groupBy("node").agg(F.max_by("other", F.struct("similarity", -F.col("other"))).alias("other"), F.max("similarity").alias("similarity"))
+    colours = keyed.select("n1", "n2", "node").join(bearers, ["n1", "n2"], "right").join(classes, F.col("node") == F.col("id"), "left").join(partner, "node", "left")
+    lacks = named.where("doc_id is null").select("n1", "n2", F.lit(True).alias("lacks")).distinct()
+    # a text without words is its own class
+    wordless = F.struct(F.lit(True).alias("x"), F.col("n1").alias("p"), F.col("n2").alias("q"))
+    colour = F.when(F.col("node").isNull(), wordless).otherwise(F.struct(F.lit(False).alias("x"), F.coalesce("component", "node").alias("p"), F.lit(0).cast("long").alias("q")))
+    coloured = written(colours.join(lacks, ["n1", "n2"], "left").withColumn("colour", colour).select("n1", "n2", "node", "bearer", "other", "similarity", "colour", F.coalesce("lacks", F.lit(False)).alias("lacks")), "omh-colours")
+    named_class = coloured.groupBy("colour").agg(F.min("bearer").alias("class_id"), F.max("lacks").alias("lacks"))
+    of_partner = coloured.where("node is not null").select(F.col("node").alias("other"), F.col("bearer").alias("linked_doc"))
+    lookup = coloured.drop("lacks").join(named_class, "colour").join(of_partner, "other", "left").select(F.col("n1").alias("__n1"), F.col("n2").alias("__n2"), "class_id", "lacks", "linked_doc", "similarity")
+    out = base.join(written(lookup, "omh-lookup"), ["__n1", "__n2"])
     keeps = F.when(F.col("lacks"), F.col("doc_id").isNull()).otherwise(F.col("doc_id") == F.col("class_id"))
-    return out.withColumn("kept", keeps).drop("__blob", "__node", "lacks")
+    return out.withColumn("kept", keeps).drop("__n1", "__n2", "lacks")

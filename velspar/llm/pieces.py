@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding: the n best segmentations of a text, and back.
 
-The file of the model is read as a lattice of scored pieces: a segmentation scores the sum of its pieces' scores. A
-forward Viterbi pass gives the best score of reaching each place; with it as an exact heuristic, a backward A* search
+The file of the model is read as a lattice of scored pieces: a segmentation scores the sum of its pieces' scores. The
+file is a BPE model, whose own scores say only which merge comes first; their sum prefers no sensible path. A piece scores here by the merges that make it: a
+merge counts the more, the earlier it was learnt, so that a path that does the early merges beats one that does many late ones, as the model's own
+encoding does. A forward Viterbi pass gives the best score of reaching each place; with it as an exact heuristic, a backward A* search
 from the end finds complete segmentations in falling order. The mark of a blank stands only at the start of a piece, so
 every segmentation is cut before it and a text falls into chunks; the n best of their combinations are the n best of
 the text. A chunk's best and the loss of its second best come from Viterbi passes over many chunks at a time; the
@@ -10,6 +12,7 @@ search runs on the n - 1 chunks of a text that lose least, since no other can ch
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import zlib
@@ -43,6 +46,29 @@ def combine(slots: list[Best], n: int) -> list[tuple[float, tuple[tuple[int, int
     return found
 
 
+#: Weight of the merge of rank r: (1 + r / EARLY) ** -FALL in units of 1 / UNIT, 1 at least: whole numbers, so that sums over a chunk are exact.
+EARLY, FALL, UNIT = 3.0, 3.0, float(1 << 40)
+
+
+def merge_scores(ranks: dict[str, int]) -> dict[str, float]:
+    """The summed weights of the merges that make each piece out of characters; a character, or what no merges make, scores 0."""
+    out = {}
+    for piece in ranks:
+        parts, total = list(piece), 0.0
+        while len(parts) > 1:
+            rank = i = None
+            for j in range(len(parts) - 1):
+                r = ranks.get(parts[j] + parts[j + 1])
+                if r is not None and (rank is None or r < rank):
+                    rank, i = r, j
+            if rank is None:
+                break
+            total += max(1.0, UNIT * (1 + rank / EARLY) ** -FALL // 1)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        out[piece] = total if len(parts) == 1 else 0.0
+    return out
+
+
 class Pieces:
     """The pieces of a SentencePiece file, their scores and bytes."""
 
@@ -60,15 +86,19 @@ class Pieces:
             elif not model.is_control(i) and not model.is_unknown(i) and not model.is_unused(i):
                 self.vocabulary[piece] = (i, model.get_score(i))
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
+        scores = merge_scores({p: int(-s) for p, (_, s) in self.vocabulary.items()})
+        self.vocabulary = {p: (i, scores[p]) for p, (i, _) in self.vocabulary.items()}
         self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.byte_counts = np.array([len(b) for b in self.bytes_of])
         self.byte_starts = np.cumsum(self.byte_counts) - self.byte_counts
         self.longest = max(map(len, self.vocabulary))
-        self.unknown = min(s for _, s in self.vocabulary.values()) - 10.0  # a character that no piece holds, as bytes
+        self.unknown = -UNIT  # a character that no piece holds, as bytes
         self.vocabulary |= {chr(b): (self.byte_ids[b], self.unknown) for b in range(128) if chr(b) not in self.vocabulary}
         self.together = {p[i : i + 2] for p in self.vocabulary for i in range(len(p) - 1)}
+        self.prefixes = {p[:i] for p in self.vocabulary for i in range(1, len(p))}
         self.searched: dict[str, Best] = {}
-        self.known: dict[str, tuple[float, bytes, float]] = {}
+        self.known: dict[str, int] = {}  # chunk: its place in the lists of best score, its ids, loss of the second best
+        self.best_score, self.best_ids, self.best_loss = [], [], []
         hashes = np.zeros(len(self.vocabulary), np.uint64)
         for i, p in enumerate(self.vocabulary):
             h = 0
@@ -94,8 +124,12 @@ class Pieces:
             known = False
             base = reach[start]
             for end in range(start + 1, min(size, start + self.longest) + 1):
-                got = vocabulary.get(text[start:end])
-                if got:
+                piece = text[start:end]
+                got = vocabulary.get(piece)
+                if got is None:
+                    if piece not in self.prefixes:
+                        break
+                else:
                     known = known or end == start + 1
                     into[end].append((start, got[1], (got[0],)))
                     if base + got[1] > reach[end]:
@@ -135,10 +169,15 @@ class Pieces:
             self.searched[chunk] = got
         return got
 
+    def _remember(self, chunk: str, score: float, ids: bytes, loss: float) -> None:
+        self.known[chunk] = len(self.best_ids)
+        self.best_score.append(score), self.best_ids.append(ids), self.best_loss.append(loss)
+
+    def _forget(self) -> None:
+        self.known.clear(), self.best_score.clear(), self.best_ids.clear(), self.best_loss.clear()
+
     def _learn(self, chunks: list[str]) -> None:
         """Remembers (best score, its ids, loss of the second best) of new chunks."""
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
         by_length: dict[int, list[str]] = {}
         for c in chunks:
             by_length.setdefault(len(c) if len(c) <= WIDE else 0, []).append(c)
@@ -148,7 +187,7 @@ class Pieces:
                 slow += self._viterbi(same[at : at + 4096], length)
         for c in slow:
             best = self.n_best(c)
-            self.known[c] = (best[0][0], best[0][1], best[0][0] - best[1][0] if len(best) > 1 else np.inf)
+            self._remember(c, best[0][0], best[0][1], best[0][0] - best[1][0] if len(best) > 1 else np.inf)
 
     def _viterbi(self, chunks: list[str], length: int) -> list[str]:
         """Forward and backward Viterbi for many chunks of one length at once; returns those with ties or unknown characters, which need the search.
@@ -205,7 +244,7 @@ class Pieces:
         raw = found.tobytes()
         for i, (s, n, x) in enumerate(zip(best.tolist(), count.tolist(), loss.tolist(), strict=True)):
             if good[i]:
-                self.known[chunks[i]] = (s, raw[4 * (length * (i + 1) - n) : 4 * length * (i + 1)], x)
+                self._remember(chunks[i], s, raw[4 * (length * (i + 1) - n) : 4 * length * (i + 1)], x)
         return [chunks[i] for i in np.flatnonzero(~good).tolist()]
 
     def _places(self, h: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -246,14 +285,14 @@ class Pieces:
         known = self.known
         new = [c for c in set(chain.from_iterable(cut)) if c not in known]
         if len(known) + len(new) > REMEMBERED:
-            known.clear()
+            self._forget()
             new = list(set(chain.from_iterable(cut)))
         self._learn(new)
+        scores, all_losses, ids_of = np.array(self.best_score), np.array(self.best_loss), self.best_ids
         out = []
         for slots in cut:
-            best = [known.get(c) or self._late(c) for c in slots]
-            total, firsts = sum([b[0] for b in best]), [b[1] for b in best]
-            losses = np.array([b[2] for b in best])
+            at = list(map(known.__getitem__, slots))
+            total, losses, firsts = float(scores[at].sum()) if at else 0.0, all_losses[at] if at else np.zeros(0), [ids_of[i] for i in at]
             few = range(len(slots)) if len(slots) < self.n else np.sort(np.argsort(losses, kind="stable")[: self.n - 1]).tolist()
             few = [i for i in few if losses[i] < np.inf]
             mine: Best = []
@@ -265,11 +304,6 @@ class Pieces:
             out.append(mine)
         return out
 
-    def _late(self, chunk: str) -> tuple[float, bytes, float]:
-        """A chunk that one group of texts with more chunks than are remembered has lost again."""
-        self._learn([chunk])
-        return self.known[chunk]
-
     def decode(self, ids: bytes) -> str:
         """The text of ids; the blank that encoding puts before it goes."""
         found = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -302,6 +336,7 @@ def encode(documents: DataFrame, path: str, n: int = 3, ids: bool = False) -> Da
     fields += [("ids", pa.list_(pa.int64()))] if ids else []
 
     def encoded(batches: Iterator) -> Iterator:
+        gc.disable()  # this worker makes no cycles, and its many small lists are looked through again and again otherwise
         held = _held(path, n)
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
