@@ -247,7 +247,7 @@ def test_topk_against_brute_force(spark, huge):
     rows = [(i, [r.randint(-9, 9) * (10**7 if huge else 1) for _ in range(4)]) for i in range(230)]
     rows += [(i, [5, 5, 5, 5]) for i in range(300, 420)] + [(500, None), (501, [1]), (None, [1, 2, 3, 4])]
     df = spark.createDataFrame(rows, "vec_id long, q array<long>")
-    got = topk.top_k(df, df.where("vec_id % 25 = 0"), k=5, shard=60, block=7).collect()
+    got = topk.top_k(df, df.where("vec_id % 25 = 0"), k=5, shard=20).collect()
     want = {}
     for a, x in rows:
         if a is not None and a % 25 == 0 and x:
@@ -256,6 +256,21 @@ def test_topk_against_brute_force(spark, huge):
     assert {(g.query_id, g["rank"]): (g.vec_id, g.score) for g in got} == want
 
 
+def test_boxes_drop_shards_before_rows_move(spark):
+    """Clusters far apart: most pairs of a query and a shard are never visited, the result is that of brute force."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8))
+    x = np.floor(256 * (centres[np.arange(1200) % 12] * 4 + rng.normal(size=(1200, 8)) * 0.2)).astype(int)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, q array<long>")
+    counts = {}
+    got = {(g.query_id, g["rank"]): (g.vec_id, g.score) for g in topk.top_k(df, df.where("vec_id % 50 = 0"), shard=50, pruned=counts).collect()}
+    want = {}
+    for a in range(0, 1200, 50):
+        best = sorted((-int(s), b) for b, s in enumerate(x @ x[a]) if b != a)[:5]
+        want |= {(a, k + 1): (b, -s) for k, (s, b) in enumerate(best)}
+    assert got == want and counts["pairs"] == 24 * 32 and counts["visited"] < 0.5 * counts["pairs"]
+
+
 def test_quantised(spark):
     df = spark.createDataFrame([([0.5, -0.001],), (None,), ([],), ([1.0, None],), ([float("nan")],), ([float("inf")],)], "e array<float>")
     assert [x.q for x in df.select(topk.quantised(F.col("e")).alias("q")).collect()] == [[128, -1], None, None, None, None, None]
