@@ -21,8 +21,10 @@ COSINE = 0.93
 SHARD, BRANCH, SAMPLE, BRANCHES, DEPTH = 8000, 2000, 8000, 256, 6
 #: A split that makes more than SPREAD rows of each, or a branch of more than WIDEST of all rows, parts nothing; rows that one task assigns.
 SPREAD, WIDEST, BLOCK = 3, 0.75, 20_000
-#: Neighbours kept by pruning, its slack, and the nearest ones that link back to a vector, so that none is out of reach.
-DEGREE, ALPHA, BACK = 24, 1.2, 8
+#: Neighbours kept by pruning, its slack, and the nearest ones that link back to a vector besides, so that none is out of reach; the longest list, and the beam of insertion.
+DEGREE, ALPHA, BACK, LONGEST, BUILD = 24, 1.2, 8, 64, 48
+#: Queries that step together, and pairs that are verified together: they bound a task's memory whatever it finds.
+QUERIES, PAIRS = 256, 16_384
 #: The beams of a search, and the queries of a shard whose partners are found by brute force too. If the first beam misses any of
 #: them the next is tried; a shard that all beams fail is compared in blocks.
 BEAMS, AUDIT = (16, 32, 64), 64
@@ -80,7 +82,7 @@ def _assign(rows, fitted):
     return out
 
 
-SHARDED = "node long, label int, v array<double>, copies long, home boolean, shard string"
+SHARDED = "node long, label string, v array<double>, copies long, home boolean, shard string"
 
 
 def _widths(rows, fitted):
@@ -94,7 +96,7 @@ def shards(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     split = nodes.withColumn("home", F.lit(True)).withColumn("shard", F.concat_ws(":", "label", F.size("v")))
     done = dense = None
     for depth in range(DEPTH + 1):
-        split = written(split.select("node", F.col("label").cast("int").alias("label"), "v", "copies", "home", "shard"), "shards")
+        split = written(split.select("node", F.col("label").cast("string").alias("label"), "v", "copies", "home", "shard"), "shards")
         large = split.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
         if large.isEmpty():
             break
@@ -113,7 +115,7 @@ def shards(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         widths = dealt(big).groupBy("shard", "block").cogroup(parts.groupBy("shard", "block")).applyInPandas(_widths, "shard string, branch string, rows long")
         widths = widths.groupBy("shard", "branch").agg(F.sum("rows").alias("rows")).groupBy("shard").agg(F.sum("rows").alias("all"), F.max("rows").alias("widest"))
         tight = widths.join(large, "shard").where((F.col("all") > SPREAD * F.col("n")) | (F.col("widest") > WIDEST * F.col("n"))).select("shard")
-        tight = written(tight, "vector-tight", small=True)
+        tight = written(tight, "vector-tight")
         whole = big.join(tight, "shard", "left_semi")
         dense = whole if dense is None else dense.unionByName(whole)
         loose, parts = dealt(big.join(tight, "shard", "left_anti")), parts.join(tight, "shard", "left_anti")
@@ -124,72 +126,56 @@ def shards(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def prune(x: np.ndarray, around: int, candidates: np.ndarray, closeness: np.ndarray) -> list[int]:
     """Robust pruning: the nearest candidate stays and drops those that are ALPHA times nearer to it than to the vector itself."""
     order = candidates[np.argsort(-closeness, kind="stable")]
+    between = 2 - 2 * (x[order] @ x[order].T)
     away = 2 - 2 * (x[order] @ x[around])
     kept: list[int] = []
     live = np.ones(len(order), bool)
-    while live.any() and len(kept) < DEGREE:
+    while len(kept) < DEGREE:
         p = int(np.argmax(live))
+        if not live[p]:
+            break
         kept.append(int(order[p]))
-        live &= ALPHA * ALPHA * (2 - 2 * (x[order] @ x[order[p]])) > away
+        live &= ALPHA * ALPHA * between[p] > away
         live[p] = False
     return kept
 
 
-def _graph(rows):
-    """Adjacency lists of a shard: each vector's nearest candidates, pruned."""
-    import pandas as pd
-
-    x, ids = _unit(rows["v"]), rows["node"].to_numpy()
-    out, back = [], []
-    take = min(4 * DEGREE, len(x) - 1)
-    for at in range(0, len(x), 512):
-        close = x[at : at + 512] @ x.T
-        close[np.arange(len(close)), np.arange(at, at + len(close))] = -np.inf
-        best = np.argpartition(-close, take - 1, axis=1)[:, :take] if take else np.zeros((len(close), 0), int)
-        for i in range(len(close)):
-            out.append(prune(x, at + i, best[i], close[i, best[i]]) if take else [])
-            back += [(int(j), at + i) for j in best[i][np.argsort(-close[i, best[i]], kind="stable")[:BACK]]]
-    for j, i in back:
-        out[j].append(i)
-    return pd.DataFrame({"node": ids, "near": [ids[sorted(set(o))].tolist() for o in out]})
-
-
-def search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, medoid: int, beam: int, least: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
-    """(place in queries, place in x) of all that the search finds in range. lists is padded with -1.
-
-    Many queries step together. Each starts at the medoid and, being in the graph itself, at its own place, and expands the best
-    open place of its `beam` best until none is open. Then every place found in range is expanded, and what that finds in
-    range too, however many they are.
-    """
-    all_q, all_n = [], []
-    for at in range(0, len(queries), 256):
-        q = queries[at : at + 256]
-        rows = np.arange(len(q))
-        seen, spent = np.zeros((len(q), len(x)), bool), np.zeros((len(q), len(x)), bool)
-        place = np.stack([q, np.full(len(q), medoid)], 1)
-        value = np.stack([np.ones(len(q)), np.where(q == medoid, -np.inf, x[q] @ x[medoid])], 1)
-        seen[rows, q] = seen[:, medoid] = True
-        hits = [(rows, q)]
-        live = rows
-        near0 = np.flatnonzero((value[:, 1] >= least) & (q != medoid))
-        hits.append((near0, np.full(len(near0), medoid)))
+class Search:
+    """Greedy searches of many queries at once over adjacency lists, padded with -1. A query is a place of x; it may start at itself if it is in the graph."""
+
+    def __init__(self, x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int, beam: int, inside: bool, least: float = COSINE):
+        self.x, self.lists, self.q, self.least = x, lists, queries, least
+        rows = np.arange(len(queries))
+        self.seen, self.spent = np.zeros((len(queries), len(x)), bool), np.zeros((len(queries), len(x)), bool)
+        place = np.stack([queries, np.full(len(queries), start)], 1)
+        value = np.stack([np.full(len(queries), 1.0 if inside else -np.inf), np.where(inside & (queries == start), -np.inf, x[queries] @ x[start])], 1)
+        self.seen[rows, queries] = self.seen[:, start] = True
+        self.hits = [(rows, queries)] if inside else []
+        near = np.flatnonzero((value[:, 1] >= least) & (queries != start))
+        self.hits.append((near, np.full(len(near), start)))
+        self.place, self.value = self._greedy(place, value, beam)
+
+    def _greedy(self, place: np.ndarray, value: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each query expands the best open place of its `beam` best until none is open; returns the best places and their closeness."""
+        x, q = self.x, self.q
+        live = np.arange(len(q))
         while len(live):
-            still = np.where(spent[live[:, None], place[live]], -np.inf, value[live])
+            still = np.where(self.spent[live[:, None], place[live]], -np.inf, value[live])
             best = np.argmax(still, 1)
             go = still[np.arange(len(live)), best] > -np.inf
             live, best = live[go], best[go]
             if not len(live):
                 break
             chosen = place[live, best]
-            spent[live, chosen] = True
-            near = lists[chosen]
-            fresh = (near >= 0) & ~seen[live[:, None], near]
+            self.spent[live, chosen] = True
+            near = self.lists[chosen]
+            fresh = (near >= 0) & ~self.seen[live[:, None], near]
             r, c = np.nonzero(fresh)
-            seen[live[r], near[r, c]] = True
+            self.seen[live[r], near[r, c]] = True
             close = np.full(near.shape, -np.inf)
             close[r, c] = np.einsum("ij,ij->i", x[q[live[r]]], x[near[r, c]])
-            r, c = np.nonzero(close >= least)
-            hits.append((live[r], near[r, c]))
+            r, c = np.nonzero(close >= self.least)
+            self.hits.append((live[r], near[r, c]))
             both, values = np.concatenate((place[live], np.maximum(near, 0)), 1), np.concatenate((value[live], close), 1)
             top = np.argpartition(-values, beam - 1, axis=1)[:, :beam] if values.shape[1] > beam else np.argsort(-values, axis=1)
             if place.shape[1] != top.shape[1]:
@@ -197,26 +183,98 @@ def search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, medoid: int, b
                 grown[:, : place.shape[1]] = value
                 place, value = np.pad(place, ((0, 0), (0, top.shape[1] - place.shape[1]))), grown
             place[live], value[live] = np.take_along_axis(both, top, 1), np.take_along_axis(values, top, 1)
-        found_q, found_n = (np.concatenate([h[k] for h in hits]) for k in (0, 1))
-        new_q, new_n = found_q, found_n
+        return place, value
+
+    def in_range(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of the query, place) of all that is in range: what the greedy search met, then what expanding every place in range finds, and so on, in parts."""
+        new_q, new_n = (np.concatenate([h[k] for h in self.hits]) for k in (0, 1))
         while len(new_q):
-            todo = ~spent[new_q, new_n]
+            yield new_q, new_n
+            todo = ~self.spent[new_q, new_n]
             new_q, new_n = new_q[todo], new_n[todo]
-            spent[new_q, new_n] = True
-            next_q, next_n = [], []
-            for a in range(0, len(new_q), 8192):
-                near = lists[new_n[a : a + 8192]]
-                owner = np.broadcast_to(new_q[a : a + 8192, None], near.shape)
-                fresh = (near >= 0) & ~seen[owner, near]
-                pair = np.unique(owner[fresh] * len(x) + near[fresh])
-                o, n = pair // len(x), pair % len(x)
-                seen[o, n] = True
-                inside = np.einsum("ij,ij->i", x[q[o]], x[n]) >= least
+            self.spent[new_q, new_n] = True
+            next_q, next_n = [new_q[:0]], [new_n[:0]]
+            for a in range(0, len(new_q), PAIRS):
+                near = self.lists[new_n[a : a + PAIRS]]
+                owner = np.broadcast_to(new_q[a : a + PAIRS, None], near.shape)
+                fresh = (near >= 0) & ~self.seen[owner, near]
+                pair = np.unique(owner[fresh] * len(self.x) + near[fresh])
+                o, n = pair // len(self.x), pair % len(self.x)
+                self.seen[o, n] = True
+                inside = np.concatenate([np.einsum("ij,ij->i", self.x[self.q[o[b : b + PAIRS]]], self.x[n[b : b + PAIRS]]) >= self.least for b in range(0, len(o), PAIRS)] or [np.zeros(0, bool)])
                 next_q.append(o[inside]), next_n.append(n[inside])
-            new_q, new_n = (np.concatenate(next_q), np.concatenate(next_n)) if next_q else (new_q[:0], new_n[:0])
-            found_q, found_n = np.concatenate((found_q, new_q)), np.concatenate((found_n, new_n))
-        all_q.append(found_q + at), all_n.append(found_n)
-    return (np.concatenate(all_q), np.concatenate(all_n)) if all_q else (np.zeros(0, int), np.zeros(0, int))
+            new_q, new_n = np.concatenate(next_q), np.concatenate(next_n)
+
+
+def search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, medoid: int, beam: int, least: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place of the query, place in x) of all that greedy search with range expansion finds in range, in parts of a bounded number of queries."""
+    for at in range(0, len(queries), QUERIES):
+        q = queries[at : at + QUERIES]
+        for rows, places in Search(x, lists, q, medoid, beam, True, least).in_range():
+            yield q[rows], places
+
+
+def padded(lists: list[list[int]]) -> np.ndarray:
+    out = np.full((len(lists), max(1, max(map(len, lists), default=1))), -1)
+    for i, own in enumerate(lists):
+        out[i, : len(own)] = own
+    return out
+
+
+def built(x: np.ndarray, medoid: int) -> list[list[int]]:
+    """Adjacency lists of a graph that grows by insertion: a vector is searched for in the graph so far, its neighbours are what the search met, pruned, and link
+    back; a list that grows too long is pruned. Insertion goes in an order drawn once, in batches that double, and each batch searches the graph before it."""
+    lists: list[list[int]] = [[] for _ in range(len(x))]
+    order = np.random.default_rng(1).permutation(len(x))
+    order = np.concatenate(([medoid], order[order != medoid]))
+    flat = np.full((len(x), LONGEST), -1)
+    at = 1
+    while at < len(order):
+        batch = order[at : at + min(at, QUERIES)]
+        found = Search(x, flat, batch, medoid, BUILD, False, 2.0)  # no range: only what lies nearest
+        changed = set()
+        for i, places, values in zip(batch.tolist(), found.place, found.value, strict=True):
+            good = values > -np.inf
+            near, close = places[good], values[good]
+            lists[i] = prune(x, i, near, close)
+            for j in dict.fromkeys([*lists[i], *near[np.argsort(-close, kind="stable")[:BACK]].tolist()]):  # the nearest ones too, so that a vector can be reached
+                lists[j].append(i)
+                changed.add(j)
+        for j in changed:
+            if len(lists[j]) > LONGEST:
+                own = np.array(list(dict.fromkeys(lists[j])))
+                close = x[own] @ x[j]
+                lists[j] = list(dict.fromkeys([*prune(x, j, own, close), *own[np.argsort(-close, kind="stable")[:BACK]].tolist()]))
+        for j in (*changed, *batch.tolist()):
+            flat[j] = -1
+            flat[j, : len(lists[j])] = lists[j]
+        at += len(batch)
+    return lists
+
+
+def _medoid(x: np.ndarray) -> int:
+    return int(np.argmax(x @ x.mean(0)))
+
+
+def _graph(rows):
+    """Adjacency lists of a shard."""
+    import pandas as pd
+
+    rows = rows.sort_values("node")
+    x, ids = _unit(rows["v"]), rows["node"].to_numpy()
+    return pd.DataFrame({"node": ids, "near": [ids[sorted(set(o))].tolist() for o in built(x, _medoid(x))]})
+
+
+def united(root: np.ndarray, q: np.ndarray, n: np.ndarray) -> None:
+    """Joins the sets of q and n in root, which names each set's least place."""
+    while True:
+        u, w = root[q], root[n]
+        apart = u != w
+        if not apart.any():
+            return
+        np.minimum.at(root, np.maximum(u, w)[apart], np.minimum(u, w)[apart])
+        while not np.array_equal(root[root], root):
+            root[:] = root[root]
 
 
 def _found(rows):
@@ -225,37 +283,30 @@ def _found(rows):
 
     rows = rows.sort_values("node")
     x, ids, copies, home = _unit(rows["v"]), rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["home"].to_numpy()
-    lists = np.full((len(x), max(1, max(map(len, rows["near"])))), -1)
-    for i, near in enumerate(rows["near"]):  # of the united lists, what is in this shard
+    own = []
+    for near in rows["near"]:  # of the united lists, what is in this shard
         at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
-        at = at[ids[at] == near] if len(near) else at
-        lists[i, : len(at)] = at
-    medoid = int(np.argmax(x @ x.mean(0)))
+        own.append(at[ids[at] == near] if len(near) else at)
+    lists, medoid = padded(own), _medoid(x)
     asked = np.flatnonzero(home)
     audited = asked[np.unique(np.linspace(0, len(asked) - 1, AUDIT).astype(int))] if len(asked) else asked
     there = sum(int((x @ x[i] >= COSINE).sum()) for i in audited)
-    for beam in BEAMS:
-        if len(search(x, lists, audited, medoid, beam)[0]) >= there:
-            qs, ns = search(x, lists, asked, medoid, beam)
-            qs = asked[qs]
-            break
-    else:
-        pairs = [np.nonzero(x[asked[a : a + 512]] @ x.T >= COSINE - 1e-9) for a in range(0, len(asked), 512)]
-        qs, ns = (np.concatenate([asked[p[0] + 512 * k] if not j else p[1] for k, p in enumerate(pairs)]) for j in (0, 1))
-    exact = (qs != ns) & ((x[qs] * x[ns]).sum(1) >= COSINE)  # verified in doubles
-    qs, ns = qs[exact], ns[exact]
-    links = np.bincount(qs, copies[ns], len(x)).astype(np.int64) + copies - 1
-    root = np.arange(len(x))
-    while True:
-        before = root.copy()
-        low = np.minimum(root[qs], root[ns])
-        np.minimum.at(root, qs, low)
-        np.minimum.at(root, ns, low)
-        root = root[root]
-        if np.array_equal(before, root):
-            break
-    told = home.copy()
-    told[ns] = True
+    beam = next((b for b in BEAMS if sum(len(q) for q, _ in search(x, lists, audited, medoid, b)) >= there), None)
+
+    def every() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a in range(0, len(asked), QUERIES):
+            q, n = np.nonzero(x[asked[a : a + QUERIES]] @ x.T >= COSINE - 1e-9)
+            yield asked[a + q], n
+
+    links, root, told = copies - 1, np.arange(len(x)), home.copy()
+    for qs, ns in search(x, lists, asked, medoid, beam) if beam else every():
+        for a in range(0, len(qs), PAIRS):
+            q, n = qs[a : a + PAIRS], ns[a : a + PAIRS]
+            exact = (q != n) & ((x[q] * x[n]).sum(1) >= COSINE)  # verified in doubles
+            q, n = q[exact], n[exact]
+            links = links + np.bincount(q, copies[n], len(x)).astype(np.int64)
+            told[n] = True
+            united(root, q, n)
     return pd.DataFrame({"node": ids[told], "n_links": np.where(home, links, 0)[told], "root": ids[root[told]], "home": home[told]})
 
 
@@ -279,15 +330,7 @@ def _block(rows):
         hit[own] = True
         links[at_x[a : a + 256]] += hit @ copies - own.any(1)
         q, n = np.nonzero(hit)
-        q, n = at_x[a + q], at_y[n]
-        while True:
-            u, w = root[q], root[n]
-            apart = u != w
-            if not apart.any():
-                break
-            np.minimum.at(root, np.maximum(u, w)[apart], np.minimum(u, w)[apart])
-            while not np.array_equal(root[root], root):
-                root = root[root]
+        united(root, at_x[a + q], at_y[n])
     home = np.isin(np.arange(len(ids)), at_x)
     told = home | (root != np.arange(len(ids)))
     return pd.DataFrame({"node": ids[told], "n_links": links[told], "root": ids[root[told]], "home": home[told]})
