@@ -358,6 +358,21 @@ def test_toxicity_on_held_out_and_misspelt_words(spark):
     assert sum(p == y for p, y in held) >= 0.97 * len(held)
     assert got[5002].predicted == 1 and got[5003].predicted == 0 and 0 <= got[5000].score == got[5001].score <= 1
     assert all(zlib.crc32(str(x.doc_id).encode()) % 3 != 1 for x in toxicity.training_rows(d, labels).collect())
+    again = docs(spark, [(0, "b"), (0, "a"), (0, None)] + [(i, t) for i, t, _ in rows[1:20]])
+    rows_of = toxicity.training_rows(again, labels).collect()
+    assert len({x.doc_id for x in rows_of}) == len(rows_of) and all(x.text == "a" for x in rows_of if x.doc_id == 0)
+    clash = toxicity.score(d.withColumn("score", F.lit("x")).withColumn("predicted", F.lit("y")), model)
+    assert dict(clash.dtypes)["score"] == "double" and clash.columns.count("predicted") == 1 and clash.count() == d.count()
+    # a plain version of the score, word by word and segment by segment
+    for t in [t for _, t, _ in rows[:40]] + ["", None, "lo lo lo lo", " ".join(["lo"] * 30 + ["grobnak"] * 3), "word " * 200_000]:
+        w = toxicity.split_words(t)
+        said = {}
+        for x in set(w):
+            grams, _ = toxicity.word_grams([x])
+            said[x] = float(model.weights[grams].mean())
+        cuts = [w] if len(w) <= toxicity.SEGMENT else [w[a : a + toxicity.SEGMENT] for a in (*range(0, len(w) - toxicity.SEGMENT, toxicity.SEGMENT), len(w) - toxicity.SEGMENT)]
+        worst = max((sum(said[x] for x in set(c)) / len(c) for c in cuts if c), default=0.0)
+        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-np.clip(worst + model.bias, -40, 40))))
     nothing = toxicity.fit(d, labels.limit(0))
     assert 0 <= nothing.score("anything") <= 1 and toxicity.score(d.limit(0), nothing).count() == 0
 

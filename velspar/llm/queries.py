@@ -69,12 +69,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return omh.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+    return omh.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "linked_doc", "similarity")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,20 +73,25 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.known: dict[str, float] = {}
+        self.known: dict[str, int] = {}  # word: its place in scores
+        self.scores = np.zeros(REMEMBERED)
 
-    def word_scores(self, text_words: list[str]) -> np.ndarray:
+    def places(self, text_words: list[str]) -> np.ndarray:
+        """The places of a text's words in self.scores."""
         known = self.known
         fresh = [w for w in set(text_words) if w not in known]
-        if fresh:
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = list(set(text_words))
-            for at in range(0, len(fresh), 50_000):
-                part = fresh[at : at + 50_000]
-                grams, limits = word_grams(part)
-                self.known.update(zip(part, (np.add.reduceat(self.weights[grams], limits[:-1]) / np.diff(limits)).tolist(), strict=True))
-        return np.fromiter(map(self.known.__getitem__, text_words), np.float64, len(text_words))
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+            fresh = list(set(text_words))
+            if len(fresh) > len(self.scores):
+                self.scores = np.zeros(len(fresh))
+        for at in range(0, len(fresh), 50_000):
+            part = fresh[at : at + 50_000]
+            grams, limits = word_grams(part)
+            first = len(known)
+            self.scores[first : first + len(part)] = np.add.reduceat(self.weights[grams], limits[:-1]) / np.diff(limits)
+            known.update(zip(part, range(first, first + len(part)), strict=True))
+        return np.fromiter(map(known.__getitem__, text_words), np.int64, len(text_words))
 
     def score(self, text: str | None) -> float:
         """The softmax of the worst segment; a text without words has the bias alone."""
@@ -94,7 +99,7 @@ class Model:
         for part in parts(text or ""):
             found = split_words(part)
             if found:
-                top = float(segment_means(self.word_scores(found)).max())
+                top = float(segment_means(self.places(found), self.scores).max())
                 worst = top if worst is None else max(worst, top)
         worst = worst or 0.0
         return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -40, 40))))
@@ -105,12 +110,13 @@ def segments(n: int) -> np.ndarray:
     return np.append(np.arange(0, n - SEGMENT, SEGMENT), n - SEGMENT) if n > SEGMENT else np.zeros(1, np.int64)
 
 
-def segment_means(x: np.ndarray) -> np.ndarray:
-    """The sum over the distinct words of each segment, divided by its length: a word that repeats itself doesn't outweigh the rest."""
-    starts = segments(len(x))
-    rows = np.sort(x[starts[:, None] + np.arange(min(SEGMENT, len(x)))], 1)
-    rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = np.nan
-    return np.nansum(rows, 1) / rows.shape[1]
+def segment_means(places: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The sum of scores over the distinct words of each segment, divided by its length: a word that repeats itself doesn't outweigh the rest."""
+    starts = segments(len(places))
+    rows = np.sort(places[starts[:, None] + np.arange(min(SEGMENT, len(places)))], 1)
+    own = scores[rows]
+    own[:, 1:][rows[:, 1:] == rows[:, :-1]] = 0
+    return own.sum(1) / rows.shape[1]
 
 
 def train(rows: Iterable[tuple[int, str | None, int]], seed: int = 7, rounds: int = 6) -> Model:
@@ -179,7 +185,7 @@ def train(rows: Iterable[tuple[int, str | None, int]], seed: int = 7, rounds: in
                 some = [doc if len(doc) <= 200 else rng.choice(doc, 200, replace=False)]
             else:
                 starts = segments(len(doc))
-                worst = int(np.argmax(segment_means(now[doc])))
+                worst = int(np.argmax(segment_means(doc, now)))
                 chosen = {worst} if label else {worst, *rng.integers(0, len(starts), 2).tolist()}
                 some = [doc[starts[i] : starts[i] + SEGMENT] for i in sorted(chosen)]
             bags += [np.unique(x) for x in some]
@@ -195,11 +201,13 @@ def train(rows: Iterable[tuple[int, str | None, int]], seed: int = 7, rounds: in
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, toxic: int = MAX_TOXIC, clean: int = MAX_CLEAN) -> DataFrame:
-    """(doc_id, text, toxic): labelled rows that aren't held out, at most so many toxic and clean ones, by a hash of doc_id. Held out: crc32(doc_id as text) mod 3 is 1."""
+    """(doc_id, text, toxic): labelled rows that aren't held out, at most so many toxic and clean ones, by a hash of doc_id; of rows with one doc_id the
+    least text. Held out: crc32(doc_id as text) mod 3 is 1."""
     known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id")
     fit = known.where("toxic = 1").limit(toxic).unionByName(known.where("toxic = 0").limit(clean))
-    return documents.select("doc_id", "text").join(F.broadcast(fit), "doc_id")  # at most toxic + clean pairs of numbers
+    found = documents.select("doc_id", "text").join(F.broadcast(fit), "doc_id")  # at most toxic + clean pairs of numbers
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
