@@ -41,8 +41,6 @@ def test_rules(spark):
         effects.accepted(np.array([-0.1, 0.9]), [{"step": 0.0}])
     zs = effects.z_scores(np.array([0.4, 0.6]), np.diag([2.0, 1.0]), 50)
     assert zs[0] == pytest.approx(0.4 * 10, rel=1e-6)
-    null = effects.boundary_maximum(np.array([0.1, -3.5]), np.eye(2))
-    assert null["position"] == 1 and null["p"] < 0.01 and 2.1 < null["critical"] < 2.4
     values = spark.createDataFrame([(0, -1, 2.0), (0, 0, 3.0)], "s long, r long, x double")
     out = effects.residuals(values, values.withColumn("x", F.col("x") * 10), spark.createDataFrame([(7, 0, 0.5)], "path int, r long, b double")).first()
     assert (out.path, out.r, out.hr) == (7, 0.5, 5.0)

@@ -81,14 +81,3 @@ def relative_change(now: DataFrame, before: DataFrame, response: DataFrame) -> f
 
 def converged(mean_change: float, h2: float, h2_before: float, mean_tol: float = 0.05, h2_tol: float = 0.01) -> bool:
     return mean_change <= mean_tol and abs(h2 - h2_before) <= h2_tol
-
-
-def boundary_maximum(observed: np.ndarray, correlation: np.ndarray, samples: int = 16383, seed: int = 1, alpha: float = 0.05) -> dict:
-    """The joint null of the largest |z| over correlated cuts: p = (1 + draws at or above it) / (samples + 1), the critical value, and the best cut, ties to the first."""
-    values, vectors = np.linalg.eigh((correlation + correlation.T) / 2)
-    root = vectors * np.sqrt(np.maximum(values, 0))
-    rng = np.random.default_rng(seed)
-    top = np.concatenate([np.abs(rng.standard_normal((min(4096, samples - a), len(root))) @ root.T).max(1) for a in range(0, samples, 4096)])
-    best = int(np.argmax(np.abs(observed)))
-    at = samples - int(np.floor(alpha * (samples + 1)))
-    return {"position": best, "statistic": float(np.abs(observed[best])), "p": float((1 + (top >= np.abs(observed[best])).sum()) / (samples + 1)), "critical": float(np.sort(top)[min(at, samples - 1)])}

@@ -25,21 +25,42 @@ def _scalars(spark, **columns: dict) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(k, *[float(c.get(k, 0.0)) for c in columns.values()]) for k in keys], "r long, " + ", ".join(f"{n} double" for n in columns)))  # a row per right-hand side
 
 
-def pcg(product: Operator, b: DataFrame, diagonal: DataFrame | None = None, tol: float = 1e-8, maxiter: int = 50, precond: Operator | None = None) -> tuple[DataFrame, dict, int]:
-    """(x, true relative residuals, iterations) of product(x) = b for all right-hand sides of b (s, r, x) at once.
+def pcg(product: Operator, b: DataFrame, diagonal: DataFrame | None = None, tol: float = 1e-8, maxiter: int = 50, precond: Operator | None = None, x0: DataFrame | None = None, restarts: int = 2) -> tuple[DataFrame, dict, int]:
+    """(x, true relative residuals, iterations) of product(x) = b for all right-hand sides of b (s, r, x) at once, from x0 (s, r, x) or zeros.
 
     Preconditioned by a diagonal (s, d) or a linear map if there is one. Sides that have converged stand still; a side of zeros gives zeros. The
-    residual that is returned is computed anew from x. Curvature that isn't positive is an error.
+    residual that is returned is computed anew from x; while it is above tol for some side and iterations are left, the solution starts again from there,
+    `restarts` times at most. Curvature that isn't positive is an error.
     """
+    x, done = x0, 0
+    for _ in range(restarts + 1):
+        rest = b if x is None else residual_of(product, b, x)
+        step, error, used = _pcg(product, written(rest, "pcg-residual") if x is not None else b, b, diagonal, tol, maxiter - done, precond)
+        x = step if x is None else written(step.unionByName(x).groupBy("s", "r").agg(F.sum("x").alias("x")), "pcg-solution")
+        done += used
+        if done >= maxiter or not used or all(e <= tol for e in error.values()):
+            break
+    return x, error, done
+
+
+def residual_of(product: Operator, b: DataFrame, x: DataFrame) -> DataFrame:
+    """b - product(x)."""
+    own = product(x).select("s", "r", F.col("x").alias("hx"))
+    return b.join(own, ["s", "r"], "left").select("s", "r", (F.col("x") - F.coalesce("hx", F.lit(0.0))).alias("x"))
+
+
+def _pcg(product: Operator, b: DataFrame, whole: DataFrame, diagonal: DataFrame | None, tol: float, maxiter: int, precond: Operator | None) -> tuple[DataFrame, dict, int]:
+    """pcg from zeros for the residuals b of right-hand sides `whole`, to whose norms tol refers."""
     spark = b.sparkSession
-    norm = dots(b, b)
+    norm = dots(whole, whole)
     scaled = lambda t: t if diagonal is None else t.join(diagonal, "s").select("s", "r", (F.col("x") / F.col("d")).alias("x"))
     inverse = precond or scaled
     start = b.select("s", "r", F.lit(0.0).alias("u"), F.col("x").alias("res"))
     state = written(start.join(inverse(b).select("s", "r", F.col("x").alias("p")), ["s", "r"]), "pcg")
     side = lambda c: state.select("s", "r", F.col(c).alias("x"))
     rho = dots(side("res"), side("p"))
-    live = {r for r, v in norm.items() if v > 0}
+    first = norm if whole is b else dots(b, b)
+    live = {r for r, v in norm.items() if v > 0 and first[r] > tol * tol * v}
     done = 0
     while live and done < maxiter:
         done += 1
@@ -62,7 +83,7 @@ def pcg(product: Operator, b: DataFrame, diagonal: DataFrame | None = None, tol:
         rho = {**rho, **new}
         live = {r for r in live if size[r] > tol * tol * norm[r]}
     x = state.select("s", "r", F.col("u").alias("x"))
-    left = b.join(product(x).select("s", "r", F.col("x").alias("hx")), ["s", "r"], "left").select("s", "r", (F.col("x") - F.coalesce("hx", F.lit(0.0))).alias("x"))
+    left = residual_of(product, b, x)
     error = dots(left, left)
     return x, {r: (error[r] / n) ** 0.5 if n else 0.0 for r, n in norm.items()}, done
 
@@ -93,21 +114,22 @@ def logdet(product: Operator, samples: DataFrame, n: int, count: int = 8, steps:
             break
         size = {r: d**0.5 for r, d in dots(got, got).items()}
         for r in betas:
-            betas[r].append(size[r])
+            betas[r].append(size[r] if size[r] >= 1e-10 else 0.0)  # a probe whose space is exhausted ends here
         if max(size.values()) < 1e-10:
             break
         before = q
-        q = written(got.join(_scalars(spark, a={r: 1 / max(v, 1e-300) for r, v in size.items()}), "r").select("s", "r", (F.col("x") * F.col("a")).alias("x")), "lanczos")
+        q = written(got.join(_scalars(spark, a={r: 1 / v if v >= 1e-10 else 0.0 for r, v in size.items()}), "r").select("s", "r", (F.col("x") * F.col("a")).alias("x")), "lanczos")
     each = []
     for r in alphas:
-        t = np.diag(alphas[r]) + np.diag(betas[r][: len(alphas[r]) - 1], 1) + np.diag(betas[r][: len(alphas[r]) - 1], -1)
+        k = next((i + 1 for i, x in enumerate(betas[r]) if not x), len(alphas[r]))
+        t = np.diag(alphas[r][:k]) + np.diag(betas[r][: k - 1], 1) + np.diag(betas[r][: k - 1], -1)
         values, vectors = np.linalg.eigh(t)
         each.append(n * float((vectors[0] ** 2 * np.log(np.maximum(values, 1e-300))).sum()))
     return float(np.mean(each)), float(np.std(each, ddof=1) / len(each) ** 0.5) if len(each) > 1 else float("nan")
 
 
 def solve_spd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A small positive definite system by Cholesky, with a growing jitter if it is nearly singular."""
+    """A small positive definite system by Cholesky, with a growing jitter if it is nearly singular; an error if that doesn't help."""
     scale = max(float(np.mean(np.diag(a))), 1e-300)
     for k in range(9):
         try:
@@ -115,7 +137,7 @@ def solve_spd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return np.linalg.solve(f.T, np.linalg.solve(f, b))
         except np.linalg.LinAlgError:
             continue
-    return np.linalg.lstsq(a, b, rcond=None)[0]
+    raise ValueError("the system isn't positive definite")
 
 
 def bounded_step(score: np.ndarray, info: np.ndarray, theta: np.ndarray, floor: float) -> np.ndarray:
@@ -154,7 +176,10 @@ def fit_reml(hv: Callable[[np.ndarray, DataFrame], DataFrame], parts: Callable[[
 
     def projected(at: np.ndarray, b: DataFrame) -> DataFrame:
         """P b = H⁻¹b - H⁻¹Q (Q'H⁻¹Q)⁻¹ Q'H⁻¹b for b that holds the columns of Q too."""
-        x = written(pcg(lambda t: hv(at, t), b, tol=1e-6)[0], "reml-solved")
+        x, error, _ = pcg(lambda t: hv(at, t), b, tol=1e-6, maxiter=200)
+        if any(not e <= 1e-5 for e in error.values()):
+            raise ValueError(f"unsolved right-hand sides at {at}: {error}")
+        x = written(x, "reml-solved")
         inner = {(r.i, r.r): r.d for r in qs.join(x, "s").groupBy("i", "r").agg(F.sum(F.col("q") * F.col("x")).alias("d")).collect()}  # a few numbers per side
         sides = sorted({r for _, r in inner if r not in ranks})
         gram = np.array([[inner[i, j] for j in ranks] for i in ranks])

@@ -277,10 +277,10 @@ def projected_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linops.projected_core(*made(spark, sf_dir), u), "c", digits=2)
 
 
-@query("SELECT a.v AS i, b.v AS j, round(sum(a.z * b.z), 4) + 0.0 AS q FROM zed a JOIN zed b USING (s) WHERE a.v % 10 = 0 AND b.v % 10 = 0 GROUP BY 1, 2")
+@query("SELECT a.v AS i, b.v AS j, round(sum(a.z * b.z), 6) + 0.0 AS q FROM zed a JOIN zed b USING (s) GROUP BY 1, 2")
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = variants(spark, sf_dir).where("v % 10 = 0").select("v")
-    return rounded(linops.gram_matrix(*made(spark, sf_dir), chosen), "q", digits=4)
+    chosen = variants(spark, sf_dir).select("v")
+    return rounded(linops.gram_matrix(*made(spark, sf_dir), chosen), "q", digits=6)
 
 
 # --- LD ----------------------------------------------------------------------------------------------------------
@@ -298,12 +298,13 @@ def ld_score_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ld.ld_scores(geno(spark, sf_dir), variants(spark, sf_dir)), "ld_score")
 
 
-_VCOR = "pairs AS (SELECT l_partkey % 100 AS a, l_suppkey % 100 AS b, avg(l_discount) AS r2 FROM lineitem GROUP BY 1, 2)"
+_VCOR = "pairs AS (SELECT l_partkey % 100 AS a, l_suppkey % 100 AS b, floor(sum(CAST(round(l_discount * 100) AS BIGINT)) * 100 / count(*)) / 10000.0::DOUBLE AS r2 FROM lineitem GROUP BY 1, 2)"
 
 
 @query("SELECT variants.v, round(1 + coalesce(sum(r2), 0), 4) AS ld_score FROM variants LEFT JOIN (SELECT a AS v, r2 FROM pairs WHERE a <> b UNION ALL SELECT b, r2 FROM pairs WHERE a <> b) e ON e.v = variants.v GROUP BY variants.v", _VCOR)
 def vcor_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 100).alias("a"), (F.col("l_suppkey") % 100).alias("b")).agg(F.avg("l_discount").alias("r2"))
+    pairs = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 100).alias("a"), (F.col("l_suppkey") % 100).alias("b")).agg(F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("cents"), F.count("*").alias("n"))
+    pairs = pairs.select("a", "b", (F.floor(F.col("cents") * 100 / F.col("n")) / 10000.0).alias("r2"))  # whole ten-thousandths: sums have no ties to round
     return rounded(ld.accumulated(variants(spark, sf_dir).select("v"), pairs, "v", "a", "b"), "ld_score", digits=4)
 
 
