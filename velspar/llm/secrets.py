@@ -73,6 +73,7 @@ def scan_history(history: DataFrame, ledger: str, text: str = "text") -> DataFra
     done = _ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION)
     blobs.join(done.select("blob"), "blob", "left_anti").mapInArrow(_scan, LEDGER).write.mode("append").parquet(ledger)
     known = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == RULE_VERSION).groupBy("blob").agg(F.first("findings").alias("findings"))
+    known = known.repartition("blob")  # an exchange of its own, so that a skewed join can still be split
     return named.join(known, "blob")
 
 
