@@ -38,7 +38,7 @@ def pcg(product: Operator, b: DataFrame, diagonal: DataFrame | None = None, tol:
         step, error, used = _pcg(product, written(rest, "pcg-residual") if x is not None else b, b, diagonal, tol, maxiter - done, precond)
         x = step if x is None else written(step.unionByName(x).groupBy("s", "r").agg(F.sum("x").alias("x")), "pcg-solution")
         done += used
-        if done >= maxiter or not used or all(e <= tol for e in error.values()):
+        if done >= maxiter or not used or all(e <= 1.05 * tol for e in error.values()):
             break
     return x, error, done
 
