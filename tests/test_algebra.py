@@ -67,6 +67,20 @@ def test_products(spark, dense):
     assert np.allclose(back(got, (N, 2)), root @ (z @ z.T / (inv > 0).sum()) @ root @ x)
 
 
+def test_products_of_entries_alone(spark, dense):
+    geno, st, _, z, inv, _ = dense
+    entries = geno.where("g is null or g > 0")
+    own = stats.sparse_stats(entries, st.select("v"), N)
+    assert sorted(own.collect()) == sorted(st.select(*own.columns).collect())
+    x = np.random.default_rng(21).normal(size=(N, 2))
+    v = vec(spark, x)
+    assert np.allclose(back(linops.zt_sparse(entries, own, v), (M, 2), "v", "b"), z.T @ x)
+    b = np.random.default_rng(22).normal(size=(M, 2))
+    table = spark.createDataFrame([(j, r, float(b[j, r])) for j in range(M) for r in (0, 1)], "v long, r long, b double")
+    assert np.allclose(back(linops.z_sparse(entries, own, table, geno.select("s").distinct()), (N, 2)), z @ b)
+    assert linops.zt_sparse(entries.limit(0), own, v.limit(0)).count() == 0
+
+
 def test_associations(spark, dense):
     geno, st, _, z, inv, _ = dense
     rng = np.random.default_rng(8)
@@ -108,10 +122,51 @@ def test_solvers(spark, dense):
     assert np.allclose(back(x, (N, 3)), np.linalg.solve(h, b), rtol=1e-5) and max(error.values()) < 1e-6 and steps <= N + 2
     value, se = solvers.logdet(product, geno.select("s").distinct(), N, count=8, steps=10)
     assert abs(value - np.linalg.slogdet(h)[1]) < 5 * se + 0.5
+    samples = geno.select("s").distinct()
+    parts = lambda t: linops.k_by_component(geno, st, comps, t).select("s", "comp", "r", "x").unionByName(t.select("s", F.lit(2).alias("comp"), "r", "x"))
+    same, slopes = solvers.logdet_slopes(product, parts, 3, samples, N, count=8, steps=10)
+    assert same == pytest.approx(value)
+
+    def at(coefficients):
+        """The quadrature that logdet makes, on dense matrices."""
+        dense_h = coefficients[0] * ks[0] + coefficients[1] * ks[1] + coefficients[2] * np.eye(N)
+        signs = back(solvers.probes(samples, 8), (N, 8))
+        total = 0.0
+        for u in signs.T / N**0.5:
+            q, before, beta, a, e = u, 0 * u, 0.0, [], []
+            for _ in range(10):
+                w = dense_h @ q
+                a.append(q @ w)
+                w = w - a[-1] * q - beta * before
+                beta = np.linalg.norm(w)
+                e.append(beta)
+                q, before = w / beta, q
+            total += N * solvers.quadrature(np.diag(a) + np.diag(e[:-1], 1) + np.diag(e[:-1], -1), np.zeros((0, 10, 10)))[0] / 8
+        return total
+
+    assert at([0.3, 0.2, 0.5]) == pytest.approx(value)
+    for c in range(3):
+        shift = 1e-5 * np.eye(3)[c]
+        assert slopes[c] == pytest.approx((at([0.3, 0.2, 0.5] + shift) - at([0.3, 0.2, 0.5] - shift)) / 2e-5, rel=1e-4, abs=1e-4)
     with pytest.raises(ValueError, match="positive"):
         solvers.pcg(lambda t: t.select("s", "r", (-F.col("x")).alias("x")), vec(spark, b))
 
 
+def test_affine_determinants(spark, dense):
+    geno, st, comps, z, inv, ks = dense
+    samples = geno.select("s").distinct()
+    own = z @ z.T / (inv > 0).sum()
+    line = solvers.lanczos(lambda t: linops.k(geno, st, t), samples, N, count=4, steps=16)  # K has 15 eigenvalues that differ, so the quadrature is exact
+    signs = back(solvers.probes(samples, 4), (N, 4))
+    values, vectors = np.linalg.eigh(own)
+    for a, e in ((0.4, 0.5), (1.5, 0.1)):
+        inside = (vectors.T @ signs) ** 2
+        want = (inside * np.log(a * values + e)[:, None]).sum() / 4
+        got = solvers.affine_logdet(line, N, a, e)
+        slopes = [(inside * (w / (a * values + e))[:, None]).sum() / 4 for w in (values, np.ones(N))]
+        assert np.allclose(got, [want, *slopes], rtol=1e-6)
+
+
 def test_reml_reaches_a_stationary_point(spark, dense):
     geno, st, comps, z, inv, ks = dense
     rng = np.random.default_rng(10)
@@ -163,6 +218,9 @@ def test_ranks_and_cuts(spark):
     assert [r.bin for r in ld.bins_of(ld.ranked(df), 5, 4).orderBy("rank").collect()] == [0, 1, 2, 3, 3]
     parts = spark.createDataFrame([(r, 0 if r < 4 else 1) for r in range(10)], "rank long, comp int")
     assert ld.interior_cuts(parts) == [4]
+    odd = spark.createDataFrame([(r, 0 if r in (0, 1, 2, 3, 4, 8) else 1) for r in range(12)], "rank long, comp int")
+    whole = sorted(ld.intervals(odd).collect())
+    assert whole == [(0, 0, 8, 6, 2), (1, 5, 11, 6, 2)] and all(sorted(ld.intervals(odd, size).collect()) == whole for size in (1, 2, 3, 5))
     moved, theta = ld.split_component(parts, spark.createDataFrame([(0, 0.4), (1, 0.6)], "comp int, theta double"), 6)
     assert ld.interior_cuts(moved) == [4, 6]
     assert [round(r.theta, 6) for r in theta.orderBy("comp").collect()] == [0.4, 0.2, 0.4]

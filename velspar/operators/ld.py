@@ -80,10 +80,18 @@ def bins_of(ranked_scores: DataFrame, m: int, bins: int) -> DataFrame:
     return ranked_scores.withColumn("bin", F.least(F.floor(((F.col("rank") + 1) * b - 1) / m).cast("int"), guess, F.lit(b - 1)))
 
 
-def intervals(ranks: DataFrame) -> DataFrame:
-    """(comp, first, last, n, islands) of ranks (rank, comp): a component is a rank interval if it has one island."""
-    new = F.when(F.lag("rank").over(Window.partitionBy("comp").orderBy("rank")).eqNullSafe(F.col("rank") - 1), 0).otherwise(1)
-    return ranks.withColumn("__new", new).groupBy("comp").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n"), F.sum("__new").alias("islands"))
+def intervals(ranks: DataFrame, stretch: int = 100_000) -> DataFrame:
+    """(comp, first, last, n, islands) of ranks (rank, comp): a component is a rank interval if it has one island.
+
+    Islands are counted inside stretches of ranks and joined where a stretch goes on in the next, so a task sorts `stretch` ranks at most.
+    """
+    inside = Window.partitionBy("comp", "__at").orderBy("rank")
+    new = F.when(F.lag("rank").over(inside).eqNullSafe(F.col("rank") - 1), 0).otherwise(1)
+    tagged = ranks.withColumn("__at", F.floor(F.col("rank") / stretch))
+    pieces = tagged.withColumn("__new", new).groupBy("comp", "__at").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n"), F.sum("__new").alias("islands"))
+    along = Window.partitionBy("comp").orderBy("__at")  # a row per stretch
+    goes_on = F.when(F.lag("last").over(along).eqNullSafe(F.col("first") - 1), 1).otherwise(0)
+    return pieces.withColumn("__on", goes_on).groupBy("comp").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.sum(F.col("islands") - F.col("__on")).alias("islands"))
 
 
 def interior_cuts(ranks: DataFrame) -> list[int]:

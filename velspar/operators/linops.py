@@ -26,6 +26,27 @@ def z(geno: DataFrame, stats: DataFrame, b: DataFrame, keep: tuple[str, ...] = (
     return calls(geno).join(scaled, "v").groupBy("s", *keep).agg(F.sum(F.col("g") * F.col("w") - F.col("c")).alias("x"))
 
 
+def zt_sparse(entries: DataFrame, stats: DataFrame, x: DataFrame) -> DataFrame:
+    """(v, r, b) = Z'x for all variants of stats from entries (s, v, g) that list only calls above 0 and missing ones (null): the zeros enter by the sum of x alone.
+
+    x has a row for every sample of the cohort whose value isn't 0. The entries are what is scanned and shuffled; the rest is a row per variant.
+    """
+    x = x.select("s", "r", "x")
+    total = F.broadcast(x.groupBy("r").agg(F.sum("x").alias("t")))  # a row per right-hand side
+    sums = entries.join(x, "s").groupBy("v", "r").agg(F.sum(F.col("g") * F.col("x")).alias("gx"), F.sum(F.when(F.col("g").isNull(), F.col("x"))).alias("mx"))
+    every = stats.select("v", "mean", "inv").crossJoin(total).join(sums, ["v", "r"], "left")
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+    return every.select("v", "r", (F.col("inv") * (some("gx") - F.col("mean") * (F.col("t") - some("mx")))).alias("b"))
+
+
+def z_sparse(entries: DataFrame, stats: DataFrame, b: DataFrame, samples: DataFrame) -> DataFrame:
+    """(s, r, x) = Z b for all samples (s) from entries as in zt_sparse: a sample of zeros alone scores minus the sum of mean inv b, which entries correct."""
+    scaled = b.join(stats.select("v", "mean", "inv"), "v").select("v", "r", (F.col("inv") * F.col("b")).alias("w"), (F.col("mean") * F.col("inv") * F.col("b")).alias("c"))
+    base = F.broadcast(scaled.groupBy("r").agg(F.sum("c").alias("c")))  # a row per right-hand side
+    more = entries.join(scaled, "v").groupBy("s", "r").agg(F.sum(F.coalesce(F.col("g") * F.col("w"), F.col("c"))).alias("e"))
+    return samples.select("s").crossJoin(base).join(more, ["s", "r"], "left").select("s", "r", (F.coalesce("e", F.lit(0.0)) - F.col("c")).alias("x"))
+
+
 def effective(stats: DataFrame, components: DataFrame) -> DataFrame:
     """(comp, m_eff): variants that vary, 1 where there is none, so that dividing by it changes nothing."""
     return components.join(stats, "v").groupBy("comp").agg(F.greatest(F.count(F.when(F.col("inv") > 0, 1)), F.lit(1)).alias("m_eff"))

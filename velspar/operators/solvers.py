@@ -94,40 +94,87 @@ def probes(samples: DataFrame, count: int, seed: int = 1) -> DataFrame:
     return rows.select("s", F.col("r").cast("long").alias("r"), F.when(F.pmod(F.xxhash64("s", "r", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("x"))
 
 
-def logdet(product: Operator, samples: DataFrame, n: int, count: int = 8, steps: int = 10, seed: int = 1) -> tuple[float, float]:
-    """(estimate, standard error) of log|H|: Lanczos on probes gives small tridiagonal matrices whose eigenvalues are a quadrature of the logarithm."""
+def lanczos(product: Operator, samples: DataFrame, n: int, count: int = 8, steps: int = 10, seed: int = 1, parts: Callable[[DataFrame], DataFrame] | None = None, size: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of `count` probes its tridiagonal matrix T (k, k) and dT (size, k, k), the exact derivatives of T by the coefficients of the product's components.
+
+    parts(x) is (s, comp, r, x), all K_comp x for comp from 0 to size - 1. A row holds a probe's vector and its derivatives as one array, so that
+    one scan serves all probes and components. A probe whose space is exhausted ends there.
+    """
     spark = samples.sparkSession
-    q = written(probes(samples, count, seed).select("s", "r", (F.col("x") / n**0.5).alias("x")), "lanczos")
-    before, alphas, betas = None, {r: [] for r in range(count)}, {r: [] for r in range(count)}
+    q, wide = F.col("q"), range(size + 1)
+    state = probes(samples, count, seed).select("s", F.col("r").alias("p"), F.array(F.col("x") / n**0.5, *[F.lit(0.0)] * size).alias("q"), F.array(*[F.lit(0.0)] * (size + 1)).alias("o"))
+    state = written(state, "lanczos")
+    alphas, betas = {p: [] for p in range(count)}, {p: [] for p in range(count)}
+    none = [0.0] * (size + 1)
     for k in range(steps):
-        w = written(product(q), "lanczos-product")
-        a = dots(q, w)
-        for r in alphas:
-            alphas[r].append(a[r])
-        got = w.join(q.select("s", "r", F.col("x").alias("q")), ["s", "r"])
-        beta = {r: betas[r][-1] if betas[r] else 0.0 for r in betas}
-        got = got.join(_scalars(spark, a=a, c=beta), "r")
-        if before is not None:
-            got = got.join(before.select("s", "r", F.col("x").alias("o")), ["s", "r"]).withColumn("x", F.col("x") - F.col("c") * F.col("o"))
-        got = written(got.select("s", "r", (F.col("x") - F.col("a") * F.col("q")).alias("x")), "lanczos")
+        flat = state.select("s", "p", F.posexplode("q").alias("d", "x")).select("s", (F.col("p") + count * F.col("d")).alias("r"), "x")
+        got = product(flat if k else flat.where(F.col("r") < count)).select("s", "r", "x")
+        if parts is not None:
+            own = parts(state.select("s", F.col("p").alias("r"), q[0].alias("x")))
+            got = got.unionByName(own.select("s", (F.col("r") + count * (F.col("comp") + 1)).alias("r"), "x"))
+        at = F.floor(F.col("r") / count)
+        w = got.groupBy("s", (F.col("r") % count).alias("p")).agg(F.array(*[F.coalesce(F.sum(F.when(at == i, F.col("x"))), F.lit(0.0)) for i in wide]).alias("w"))
+        both = written(state.join(w, ["s", "p"]), "lanczos-product")
+        cross = [F.sum(q[0] * F.col("w")[i] + (q[i] * F.col("w")[0] if i else 0.0)).alias(f"d{i}") for i in wide]
+        for r in both.groupBy("p").agg(*cross).collect():  # a row per probe
+            alphas[r.p].append([r[f"d{i}"] for i in wide])
         if k + 1 == steps:
             break
-        size = {r: d**0.5 for r, d in dots(got, got).items()}
-        for r in betas:
-            betas[r].append(size[r] if size[r] >= 1e-10 else 0.0)  # a probe whose space is exhausted ends here
-        if max(size.values()) < 1e-10:
+        scalars = F.broadcast(spark.createDataFrame([(p, alphas[p][-1], betas[p][-1] if betas[p] else none) for p in range(count)], "p long, a array<double>, b array<double>"))  # a row per probe
+        a, b, o = F.col("a"), F.col("b"), F.col("o")
+        u = [F.col("w")[i] - a[0] * q[i] - b[0] * o[i] - (a[i] * q[0] + b[i] * o[0] if i else 0.0) for i in wide]
+        moved = written(both.join(scalars, "p").select("s", "p", F.array(*u).alias("u"), q), "lanczos")
+        rows = moved.groupBy("p").agg(*[F.sum(F.col("u")[0] * F.col("u")[i]).alias(f"d{i}") for i in wide]).collect()  # a row per probe
+        for r in rows:
+            length = r.d0**0.5
+            betas[r.p].append([length, *(r[f"d{i}"] / length for i in wide[1:])] if length >= 1e-10 else none)
+        if all(not betas[p][-1][0] for p in betas):
             break
-        before = q
-        q = written(got.join(_scalars(spark, a={r: 1 / v if v >= 1e-10 else 0.0 for r, v in size.items()}), "r").select("s", "r", (F.col("x") * F.col("a")).alias("x")), "lanczos")
-    each = []
-    for r in alphas:
-        k = next((i + 1 for i, x in enumerate(betas[r]) if not x), len(alphas[r]))
-        t = np.diag(alphas[r][:k]) + np.diag(betas[r][: k - 1], 1) + np.diag(betas[r][: k - 1], -1)
-        values, vectors = np.linalg.eigh(t)
-        each.append(n * float((vectors[0] ** 2 * np.log(np.maximum(values, 1e-300))).sum()))
+        scalars = F.broadcast(spark.createDataFrame([(p, 1 / v[-1][0] if v[-1][0] else 0.0, v[-1]) for p, v in betas.items()], "p long, c double, b array<double>"))  # a row per probe
+        first = F.col("u")[0] * F.col("c")
+        after = [first, *((F.col("u")[i] - F.col("b")[i] * first) * F.col("c") for i in wide[1:])]
+        state = moved.join(scalars, "p").select("s", "p", F.array(*after).alias("q"), F.col("q").alias("o"))
+    out = []
+    for p in range(count):
+        k = next((i + 1 for i, x in enumerate(betas[p]) if not x[0]), len(alphas[p]))
+        d, e = np.array(alphas[p][:k]).T, np.array(betas[p][: k - 1]).reshape(k - 1, size + 1).T
+        each = np.stack([np.diag(d[i]) + np.diag(e[i], 1) + np.diag(e[i], -1) for i in wide])
+        out.append((each[0], each[1:]))
+    return out
+
+
+def quadrature(t: np.ndarray, slopes: np.ndarray) -> tuple[float, np.ndarray]:
+    """e'log(T)e for the first unit vector e, and its derivatives along the matrices `slopes`, by divided differences of the logarithm."""
+    values, vectors = np.linalg.eigh(t)
+    values, first = np.maximum(values, 1e-300), vectors[0]
+    gap, total = values[:, None] - values, values[:, None] + values
+    near = np.abs(gap) <= 1e-7 * total
+    divided = np.where(near, 2 / total, np.log(values[:, None] / values) / np.where(near, 1.0, gap))
+    return float(first**2 @ np.log(values)), np.array([first @ (divided * (vectors.T @ s @ vectors)) @ first for s in slopes])
+
+
+def logdet(product: Operator, samples: DataFrame, n: int, count: int = 8, steps: int = 10, seed: int = 1) -> tuple[float, float]:
+    """(estimate, standard error) of log|H|: Lanczos on probes gives small tridiagonal matrices whose eigenvalues are a quadrature of the logarithm."""
+    each = [n * quadrature(t, d)[0] for t, d in lanczos(product, samples, n, count, steps, seed)]
     return float(np.mean(each)), float(np.std(each, ddof=1) / len(each) ** 0.5) if len(each) > 1 else float("nan")
 
 
+def logdet_slopes(product: Operator, parts: Callable[[DataFrame], DataFrame], size: int, samples: DataFrame, n: int, count: int = 8, steps: int = 10, seed: int = 1) -> tuple[float, np.ndarray]:
+    """(log|H|, its gradient by the coefficients of the components): the exact gradient of the estimate that logdet makes from the same probes.
+
+    parts(x) is (s, comp, r, x), all K_comp x for comp from 0 to size - 1, the identity included if the residual is one of them.
+    """
+    got = [quadrature(t, d) for t, d in lanczos(product, samples, n, count, steps, seed, parts, size)]
+    return n * float(np.mean([v for v, _ in got])), n * np.mean([g for _, g in got], axis=0)
+
+
+def affine_logdet(matrices: list[tuple[np.ndarray, np.ndarray]], n: int, genetic: float, residual: float) -> tuple[float, float, float]:
+    """(log|genetic K + residual I|, its derivatives by both) for any coefficients from one run of lanczos on K."""
+    got = [quadrature(genetic * t + residual * np.eye(len(t)), np.stack([t, np.eye(len(t))])) for t, _ in matrices]
+    slopes = n * np.mean([g for _, g in got], axis=0)
+    return n * float(np.mean([v for v, _ in got])), float(slopes[0]), float(slopes[1])
+
+
 def solve_spd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A small positive definite system by Cholesky, with a growing jitter if it is nearly singular; an error if that doesn't help."""
     scale = max(float(np.mean(np.diag(a))), 1e-300)

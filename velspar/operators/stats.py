@@ -22,6 +22,16 @@ def variant_stats(geno: DataFrame) -> DataFrame:
     return got.withColumn("mean", mean).withColumn("inv", inverse_sd(F.col("cnt"), F.col("s1"), F.col("s2")))
 
 
+def sparse_stats(entries: DataFrame, variants: DataFrame, n: int | Column) -> DataFrame:
+    """variant_stats of n samples for variants (v), from entries (s, v, g) that list only calls above 0 and missing ones (null)."""
+    got = entries.groupBy("v").agg(F.sum(F.col("g").isNull().cast("long")).alias("m"), F.sum("g").cast("long").alias("s1"), F.sum(F.col("g") * F.col("g")).cast("long").alias("s2"))
+    n = F.lit(n) if isinstance(n, int) else n
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    out = variants.select("v").join(got, "v", "left").select("v", (n - zero("m")).alias("cnt"), zero("s1").alias("s1"), zero("s2").alias("s2"))
+    mean = F.when(F.col("cnt") > 0, F.col("s1").cast("double") / F.col("cnt")).otherwise(F.lit(0.0))
+    return out.withColumn("mean", mean).withColumn("inv", inverse_sd(F.col("cnt"), F.col("s1"), F.col("s2")))
+
+
 def trace_atoms(stats: DataFrame, components: DataFrame, n: int | Column) -> DataFrame:
     """(comp, m_eff, atom): variants that vary, and tr(K)/n = calls of those variants / (n m_eff); missing calls lower it below 1."""
     got = stats.join(components, "v").groupBy("comp")

@@ -210,6 +210,34 @@ def zt_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linops.zt(*made(spark, sf_dir), vector(spark, sf_dir)), "b", digits=4).select("v", "b")
 
 
+# the same cells where a pair without a row is a call of 0, as a rare variant's table has it
+_RARE = """cohort AS (SELECT s, v, CASE WHEN c.s IS NULL THEN 0 ELSE g END AS g FROM (SELECT s FROM pheno) p CROSS JOIN (SELECT v FROM variants) w LEFT JOIN geno c USING (s, v)),
+rraw AS (SELECT v, count(g) AS cnt, sum(g) AS s1, sum(g * g) AS s2 FROM cohort GROUP BY v),
+rstats AS (SELECT *, s1 / cnt::DOUBLE AS mean, CASE WHEN cnt * s2 - s1 * s1 > 0 THEN 1 / sqrt(greatest(s2 / cnt::DOUBLE - (s1 / cnt::DOUBLE) * (s1 / cnt::DOUBLE), 1e-6)) ELSE 0.0 END AS inv FROM rraw),
+rzed AS (SELECT s, v, (g - mean) * inv AS z FROM cohort JOIN rstats USING (v) WHERE g IS NOT NULL),
+rzty AS (SELECT v, sum(z * y) AS b FROM rzed JOIN yy USING (s) GROUP BY v)"""
+
+
+def _rare(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(entries above 0 or missing, statistics over all samples)."""
+    entries = geno(spark, sf_dir).where("g is null or g > 0")
+    n = pheno(spark, sf_dir).count()
+    return entries, stats.sparse_stats(entries, variants(spark, sf_dir), n)
+
+
+@query("SELECT v, round(b, 4) + 0.0 AS b FROM rzty", _RARE)
+def sparse_zt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(linops.zt_sparse(*_rare(spark, sf_dir), vector(spark, sf_dir)), "b", digits=4).select("v", "b")
+
+
+@query("SELECT s, round(sum(z * b) / 100, 4) + 0.0 AS x FROM rzed JOIN rzty USING (v) GROUP BY s", _RARE)
+def sparse_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, st = _rare(spark, sf_dir)
+    y = vector(spark, sf_dir)
+    b = linops.zt_sparse(entries, st, y).withColumn("b", F.col("b") / 100)
+    return rounded(linops.z_sparse(entries, st, b, y.select("s")), "x", digits=4).select("s", "x")
+
+
 _ZTY = "zty AS (SELECT v, sum(z * y) AS b FROM zed JOIN yy USING (s) GROUP BY v)"
 
 
@@ -478,6 +506,17 @@ def slq_logdet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(value, se)], "logdet double, se double")
 
 
+@query()
+def slq_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(component, logdet, slope): log|H| of the same H and its exact gradient by the three kernels' coefficients and the residual's (component 3)."""
+    g, st, comps = _system(spark, sf_dir)
+    theta = F.broadcast(spark.createDataFrame([(c, 0.1 * (c + 1)) for c in range(3)], "comp int, theta double"))
+    samples = written(pheno(spark, sf_dir).select("s"), "samples")
+    parts = lambda t: linops.k_by_component(g, st, comps, t).select("s", "comp", "r", "x").unionByName(t.select("s", F.lit(3).alias("comp"), "r", "x"))
+    value, slopes = solvers.logdet_slopes(lambda t: linops.h(g, st, comps, theta, 0.5, t), parts, 4, samples, samples.count(), count=6, steps=8)
+    return spark.createDataFrame([(c, value, float(x)) for c, x in enumerate(slopes)], "component int, logdet double, slope double")
+
+
 @query()
 def reml_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(component, theta, rounds): variance components of the response, three genetic ones and the residual."""
