@@ -230,6 +230,25 @@ def test_ranks_and_cuts(spark):
         ld.interior_cuts(spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "rank long, comp int"))
 
 
+def test_ld_scores_of_any_blocks(spark, dense):
+    geno = dense[0]
+    at = [(j, None if j == 14 else j % 2, j * 30) for j in range(M)]
+    variants = spark.createDataFrame(at, "v long, chrom int, bp long")
+    g = np.full((N, M), np.nan)
+    for r in geno.where("g is not null").collect():
+        g[r.s, r.v] = r.g
+    want = np.ones(M)
+    for a in range(M - 1):
+        for b in range(M - 1):
+            both = ~np.isnan(g[:, a]) & ~np.isnan(g[:, b])
+            if a != b and a % 2 == b % 2 and abs(a - b) * 30 <= 120 and g[both, a].std() > 0 and g[both, b].std() > 0:
+                want[a] += np.corrcoef(g[both, a], g[both, b])[0, 1] ** 2
+    for width, chunk in ((2, 5), (128, 4096)):
+        got = {r.v: r.ld_score for r in ld.ld_scores(geno, variants, 120, width=width, chunk=chunk).collect()}
+        assert np.allclose([got[j] for j in range(M)], want)
+    assert [r.ld_score for r in ld.ld_scores(geno.limit(0), variants, 120).collect()] == [1.0] * M
+
+
 def test_selection_rules(spark):
     rows = spark.createDataFrame([(0, 0.5, 3, 0.1, True), (1, 0.5, 2, 0.1, True), (2, 0.5, 2, 0.3, False), (3, None, 1, 1.0, True)], "path int, r2 double, k int, lam_ratio double, kkt boolean")
     assert selection.select_path(rows).first().path == 2 and selection.select_path(rows, certified=True).first().path == 1

@@ -4,35 +4,64 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velspar.sources.text import require
 
 
-def ld_scores(geno: DataFrame, variants: DataFrame, window_bp: int = 1_000_000) -> DataFrame:
+def ld_scores(geno: DataFrame, variants: DataFrame, window_bp: int = 1_000_000, samples: int | None = None, width: int = 128, chunk: int = 4096) -> DataFrame:
     """(v, ld_score): 1 + the sum of squared dosage correlations with the variants of its chromosome within window_bp, over the samples called in both.
 
-    variants is (v, chrom, bp). Close pairs come from a join on the chromosome and the window's bucket, each pair once; their calls from
-    a join on the sample; no pair of distant variants is formed.
+    variants is (v, chrom, bp). Variants form blocks of about `width` inside a window's bucket, samples chunks of about `chunk`; a task multiplies
+    the calls of two neighbouring blocks in one chunk, about a million at most, and gives the sums of each close pair there, which are added over
+    the chunks. So a call moves once per neighbouring block, not once per neighbouring variant. samples is their number, counted if it isn't given.
     """
-    at = variants.select("v", "chrom", F.col("bp").cast("long").alias("bp")).withColumn("w", F.floor(F.col("bp") / window_bp))
-    near = at.select(F.col("v").alias("b"), "chrom", F.col("bp").alias("bp_b"), F.explode(F.array(F.col("w") - 1, F.col("w"))).alias("w"))
-    far = near.join(at.select(F.col("v").alias("a"), "chrom", F.col("bp").alias("bp_a"), "w"), ["chrom", "w"])
-    same = at.select(F.col("v").alias("a"), "chrom", F.col("bp").alias("bp_a"), F.col("w").alias("wa"))
-    close = F.abs(F.col("bp_a") - F.col("bp_b")) <= window_bp
-    ordered = F.struct("bp_a", "a") < F.struct("bp_b", "b")
-    pairs = far.where(close & ordered).select("a", "b").distinct()
-    calls = geno.where("g is not null").select("s", "v", "g")
-    left = calls.join(pairs.withColumnRenamed("a", "v"), "v").select("s", F.col("v").alias("a"), "b", F.col("g").alias("ga"))
-    both = left.join(calls.select("s", F.col("v").alias("b"), F.col("g").alias("gb")), ["s", "b"])
-    sums = both.groupBy("a", "b").agg(
-        F.count("*").alias("n"), F.sum("ga").alias("x"), F.sum("gb").alias("y"), F.sum(F.col("ga") * F.col("ga")).alias("xx"), F.sum(F.col("gb") * F.col("gb")).alias("yy"), F.sum(F.col("ga") * F.col("gb")).alias("xy")
-    )
+    samples = samples or geno.agg(F.approx_count_distinct("s").alias("n")).first().n
+    at = variants.where("chrom is not null and bp is not null").select("v", "chrom", F.col("bp").cast("long").alias("bp")).withColumn("w", F.floor(F.col("bp") / window_bp))
+    parts = at.groupBy("chrom", "w").agg(F.ceil(F.count("*") / width).alias("parts"))
+    at = at.join(parts, ["chrom", "w"]).select("v", "bp", F.struct("chrom", "w", F.pmod(F.xxhash64("v"), F.col("parts")).alias("k")).alias("block"))
+    blocks = parts.select("chrom", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k")).select("chrom", "w", F.struct("chrom", "w", "k").alias("block"))
+    later = blocks.select("chrom", F.explode(F.array(F.col("w"), F.col("w") - 1)).alias("w"), F.col("block").alias("other"))
+    pairs = blocks.join(later, ["chrom", "w"]).where("block <= other").select("block", "other")
+    sides = pairs.select("block", F.xxhash64("block", "other").alias("pair"), F.lit(0).alias("side")).unionByName(pairs.where("block < other").select(F.col("other").alias("block"), F.xxhash64("block", "other").alias("pair"), F.lit(1).alias("side")))
+    calls = geno.where("g is not null and s is not null").select("s", "v", F.col("g").cast("double").alias("g"), F.pmod(F.xxhash64("s"), F.lit(-(-samples // chunk) or 1)).alias("c"))
+    long = calls.join(at, "v").join(sides, "block").select("pair", "c", "side", "s", "v", "bp", "g")
+    kind = variants.schema["v"].dataType.simpleString()
+    sums = long.groupBy("pair", "c").applyInPandas(lambda calls: _block_sums(calls, window_bp), f"a {kind}, b {kind}, n long, x long, y long, xx long, yy long, xy long")
+    sums = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
     r2 = squared_correlation(*[F.col(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
     return accumulated(variants.select("v"), sums.select("a", "b", r2.alias("r2")), "v", "a", "b").select("v", "ld_score")
 
 
+def _block_sums(calls: pd.DataFrame, window_bp: int) -> pd.DataFrame:
+    """Sums over the samples called in both, for each close pair of variants of two blocks, or of one block with itself if there is no side 1."""
+    s = pd.factorize(calls["s"])[0]
+    size = s.max() + 1
+
+    def filled(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        own = calls[rows]
+        at, names = pd.factorize(own["v"])
+        bp = np.zeros(len(names), np.int64)
+        bp[at] = own["bp"]
+        g, called = np.zeros((len(names), size)), np.zeros((len(names), size))
+        g[at, s[rows]], called[at, s[rows]] = own["g"], 1.0
+        return np.asarray(names), bp, g, called
+
+    side = calls["side"].to_numpy()
+    ia, pa, ga, ma = left = filled(side == 0)
+    other = side == 1
+    ib, pb, gb, mb = filled(other) if other.any() else left
+    close = np.abs(pa[:, None] - pb) <= window_bp
+    if not other.any():
+        close &= ia[:, None] < ib
+    i, j = np.nonzero(close)
+    sums = {"n": ma @ mb.T, "x": ga @ mb.T, "y": ma @ gb.T, "xx": (ga * ga) @ mb.T, "yy": ma @ (gb * gb).T, "xy": ga @ gb.T}
+    return pd.DataFrame({"a": ia[i], "b": ib[j], **{c: np.rint(v[i, j]).astype(np.int64) for c, v in sums.items()}})
+
+
 def squared_correlation(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
     """r² from integer sums; 0 if either side is constant."""
     c, u, w = n * xy - x * y, n * xx - x * x, n * yy - y * y

@@ -323,7 +323,7 @@ ld AS (SELECT variants.v, 1 + coalesce(sum(r2), 0) AS ld_score FROM variants LEF
 
 @query("SELECT v, round(ld_score, 5) AS ld_score FROM ld", _LD)
 def ld_score_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ld.ld_scores(geno(spark, sf_dir), variants(spark, sf_dir)), "ld_score")
+    return rounded(ld.ld_scores(geno(spark, sf_dir), variants(spark, sf_dir), samples=table(spark, sf_dir, "customer").count()), "ld_score")
 
 
 _VCOR = "pairs AS (SELECT l_partkey % 100 AS a, l_suppkey % 100 AS b, floor(sum(CAST(round(l_discount * 100) AS BIGINT)) * 100 / count(*)) / 10000.0::DOUBLE AS r2 FROM lineitem GROUP BY 1, 2)"
