@@ -73,11 +73,13 @@ def sparse_variance(mean: DataFrame, residual: DataFrame, trace: float, n: int)
 
 
 def relative_change(now: DataFrame, before: DataFrame, response: DataFrame) -> float:
-    """|now - before| / |response| of fitted means, tables (s, r, x)."""
+    """|now - before| by the longer of both, or 1e-8 of the response where they are shorter than that; tables (s, r, x), a missing row is 0. No change of nothing is 0."""
     apart = now.join(before.select("s", "r", F.col("x").alias("o")), ["s", "r"], "full").select("s", "r", (F.coalesce("x", F.lit(0.0)) - F.coalesce("o", F.lit(0.0))).alias("x"))
-    whole = sum(dots(response, response).values())
-    return (sum(dots(apart, apart).values()) / whole) ** 0.5 if whole else 0.0
+    length = lambda t: sum(dots(t, t).values()) ** 0.5
+    whole = max(length(now), length(before), 1e-8 * length(response))
+    return length(apart) / whole if whole else 0.0
 
 
 def converged(mean_change: float, h2: float, h2_before: float, mean_tol: float = 0.05, h2_tol: float = 0.01) -> bool:
-    return mean_change <= mean_tol and abs(h2 - h2_before) <= h2_tol
+    """Whether mean and h2 stand still; a change of h2 at its tolerance counts as within it, one from or to NaN never does."""
+    return mean_change <= mean_tol and abs(h2 - h2_before) <= h2_tol * (1 + 1e-9)

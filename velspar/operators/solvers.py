@@ -209,11 +209,12 @@ def bounded_step(score: np.ndarray, info: np.ndarray, theta: np.ndarray, floor:
     return np.maximum(d, low)
 
 
-def fit_reml(hv: Callable[[np.ndarray, DataFrame], DataFrame], parts: Callable[[DataFrame], DataFrame], response: DataFrame, q: DataFrame, samples: DataFrame, theta: np.ndarray, traces: int = 4, rounds: int = 8, tol: float = 1e-3, floor: float = 1e-2) -> tuple[np.ndarray, list[dict]]:
+def fit_reml(hv: Callable[[np.ndarray, DataFrame], DataFrame], parts: Callable[[DataFrame], DataFrame], response: DataFrame, q: DataFrame, samples: DataFrame, theta: np.ndarray, traces: int = 4, rounds: int = 8, tol: float = 1e-3, floor: float = 1e-2, correction: Callable[[Operator], dict] | None = None) -> tuple[np.ndarray, list[dict]]:
     """(theta, history): variance components, genetic ones first and the residual last, by average-information scoring.
 
     hv(theta, x) is H x; parts(x) is (s, comp, r, x) with all K_comp x. Scores are (y'P K P y - tr(P K)) / 2 with traces from fixed ±1
-    probes, the same in every round. Stops when no component moves by more than tol of the whole.
+    probes, the same in every round. Stops when no component moves by more than tol of the whole. correction(project) is what tr(P K) is too large by, per
+    component (-1: the residual), with project(b) = P b at the present theta; history holds the information matrix of each round.
     """
     g = len(theta) - 1
     ranks = sorted(r.r for r in q.select("r").distinct().collect())
@@ -235,6 +236,11 @@ def fit_reml(hv: Callable[[np.ndarray, DataFrame], DataFrame], parts: Callable[[
         off = x.where(F.col("r").isin(*ranks)).select("s", F.col("r").alias("i"), F.col("x").alias("h")).join(F.broadcast(share), "i").groupBy("s", "r").agg(F.sum(F.col("h") * F.col("c")).alias("o"))
         return written(x.where(~F.col("r").isin(*ranks)).join(off, ["s", "r"], "left").select("s", "r", (F.col("x") - F.coalesce("o", F.lit(0.0))).alias("x")), "reml-projected")
 
+    def beside(b: DataFrame) -> DataFrame:
+        """P b at the present theta for b without the covariates; its numbers move out of theirs and back."""
+        own = b.select("s", (F.col("r") + 10_000).alias("r"), "x").unionByName(q.select("s", F.col("r").cast("long").alias("r"), "x"))
+        return projected(theta, written(own, "reml-beside")).select("s", (F.col("r") - 10_000).alias("r"), "x")
+
     history: list[dict] = []
     for turn in range(rounds):
         p = projected(theta, rhs)
@@ -242,7 +248,8 @@ def fit_reml(hv: Callable[[np.ndarray, DataFrame], DataFrame], parts: Callable[[
         k = written(parts(p).unionByName(p.select("s", F.lit(g).cast("int").alias("comp"), "r", "x")), "reml-parts")
         first = {r.comp: r.d for r in k.where("r = -1").join(py.select("s", F.col("x").alias("y")), "s").groupBy("comp").agg(F.sum(F.col("x") * F.col("y")).alias("d")).collect()}
         trace = {r.comp: r.d / traces for r in k.where("r >= 1000").join(u.select("s", "r", F.col("x").alias("u")), ["s", "r"]).groupBy("comp").agg(F.sum(F.col("x") * F.col("u")).alias("d")).collect()}
-        score = np.array([0.5 * (first.get(c, 0.0) - trace.get(c, 0.0)) for c in range(g + 1)])
+        off = correction(beside) if correction else {}
+        score = np.array([0.5 * (first.get(c, 0.0) - trace.get(c, 0.0) + off.get(c if c < g else -1, 0.0)) for c in range(g + 1)])
         kpy = k.where("r = -1").select("s", F.col("comp").cast("long").alias("r"), "x")
         again = projected(theta, written(kpy.withColumn("r", F.col("r") + 5000).unionByName(q.select("s", F.col("r").cast("long").alias("r"), "x")), "reml-information"))
         cross = kpy.select("s", F.col("r").alias("a"), "x").join(again.select("s", (F.col("r") - 5000).alias("b"), F.col("x").alias("y")), "s").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("d")).collect()
@@ -252,7 +259,7 @@ def fit_reml(hv: Callable[[np.ndarray, DataFrame], DataFrame], parts: Callable[[
         info = (info + info.T) / 2
         step = bounded_step(score, info, theta, floor)
         theta = theta + step
-        history.append({"round": turn, "theta": theta.tolist(), "score": score.tolist(), "step": float(np.abs(step).max())})
+        history.append({"round": turn, "theta": theta.tolist(), "score": score.tolist(), "info": info.tolist(), "step": float(np.abs(step).max())})
         if np.abs(step).max() <= tol * theta.sum():
             break
     return theta, history
