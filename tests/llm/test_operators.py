@@ -370,9 +370,15 @@ def test_toxicity_on_held_out_and_misspelt_words(spark):
         for x in set(w):
             grams, _ = toxicity.word_grams([x])
             said[x] = float(model.weights[grams].mean())
-        cuts = [w] if len(w) <= toxicity.SEGMENT else [w[a : a + toxicity.SEGMENT] for a in (*range(0, len(w) - toxicity.SEGMENT, toxicity.SEGMENT), len(w) - toxicity.SEGMENT)]
+        cuts = [w] if len(w) <= toxicity.SEGMENT else [w[a : a + toxicity.SEGMENT] for a in range(len(w) - toxicity.SEGMENT + 1)]
         worst = max((sum(said[x] for x in set(c)) / len(c) for c in cuts if c), default=0.0)
         assert model.score(t) == pytest.approx(1 / (1 + np.exp(-np.clip(worst + model.bias, -40, 40))))
+    # a phrase scores alike wherever it begins, and blocks of segments give what all at once do
+    phrase = "grobnak grobnaka zulfist zulfisten"
+    worst = {model.score(f"{'lo ' * k}{phrase}{' lo' * 8}") for k in range(8, 16)}
+    assert len(worst) == 1
+    places, numbers = np.arange(300) % 11, np.linspace(-1, 1, 11)
+    assert np.array_equal(toxicity.segment_means(places, numbers), toxicity.segment_means(places, numbers, block=7)) and len(toxicity.segments(300)) == 293
     nothing = toxicity.fit(d, labels.limit(0))
     assert 0 <= nothing.score("anything") <= 1 and toxicity.score(d.limit(0), nothing).count() == 0
 

@@ -1,6 +1,6 @@
 """Toxicity: words are bags of hashed character n-grams with embeddings, averaged, under a linear softmax; all trained jointly in numpy.
 
-A text is cut into short segments, a segment's vector is the mean of its words' vectors, a word's the mean of its
+A text is read in short segments, one from each word on; a segment's vector is the mean of its words' vectors, a word's the mean of its
 n-grams' vectors, and a text's score is that of its most toxic segment: a few insults in a long text count as in a
 short one. Since the softmax is linear, a trained word is one number, so scoring a text is a lookup for each word.
 """
@@ -106,17 +106,19 @@ class Model:
 
 
 def segments(n: int) -> np.ndarray:
-    """Where the segments of n words start: SEGMENT apart, and the last one at the end; a shorter text is one segment."""
-    return np.append(np.arange(0, n - SEGMENT, SEGMENT), n - SEGMENT) if n > SEGMENT else np.zeros(1, np.int64)
-
-
-def segment_means(places: np.ndarray, scores: np.ndarray) -> np.ndarray:
-    """The sum of scores over the distinct words of each segment, divided by its length: a word that repeats itself doesn't outweigh the rest."""
-    starts = segments(len(places))
-    rows = np.sort(places[starts[:, None] + np.arange(min(SEGMENT, len(places)))], 1)
-    own = scores[rows]
-    own[:, 1:][rows[:, 1:] == rows[:, :-1]] = 0
-    return own.sum(1) / rows.shape[1]
+    """Where the segments of n words start: at each word that SEGMENT words follow from, so that a phrase scores alike wherever it begins; a shorter text is one segment."""
+    return np.arange(max(n - SEGMENT, 0) + 1)
+
+
+def segment_means(places: np.ndarray, scores: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """The sum of scores over the distinct words of each segment, divided by its length: a word that repeats itself doesn't outweigh the rest. So many segments are held at a time."""
+    starts, means = segments(len(places)), []
+    for at in range(0, len(starts), block):
+        rows = np.sort(places[starts[at : at + block, None] + np.arange(min(SEGMENT, len(places)))], 1)
+        own = scores[rows]
+        own[:, 1:][rows[:, 1:] == rows[:, :-1]] = 0
+        means.append(own.sum(1) / rows.shape[1])
+    return np.concatenate(means)
 
 
 def train(rows: Iterable[tuple[int, str | None, int]], seed: int = 7, rounds: int = 6) -> Model:
