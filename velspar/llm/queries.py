@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velspar.llm import chat, lines, omh, packing, pieces, secrets, suffixes, topk, toxicity, vectors
+from velspar.llm import chat, collocations, lines, mixing, omh, packing, pieces, ranked, secrets, suffixes, topk, toxicity, vectors
 
 #: Where the files of public tokenizers lie.
 TOKENIZERS = os.environ.get("VELSPAR_TOKENIZERS", os.path.dirname(public_tokenizers.path("README.md")))
@@ -85,8 +85,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sentencepiece, op2_secret_ledger, op3_vector_dedup, op4_chat_format, op5_topk, op6_line_dedup, op7_toxicity, op8_order_minhash, op9_packing, op10_suffix_dedup)
+    found = (op1_sentencepiece, op2_secret_ledger, op3_vector_dedup, op4_chat_format, op5_topk, op6_line_dedup, op7_toxicity, op8_order_minhash, op9_packing, op10_suffix_dedup, op11_ranked_search, op12_collocations, op13_source_mix)
     return {f.__name__: f for f in found}
 
 
@@ -154,4 +166,5 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_ledger": _SECRETS, "op3_vector_dedup": _VECTORS, "op4_chat_format": _CHATS, "op5_topk": _TOPK, "op6_line_dedup": lines.oracle()}
+    return {"op2_secret_ledger": _SECRETS, "op3_vector_dedup": _VECTORS, "op4_chat_format": _CHATS, "op5_topk": _TOPK, "op6_line_dedup": lines.oracle(),
+            "op11_ranked_search": ranked.oracle(), "op12_collocations": collocations.oracle(), "op13_source_mix": mixing.oracle()}
