@@ -26,7 +26,7 @@ LEAST, LONGEST, COVER = 10, 3, 50
 #: Phrases of each language in the result.
 TOP = 2000
 #: Words that a task counts together before it sends their phrases on; bytes of texts that it holds at a time, a longer text alone.
-WORDS, BYTES = 1 << 20, 1 << 24
+WORDS, BYTES = 1 << 19, 1 << 22
 #: 64-bit slots of the filter of pairs, whatever the input: 8 MB.
 SLOTS = 1 << 20
 #: Keys sampled for each range of a stream; they place the cuts and change no result.
@@ -51,9 +51,10 @@ def runs(column) -> tuple[pa.LargeStringArray, np.ndarray]:
     first = np.flatnonzero(solid & (np.concatenate(([True], ~solid[:-1])) | edge[:-1]))
     if not len(first):
         return pa.array([], pa.large_string()), np.zeros(0, bool)
-    held = np.cumsum(solid)
+    narrow = np.int32 if len(data) < 1 << 31 else np.int64
+    held = np.cumsum(solid, dtype=narrow)
     offsets = np.append(held[first] - 1, held[-1]).astype(np.int64)
-    breaks = np.cumsum((kind == 2) | edge[:-1])  # a text's first byte is a break, too
+    breaks = np.cumsum((kind == 2) | edge[:-1], dtype=narrow)  # a text's first byte is a break, too
     linked = np.concatenate(([False], breaks[first[1:]] == breaks[first[:-1]]))
     out = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(_FOLD[data[solid]]))
     return out, linked
