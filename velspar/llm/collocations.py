@@ -26,7 +26,9 @@ LEAST, LONGEST, COVER = 10, 3, 50
 #: Phrases of each language in the result.
 TOP = 2000
 #: Words that a task counts together before it sends their phrases on; bytes of texts that it holds at a time, a longer text alone.
-WORDS, BYTES = 1 << 19, 1 << 22
+WORDS, BYTES = 1 << 18, 1 << 21
+#: Rows that a task sends on at a time.
+SENT = 1 << 15
 #: 64-bit slots of the filter of pairs, whatever the input: 8 MB.
 SLOTS = 1 << 20
 #: Keys sampled for each range of a stream; they place the cuts and change no result.
@@ -122,8 +124,12 @@ def counter(n: tuple[int, ...], sieve: Callable[[], np.ndarray] | None = None) -
                         keys, f = np.unique(keys, return_counts=True)
                     if not len(keys):
                         continue
-                    columns = [names.take(pa.array(keys // v ** (k - 1 - i) % v)).cast(pa.string()) if i < k else pa.nulls(len(keys), pa.string()) for i in range(3)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), *columns, pa.array(f.astype(np.int64))], names=["lang", "w1", "w2", "w3", "f"])
+                    for out in range(0, len(keys), SENT):
+                        some, own_f = keys[out : out + SENT], f[out : out + SENT].astype(np.int64)
+                        columns = [names.take(pa.array(some // v ** (k - 1 - i) % v)).cast(pa.string()) if i < k else pa.nulls(len(some), pa.string()) for i in range(3)]
+                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), *columns, pa.array(own_f)], names=["lang", "w1", "w2", "w3", "f"])
+            del every, linked
+            pa.default_memory_pool().release_unused()
 
     return run
 
