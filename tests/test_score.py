@@ -36,7 +36,11 @@ def test_projector_and_directions(spark, fitted):
     with pytest.raises(ValueError, match="unsolved"):
         score.gated(product, vec(spark, x), 1e-9, 1)
     bins = comps.selectExpr("v", "cast(v div 4 as int) as bin", "comp")
-    forms, cuts, m = score.directions(geno, st, bins, vec(spark, x), [0, 1, 2, 3])
+    b = linops.zt(geno, st, vec(spark, x)).join(bins, "v")
+    products = {}
+    for r in score.cross_products(b, b).collect():
+        products.setdefault((r.bin, r.comp), {})[r.p, r.q] = r.c
+    forms, cuts, m = score.directions(bins, st, products, score.pairs(vec(spark, x), vec(spark, x)), [0, 1, 2, 3])
     live = inv > 0
     assert m == 3 and np.allclose(forms[2], x.T @ x)
     for k in (0, 1):
@@ -163,3 +167,59 @@ def test_whole_score_test(spark, fitted):
     d = z[:, :edge] @ z[:, :edge].T / process.cuts[0] - z[:, edge:] @ z[:, edge:].T / ((inv > 0).sum() - process.cuts[0])
     # the trace is what the draws say; together with it the raw score gives the form of Py back
     assert abs(process.raw[0] - 0.5 * (py @ d @ py - np.trace(p @ d))) < 6 * process.trace_error[0] + 6 * (np.trace(p @ d @ p @ d) / 2 / 6) ** 0.5
+
+
+def test_core_is_exact_and_draws_have_the_rest(spark, fitted):
+    geno, st, comps, z, inv, ks, theta, h, c, p, product = fitted
+    project = score.projector(product, vec(spark, c), tol=1e-10)
+    w, core, mix = score.core_columns(geno, st, project, spark.range(N).withColumnRenamed("id", "s"), 5)
+    w, e = columns(w, range(5)), columns(core, range(5))
+    assert np.allclose(e @ e.T, p @ w @ np.linalg.inv(w.T @ p @ w) @ w.T @ p, atol=1e-5)
+    rest = p - e @ e.T
+    assert np.linalg.eigvalsh(rest)[0] > -1e-6 and np.trace(rest @ ks[0]) < np.trace(p @ ks[0])
+    # dense sketches: what is exact is exact, and the same draws know the information better
+    rng = np.random.default_rng(3)
+    root = np.linalg.cholesky(p + 1e-12 * np.eye(N))
+    d = np.stack([ks[0], ks[1], np.eye(N)])
+    want = np.einsum("aij,jk,bkl,li->ab", d, p, d, p) / 2
+    errors = {0: [], 5: []}
+    for _ in range(200):
+        x = root @ rng.normal(size=(N, 8))
+        deflated = x - e @ (mix.T @ (w.T @ x))
+        plain = score.Sketch.of(np.einsum("ic,tij,jd->tcd", x, d, x))
+        both = np.concatenate((e, deflated), 1)
+        cored = score.Sketch.of(np.einsum("ic,tij,jd->tcd", both, d, both), 5)
+        errors[0].append(plain.information(3) - want)
+        errors[5].append(cored.information(3) - want)
+        assert np.allclose(cored.weights()[:5, :5], 1)
+    assert np.abs(np.mean(errors[5], 0)).max() < 0.15 * np.abs(want).max()
+    assert (np.std(errors[5], 0) < np.std(errors[0], 0)).all()
+
+
+def test_score_test_with_a_core_needs_fewer_draws_and_keeps_them(spark, fitted, monkeypatch):
+    geno, st, comps, z, inv, ks, theta, h, c, p, product = fitted
+    y = np.random.default_rng(7).normal(size=N)
+    resp = spark.createDataFrame([(i, float(y[i])) for i in range(N)], "s long, y double")
+    bins = comps.selectExpr("v", "cast(v div 4 as int) as bin", "comp")
+    asked = []
+    plain = score.draws
+    monkeypatch.setattr(score, "draws", lambda *a, **k: asked.append(a[6:9]) or plain(*a, **k))
+    got = [score.score_test(geno, st, comps, bins, theta, 0.5, resp, vec(spark, c), draw_count=8, most=8, tol=1e9, samples=199, core=k)[1] for k in (0, 10)]
+    assert got[1].imprecision < got[0].imprecision
+    asked.clear()
+    with pytest.raises(ValueError, match="imprecision"):
+        score.score_test(geno, st, comps, bins, theta, 0.5, resp, vec(spark, c), draw_count=4, most=8, tol=1e-9, samples=199)
+    assert [(n, first) for n, _, first in asked] == [(8, 0), (8, 8)]
+
+
+def test_span_sees_short_directions(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(N, 4))
+    short = np.column_stack([a[:, 0], a[:, 0] + 1e-9 * a[:, 1], 1e6 * a[:, 2], a[:, 2] * 3, np.zeros(N)])
+    basis, rank = spans.span(vec(spark, short), N)
+    got = columns(basis, range(rank))
+    assert rank == 3 and np.allclose(got.T @ got, np.eye(3), atol=1e-12)
+    assert np.allclose(got @ got.T, np.linalg.svd(a[:, :3], full_matrices=False)[0] @ np.linalg.svd(a[:, :3], full_matrices=False)[0].T, atol=1e-5)
+    with pytest.raises(ValueError, match="ambiguous"):
+        spans.span(vec(spark, np.column_stack([a[:, 0], a[:, 0] + 2e-11 * a[:, 1]])), N)
+    assert spans.span(vec(spark, np.zeros((N, 2))), N)[1] == 0

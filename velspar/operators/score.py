@@ -1,8 +1,11 @@
 """The adaptive score test: would splitting the variants at a rank cut explain more covariance?
 
 For a cut after t of M variants the direction is D = Z_low Z_low' / t - Z_high Z_high' / (M - t). Its score is (y'P D P y - tr(P D)) / 2, less what
-the components' and the residual's own scores explain. Traces and information come from random draws of covariance P, all cuts from one
-scan by prefix sums over rank bins; the largest |score| is judged by the joint law of the quadratic forms that the same draws give.
+the components' and the residual's own scores explain. All cuts come from one scan by prefix sums over rank bins.
+
+P is split into a core C C', exact in a few columns, and a rest, known by random draws of that covariance. A direction's form over the columns of
+the core and the draws holds all that is needed of it: weighted pair by pair, forms are vectors whose inner products are the information, what nuisances
+explain of a cut is a least-squares fit of its vector by theirs, and what is left of the form is the cut's part of the scores' joint law.
 """
 
 from __future__ import annotations
@@ -72,81 +75,106 @@ def draws(geno: DataFrame, stats: DataFrame, components: DataFrame, theta: DataF
     return written(genetic.unionByName(own).groupBy("s", "r").agg(F.sum("x").alias("x")), "score-draws")
 
 
-def bin_products(geno: DataFrame, stats: DataFrame, bins: DataFrame, x: DataFrame) -> DataFrame:
-    """(bin, comp, p, q, c): for p <= q the sums over a bin's variants of (Z'x_p)(Z'x_q), for bins (v, bin, comp)."""
-    b = written(linops.zt(geno, stats, x).join(bins, "v"), "score-zt")
-    other = b.select("v", F.col("r").alias("q"), F.col("b").alias("y"))
-    return b.withColumnRenamed("r", "p").join(other, "v").where("p <= q").groupBy("bin", "comp", "p", "q").agg(F.sum(F.col("b") * F.col("y")).alias("c"))
+def cross_products(b: DataFrame, new: DataFrame) -> DataFrame:
+    """(bin, comp, p, q, c): sums over a bin's variants of (Z'x_p)(Z'x_q) for all columns of b and new, both (v, r, b, bin, comp), as Z'x joined with bins."""
+    other = new.select("v", F.col("r").alias("q"), F.col("b").alias("y"))
+    return b.withColumnRenamed("r", "p").join(other, "v").groupBy("bin", "comp", "p", "q").agg(F.sum(F.col("b") * F.col("y")).alias("c"))
+
 
+def directions(bins: DataFrame, stats: DataFrame, products: dict, inner: dict, sides: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(forms, cuts, nuisances): x'D x for the components, the identity and then each cut, over the sides.
 
-def directions(geno: DataFrame, stats: DataFrame, bins: DataFrame, x: DataFrame, sides: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(forms, cuts, nuisances): x'D x for the components, the identity and then each cut, over the sides; a few numbers per bin and pair of sides."""
+    products is {(bin, comp): {(p, q): sum}} of bin_products, inner {(p, q): x_p'x_q}; a few numbers per bin and pair of sides.
+    """
     at = {r: k for k, r in enumerate(sides)}
     inside = bins.join(stats.where("inv > 0").select("v"), "v").groupBy("bin", "comp").agg(F.count("*").alias("n")).collect()
-    of_bin, of_comp = {}, {}
+    order, comps = sorted({r.bin for r in inside}), sorted({r.comp for r in inside})
+    cells = np.zeros((len(order), len(comps), len(sides), len(sides)))
+    sizes = np.zeros((len(order), len(comps)))
     for r in inside:
-        of_bin[r.bin], of_comp[r.comp] = of_bin.get(r.bin, 0) + r.n, of_comp.get(r.comp, 0) + r.n
-    order, comps = sorted(of_bin), sorted(of_comp)
-    by_bin, by_comp = np.zeros((len(order), len(sides), len(sides))), np.zeros((len(comps), len(sides), len(sides)))
-    place, named = {b: k for k, b in enumerate(order)}, {c: k for k, c in enumerate(comps)}
-    for r in bin_products(geno, stats, bins, x).collect():
-        if r.bin in place:
-            for i, j in {(at[r.p], at[r.q]), (at[r.q], at[r.p])}:
-                by_bin[place[r.bin], i, j] += r.c
-                by_comp[named[r.comp], i, j] += r.c
-    same = np.zeros((1, len(sides), len(sides)))
-    for r in x.join(x.select("s", F.col("r").alias("q"), F.col("x").alias("y")), "s").groupBy("r", "q").agg(F.sum(F.col("x") * F.col("y")).alias("c")).collect():
-        same[0, at[r.r], at[r.q]] = r.c
-    sizes = np.cumsum([of_bin[b] for b in order])
-    low, total = np.cumsum(by_bin, 0)[:-1], by_bin.sum(0)
-    t = sizes[:-1, None, None]
-    cuts = low / t - (total - low) / (sizes[-1] - t)
-    return np.concatenate((by_comp / np.array([of_comp[c] for c in comps])[:, None, None], same, cuts)), sizes[:-1], len(comps) + 1
+        k, c = order.index(r.bin), comps.index(r.comp)
+        sizes[k, c] = r.n
+        for (p, q), value in products.get((r.bin, r.comp), {}).items():
+            if p in at and q in at:
+                cells[k, c, at[p], at[q]] = cells[k, c, at[q], at[p]] = value
+    same = np.array([[[inner.get((p, q), inner.get((q, p), 0.0)) for q in sides] for p in sides]])
+    kernels = cells.sum(0) / sizes.sum(0)[:, None, None]
+    below, t = np.cumsum(cells.sum(1), 0)[:-1], np.cumsum(sizes.sum(1))[:-1]
+    above = cells.sum((0, 1)) - below
+    cuts = below / t[:, None, None] - above / (sizes.sum() - t)[:, None, None]
+    return np.concatenate((kernels, same, cuts)), t.astype(int), len(comps) + 1
 
 
 @dataclass(frozen=True)
 class Sketch:
-    """Forms of directions over draws of covariance P: their values on each draw (d, c) and on each two draws (d, c, c), nothing on the diagonal."""
+    """Forms (d, k, k) of d directions over k columns: the first `core` hold a part of P exactly, the others are draws of the rest's covariance."""
 
-    diagonal: np.ndarray
-    bulk: np.ndarray
+    forms: np.ndarray
+    core: int = 0
 
     @staticmethod
-    def of(forms: np.ndarray) -> Sketch:
-        if forms.ndim != 3 or forms.shape[1] != forms.shape[2] or forms.shape[1] < 3 or not np.isfinite(forms).all():
-            raise ValueError("a sketch needs finite square forms of three draws or more")
-        diagonal = np.diagonal(forms, axis1=1, axis2=2).copy()
-        bulk = forms.copy()
-        bulk[:, np.arange(forms.shape[1]), np.arange(forms.shape[1])] = 0
-        return Sketch(diagonal, bulk)
+    def of(forms: np.ndarray, core: int = 0) -> Sketch:
+        d, k, other = (*forms.shape, 0, 0, 0)[:3]
+        if forms.ndim != 3 or k != other or k - core < 3:
+            raise ValueError("a sketch takes square forms over three draws or more")
+        if not np.isfinite(forms).all():
+            raise ValueError("forms must be finite")
+        return Sketch(forms, core)
 
     @property
     def count(self) -> int:
-        return self.bulk.shape[1]
+        return self.forms.shape[1] - self.core
+
+    def weights(self, without: int | None = None) -> np.ndarray:
+        """What a product of two forms' entries counts in tr(P D P D'): an entry of the core as it is, one of core and draw as a mean over draws, one of
+        two draws as a mean over their pairs; a draw with itself says nothing of it. A draw may be left out."""
+        m = self.count - (without is not None)
+        draw = (np.arange(self.forms.shape[1]) >= self.core).astype(int)
+        share = np.array([1.0, 1.0 / m, 1.0 / (m * (m - 1))])[draw[:, None] + draw]
+        share[np.diag_indices_from(share)] *= 1 - draw
+        if without is not None:
+            share[self.core + without] = share[:, self.core + without] = 0
+        return share
+
+    def vectors(self) -> np.ndarray:
+        """A vector for each direction; their inner products are estimates of tr(P D P D') / 2."""
+        return (self.forms * np.sqrt(self.weights() / 2)).reshape(len(self.forms), -1)
 
     def information(self, rows: int) -> np.ndarray:
-        """Estimates of tr(P D_i P D_j) / 2 for the first `rows` directions against all: the mean over pairs of draws."""
-        flat = self.bulk.reshape(len(self.bulk), -1)
-        return flat[:rows] @ flat.T / (2 * self.count * (self.count - 1))
+        """The information between the first `rows` directions and all."""
+        v = self.vectors()
+        return v[:rows] @ v.T
+
+    def traces(self) -> tuple[np.ndarray, np.ndarray]:
+        """(tr(P D), the standard error of its part from draws)."""
+        diagonal = np.diagonal(self.forms, axis1=1, axis2=2)
+        drawn = diagonal[:, self.core :]
+        return diagonal[:, : self.core].sum(1) + drawn.mean(1), drawn.std(1, ddof=1) / self.count**0.5
+
+    def mixed(self, weights: np.ndarray) -> Sketch:
+        """The sketch of directions that are sums of these."""
+        return Sketch(np.tensordot(weights, self.forms, 1), self.core)
 
 
 def nuisance_coefficients(pilot: Sketch, nuisances: int) -> np.ndarray:
-    """What to take of each nuisance score from each cut's, by a pseudo-inverse of the nuisances' information, estimated on draws of their own."""
-    rows = pilot.information(nuisances)
-    own = (rows[:, :nuisances] + rows[:, :nuisances].T) / 2
-    scale = np.sqrt(np.where(np.diag(own) > 0, np.diag(own), 1.0))
-    values, vectors = np.linalg.eigh(own / scale[:, None] / scale)
-    tolerance = 1e-10 * max(1.0, float(values[-1]))
-    if values[0] < -tolerance:
-        raise ValueError("the nuisances' information is indefinite")
-    good = values > tolerance
-    inverse = (vectors[:, good] / values[good]) @ vectors[:, good].T / scale[:, None] / scale
-    return rows[:, nuisances:].T @ inverse
+    """(cuts, nuisances): what to take of the nuisances' scores from each cut's, the least-squares fit of its vector by theirs. It comes from draws of
+    its own, so that the error of the fit and that of the scores are independent. Nuisances that can't be told apart share what they explain."""
+    v = pilot.vectors().T
+    length = np.linalg.norm(v[:, :nuisances], axis=0)
+    length[length == 0] = 1.0
+    fit = np.linalg.lstsq(v[:, :nuisances] / length, v[:, nuisances:], rcond=RCOND)[0]
+    return (fit / length[:, None]).T
+
+
+#: Fixed value: singular values of the nuisances' unit vectors below this share of the largest are none.
+RCOND = 1e-10
+#: Solutions are as exact as this; a cut of which the nuisances leave a smaller part isn't told from them.
+SOLVED = 1e-6
 
 
 @dataclass(frozen=True)
 class Process:
-    """Scores of cuts, efficient and raw, their information (0: not testable), standard errors of trace and information, and the forms of the joint law."""
+    """Scores of cuts, raw and efficient, their information (0: not testable), the standard errors of both, and the forms of the joint law."""
 
     cuts: np.ndarray
     raw: np.ndarray
@@ -158,32 +186,38 @@ class Process:
 
     @property
     def z(self) -> np.ndarray:
-        return np.divide(self.scores, np.sqrt(self.information), out=np.zeros(len(self.scores)), where=self.information > 0)
+        root = np.sqrt(self.information)
+        return np.where(root > 0, self.scores / np.where(root > 0, root, 1.0), 0.0)
 
     @property
     def imprecision(self) -> float:
-        """The larger of the centring's standard error in units of the score's and of half the information's relative one."""
-        good = self.information > 0
-        return float(max(np.max(self.trace_error[good] / np.sqrt(self.information[good]), initial=0.0), np.max(self.information_error[good] / self.information[good], initial=0.0) / 2))
+        """By how many of its standard deviations a testable score may be off in its centre, or by what share in its scale, at the worst cut."""
+        own = self.information > 0
+        centre = self.trace_error[own] / np.sqrt(self.information[own])
+        scale = self.information_error[own] / (2 * self.information[own])
+        return float(max([0.0, *centre, *scale]))
 
 
 def moments(quadratics: np.ndarray, sketch: Sketch, coefficients: np.ndarray, cuts: np.ndarray) -> Process:
-    """Efficient scores and information of each cut from the forms of Py (nuisances first) and a sketch of other draws than the coefficients'."""
-    m, c = coefficients.shape[1], sketch.count
-    if len(quadratics) != m + len(cuts) or len(sketch.bulk) != len(quadratics) or (np.diff(cuts) <= 0).any():
-        raise ValueError("scores, sketch and cuts don't match")
-    raw = 0.5 * (quadratics - sketch.diagonal.mean(1))
-    scores = raw[m:] - coefficients @ raw[:m]
-    bulk = sketch.bulk[m:] - np.tensordot(coefficients, sketch.bulk[:m], 1)
-    diagonal = sketch.diagonal[m:] - coefficients @ sketch.diagonal[:m]
-    per_draw = (bulk**2).sum(2)
-    info, whole = per_draw.sum(1) / (2 * c * (c - 1)), (sketch.bulk[m:] ** 2).sum((1, 2)) / (2 * c * (c - 1))
-    info = np.where(info > 64 * np.finfo(float).eps * (m + 1) * whole, info, 0.0)  # nothing but rounding is left of it
-    deleted = (per_draw.sum(1)[:, None] - 2 * per_draw) / (2 * (c - 1) * (c - 2))
-    jackknife = np.sqrt((c - 1) / c * ((deleted - deleted.mean(1)[:, None]) ** 2).sum(1))
-    forms = bulk / np.sqrt(c * (c - 1) * np.where(info > 0, info, 1.0))[:, None, None]
-    forms[info == 0] = 0
-    return Process(cuts, raw[m:], scores, info, 0.5 * diagonal.std(1, ddof=1) / c**0.5, jackknife, forms)
+    """The process of cuts from the forms of Py (nuisances first) and a sketch of other draws than the coefficients'."""
+    count, m = coefficients.shape
+    if (len(quadratics), len(sketch.forms), len(cuts)) != (count + m, count + m, count):
+        raise ValueError("the numbers of directions differ")
+    if count > 1 and not (cuts[1:] > cuts[:-1]).all():
+        raise ValueError("cuts must ascend")
+    centred = (quadratics - sketch.traces()[0]) / 2
+    contrast = np.concatenate((-coefficients, np.eye(count)), 1)
+    left = sketch.mixed(contrast)
+    squares = left.forms**2
+    info = (squares * sketch.weights()).sum((1, 2)) / 2
+    # the length of the cut's vector and of what is taken from it: a difference far below it is the solver's error
+    length = np.linalg.norm(sketch.vectors(), axis=1)
+    reach = length[m:] + np.abs(coefficients) @ length[:m]
+    info = np.where(np.sqrt(info) > SOLVED * reach, info, 0.0)
+    dropped = np.array([(squares * sketch.weights(k)).sum((1, 2)) / 2 for k in range(sketch.count)])
+    error = np.sqrt((sketch.count - 1) * dropped.var(0))  # the jackknife over draws
+    scaled = np.sqrt(sketch.weights() / np.where(info > 0, info, 1.0)[:, None, None]) * left.forms
+    return Process(cuts, centred[m:], contrast @ centred, info, left.traces()[1] / 2, error, np.where((info > 0)[:, None, None], scaled, 0.0))
 
 
 def boundary_maxima(spark: SparkSession, forms: np.ndarray, samples: int = 16_383, seed: int = 1) -> np.ndarray:
@@ -223,24 +257,87 @@ def calibrated(spark: SparkSession, process: Process, samples: int = 16_383, see
     return {"cut": int(process.cuts[best]), "z": float(process.z[best]), "p": float((1 + (top >= z[best]).sum()) / (samples + 1)), "critical": float(top[min(at, samples - 1)]), "untestable": [int(c) for c in process.cuts[process.information == 0]]}
 
 
-def score_test(geno: DataFrame, stats: DataFrame, components: DataFrame, bins: DataFrame, theta: DataFrame, theta_e: float, response: DataFrame, q: DataFrame, draw_count: int = 16, most: int = 128, tol: float = 0.2, samples: int = 16_383, seed: int = 1) -> tuple[dict, Process]:
+def core_columns(geno: DataFrame, stats: DataFrame, project: Operator, samples: DataFrame, size: int, seed: int = 1) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(w, c, m): columns w (s, r, x) of a random range of K P, and c = P w m with m = (w'P w)^(-1/2), so that c c' is the part of P that they span."""
+    sides = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias("r")
+    start = samples.select("s", sides).select("s", "r", normal("s", "r", seed=seed + 2).alias("x"))
+    w = written(linops.k(geno, stats, project(written(start, "core-start"))), "core-range")
+    pw = project(w)
+    got = pairs(w, pw)
+    gram = np.array([[(got.get((i, j), 0.0) + got.get((j, i), 0.0)) / 2 for j in range(size)] for i in range(size)])
+    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    values, vectors = np.linalg.eigh(gram / scale / scale[:, None])
+    good = values > SOLVED * max(values[-1], 0.0)
+    mix = vectors[:, good] / np.sqrt(values[good]) / scale[:, None]
+    return w, written(mixture(pw, mix, list(range(size))), "core-columns"), mix
+
+
+def pairs(a: DataFrame, b: DataFrame) -> dict[tuple[int, int], float]:
+    """{(p, q): a_p'b_q}: a number for each two columns of tables (s, r, x)."""
+    other = b.select("s", F.col("r").alias("q"), F.col("x").alias("y"))
+    rows = a.join(other, "s").groupBy("r", "q").agg(F.sum(F.col("x") * F.col("y")).alias("d")).collect()
+    return {(r.r, r.q): r.d for r in rows}
+
+
+def mixture(x: DataFrame, weights: np.ndarray, names: list[int], out: list[int] | None = None) -> DataFrame:
+    """(s, r, x): sums of the columns of x, a row of weights for each of names, numbered by out."""
+    out = list(range(weights.shape[1])) if out is None else out
+    rows = [(int(n), int(k), float(weights[i, j])) for i, n in enumerate(names) for j, k in enumerate(out)]
+    small = F.broadcast(x.sparkSession.createDataFrame(rows, "r long, k long, w double"))  # columns times columns
+    return x.join(small, "r").groupBy("s", "k").agg(F.sum(F.col("x") * F.col("w")).alias("x")).select("s", F.col("k").alias("r"), "x")
+
+
+#: Numbers of the core's columns start here; draws count from 0, the response is -1.
+CORE = 1_000_000
+
+
+def score_test(geno: DataFrame, stats: DataFrame, components: DataFrame, bins: DataFrame, theta: DataFrame, theta_e: float, response: DataFrame, q: DataFrame, draw_count: int = 16, most: int = 128, tol: float = 0.2, samples: int = 16_383, seed: int = 1, core: int = 0) -> tuple[dict, Process]:
     """(result, process) of testing all cuts between rank bins (v, bin, comp) at the fitted theta.
 
-    Draws double until the process is precise enough; if `most` draws aren't enough, that is an error. Components without variance aren't nuisances to be
-    fitted, but stay directions. response is (s, y), q the covariates (s, r, x).
+    A core of `core` columns is treated exactly, draws have the covariance of the rest. Draws double until the process is precise enough, those
+    made before stay; if `most` draws aren't enough, that is an error. Components without variance aren't nuisances to be
+    fitted, but stay directions. response is (s, y), q the covariates (s, r, x). Even draws fit the nuisances, odd ones give scores and law.
     """
     project = projector(lambda t: linops.h(geno, stats, components, theta, theta_e, t), q)
     samples_of = written(response.select("s"), "score-samples")
-    y = response.select("s", F.lit(-1).cast("long").alias("r"), F.col("y").alias("x"))
-    count = draw_count
+    x = project(response.select("s", F.lit(-1).cast("long").alias("r"), F.col("y").alias("x")))
+    exact: list[int] = []
+    if core:
+        w, columns, mix = core_columns(geno, stats, project, samples_of, core, seed)
+        exact = [CORE + k for k in range(mix.shape[1])]
+        x = x.unionByName(columns.withColumn("r", F.col("r") + CORE))
+    products, inner = {}, {}
+    known: DataFrame | None = None  # all columns so far and their Z'x, written
+    made, count = 0, draw_count
+
+    def extended(new: DataFrame) -> None:
+        nonlocal known
+        b = written(linops.zt(geno, stats, new).join(bins, "v"), "score-zt")
+        every = (new, b) if known is None else (known[0].unionByName(new), known[1].unionByName(b))
+        for r in cross_products(every[1], b).collect():
+            products.setdefault((r.bin, r.comp), {})[r.p, r.q] = r.c
+        inner.update(pairs(every[0], new))
+        known = every
+
+    extended(written(x, "score-columns"))
     while True:
-        sides = [-1, *range(2 * count)]  # the response, pilot draws, evaluation draws
-        x = project(y.unionByName(draws(geno, stats, components, theta, theta_e, samples_of, 2 * count, seed)))
-        forms, cuts, m = directions(geno, stats, bins, x, sides)
-        pilot, own = Sketch.of(forms[:, 1 : count + 1, 1 : count + 1]), Sketch.of(forms[:, count + 1 :, count + 1 :])
-        process = moments(forms[:, 0, 0], own, nuisance_coefficients(pilot, m), cuts)
+        new = project(draws(geno, stats, components, theta, theta_e, samples_of, 2 * count - made, seed, made))
+        if core:
+            own = pairs(w, new)
+            fresh = sorted({r for _, r in own})
+            share = mix.T @ np.array([[own[i, r] for r in fresh] for i in range(core)])
+            off = mixture(columns, share, list(range(len(share))), fresh).select("s", "r", F.col("x").alias("o"))
+            new = written(new.join(off, ["s", "r"], "left").select("s", "r", (F.col("x") - F.coalesce("o", F.lit(0.0))).alias("x")), "score-rest")
+        extended(new)
+        made = 2 * count
+        sides = [-1, *exact, *range(made)]
+        forms, cuts, m = directions(bins, stats, products, inner, sides)
+        c = len(exact)
+        half = lambda odd: [*range(1, c + 1), *range(c + 1 + odd, c + 1 + made, 2)]  # noqa: E731, B023
+        pilot, own_sketch = (Sketch.of(forms[np.ix_(range(len(forms)), half(o), half(o))], c) for o in (0, 1))
+        process = moments(forms[:, 0, 0], own_sketch, nuisance_coefficients(pilot, m), cuts)
         if process.imprecision <= tol:
-            return calibrated(geno.sparkSession, process, samples, seed) | {"draws": count, "imprecision": process.imprecision}, process
+            return calibrated(geno.sparkSession, process, samples, seed) | {"draws": count, "core": c, "imprecision": process.imprecision}, process
         if 2 * count > most:
             raise ValueError(f"{count} draws leave an imprecision of {process.imprecision:.3g}")
         count *= 2

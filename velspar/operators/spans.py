@@ -26,19 +26,56 @@ def combined(x: DataFrame, names: list[int], weights: np.ndarray) -> DataFrame:
     return x.join(small, "r").groupBy("s", "k").agg(F.sum(F.col("x") * F.col("w")).alias("x")).select("s", F.col("k").alias("r"), "x")
 
 
+#: Of a column of length 1, what is left beside the span of others and shorter than this is rounding; up to the second it is neither one nor the other.
+ROUNDING, CLEAR = 1e-12, 1e-10
+
+
 def span(columns: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """(orthonormal columns, rank) of the same span; directions of no length are left out, a rank that hangs on the cutoff is an error."""
-    gram = inner_products(columns, columns)
-    names = sorted({i for i, _ in gram})
+    """(orthonormal columns, rank) of the span of `columns` of any lengths; a rank that hangs on the cutoff is an error.
+
+    Eigenvectors of a Gram matrix show directions down to a ten-thousandth of the longest. These become columns, all columns lose
+    what lies in them, twice, and what is left is looked at anew: so short directions are seen as such and not as the square of their length.
+    """
+    lengths = {i: d**0.5 for (i, j), d in inner_products(columns, columns).items() if i == j and d > 0}
+    names = sorted(lengths)
     if not names:
-        return columns, 0
-    values, vectors = np.linalg.eigh(np.array([[gram.get((i, j), 0.0) for j in names] for i in names]))
-    cutoff = max(n, len(names)) * np.finfo(float).eps * max(values[-1], 0.0)
-    ranks = {int((values > f * cutoff).sum()) for f in (0.1, 1.0, 10.0)}
-    if len(ranks) > 1:
-        raise ValueError("the rank of the selected columns is ambiguous")
-    good = values > cutoff
-    return written(combined(columns, names, vectors[:, good] / np.sqrt(values[good])), "span"), int(good.sum())
+        return columns.limit(0).select("s", F.col("r").cast("long").alias("r"), "x"), 0
+    left = written(combined(columns, names, np.diag([1 / lengths[i] for i in names])), "span-columns")
+    basis, rank, every = None, 0, range(len(names))
+    while rank < len(names):
+        got = inner_products(left, left)
+        values, vectors = np.linalg.eigh(np.array([[got.get((i, j), 0.0) for j in every] for i in every]))
+        longest = max(values[-1], 0.0) ** 0.5
+        if longest <= ROUNDING:
+            break
+        if longest < CLEAR:
+            raise ValueError("the rank of the selected columns is ambiguous")
+        good = values > 1e-8 * values[-1]
+        new = combined(left, list(every), vectors[:, good] / np.sqrt(values[good]))
+        new = _unit(_beside(new, basis, rank) if rank else written(new, "span"), int(good.sum()))
+        new = written(new.withColumn("r", F.col("r") + rank), "span")
+        basis, rank = new if basis is None else basis.unionByName(new), rank + int(good.sum())
+        left = _beside(left, basis, rank)
+    return basis, rank
+
+
+def _beside(x: DataFrame, basis: DataFrame, rank: int) -> DataFrame:
+    """x less its part in the span of orthonormal columns numbered from 0, taken twice."""
+    for _ in range(2):
+        got = inner_products(basis, x)
+        sides = sorted({j for _, j in got})
+        own = combined(basis, list(range(rank)), np.array([[got.get((i, j), 0.0) for j in sides] for i in range(rank)]))
+        back = F.broadcast(x.sparkSession.createDataFrame([(k, int(j)) for k, j in enumerate(sides)], "r long, name long"))  # a row per column
+        own = own.join(back, "r").select("s", F.col("name").alias("r"), F.col("x").alias("o"))
+        x = written(x.join(own, ["s", "r"], "left").select("s", "r", (F.col("x") - F.coalesce("o", F.lit(0.0))).alias("x")), "span-left")
+    return x
+
+
+def _unit(x: DataFrame, count: int) -> DataFrame:
+    """Nearly orthonormal columns made so."""
+    got = inner_products(x, x)
+    values, vectors = np.linalg.eigh(np.array([[got.get((i, j), 0.0) for j in range(count)] for i in range(count)]))
+    return written(combined(x, list(range(count)), vectors / np.sqrt(values)), "span")
 
 
 def span_information(basis: DataFrame, rank: int, project: Operator, parts: Callable[[DataFrame], DataFrame] | None = None) -> dict:
