@@ -107,14 +107,13 @@ _SECRETS = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 rules(kind, k, pattern) AS (VALUES ('assign', 0, '{_ASSIGN}'), ('access', 1, '(AKIA)([A-Z0-9]+)'), ('hex', 2, '([0-9a-f]+)([g]*)')),
 found AS (
-  SELECT d.doc_id, d.t, r.kind, r.k, regexp_extract_all(d.t, r.pattern, 0) AS m, regexp_extract_all(d.t, r.pattern, 2) AS g
+  SELECT d.doc_id, r.kind, r.k, regexp_extract_all(d.t, r.pattern, 0) AS m, regexp_extract_all(d.t, r.pattern, 2) AS g,
+    string_split_regex(d.t, CASE r.kind WHEN 'assign' THEN '{_ASSIGN}' WHEN 'access' THEN 'AKIA[A-Z0-9]+' ELSE '[0-9a-f]+' END) AS gaps
   FROM docs d, rules r WHERE regexp_matches(d.t, r.pattern)),
-pieces AS (SELECT doc_id, kind, k, unnest(range(1, len(m) + 1)) AS i, m, g, t FROM found),
-walk AS (
-  SELECT doc_id, kind, k, i, m[i] AS x, g[i] AS value,
-    string_split_regex(t, CASE kind WHEN 'assign' THEN '{_ASSIGN}' WHEN 'access' THEN 'AKIA[A-Z0-9]+' ELSE '[0-9a-f]+' END)[i] AS gap FROM pieces),
+lengths AS (
+  SELECT doc_id, kind, k, unnest(list_zip(m, g, gaps[:len(m)], range(1, len(m) + 1))) AS z FROM found),
 placed AS (
-  SELECT *, sum(length(gap) + length(x)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM walk),
+  SELECT doc_id, kind, k, z[1] AS x, z[2] AS value, sum(length(z[3]) + length(z[1])) OVER (PARTITION BY doc_id, kind ORDER BY z[4]) AS stop FROM lengths),
 good AS (
   SELECT doc_id, kind, k, stop - length(x) AS start, stop FROM placed
   WHERE CASE kind WHEN 'assign' THEN length(value) >= 6 WHEN 'access' THEN length(x) >= 20 ELSE length(x) >= 24 END),
