@@ -196,20 +196,20 @@ def test_core_is_exact_and_draws_have_the_rest(spark, fitted):
     assert (np.std(errors[5], 0) < np.std(errors[0], 0)).all()
 
 
-def test_score_test_with_a_core_needs_fewer_draws_and_keeps_them(spark, fitted, monkeypatch):
+def test_score_test_with_a_core_keeps_its_draws(spark, fitted, monkeypatch):
     geno, st, comps, z, inv, ks, theta, h, c, p, product = fitted
     y = np.random.default_rng(7).normal(size=N)
     resp = spark.createDataFrame([(i, float(y[i])) for i in range(N)], "s long, y double")
-    bins = comps.selectExpr("v", "cast(v div 4 as int) as bin", "comp")
-    asked = []
+    bins = comps.selectExpr("v", "cast(v div 8 as int) as bin", "comp")
+    asked, said = [], iter([1.0, 0.0, 0.0])
     plain = score.draws
-    monkeypatch.setattr(score, "draws", lambda *a, **k: asked.append(a[6:9]) or plain(*a, **k))
-    got = [score.score_test(geno, st, comps, bins, theta, 0.5, resp, vec(spark, c), draw_count=8, most=8, tol=1e9, samples=199, core=k)[1] for k in (0, 10)]
-    assert got[1].imprecision < got[0].imprecision
-    asked.clear()
-    with pytest.raises(ValueError, match="imprecision"):
-        score.score_test(geno, st, comps, bins, theta, 0.5, resp, vec(spark, c), draw_count=4, most=8, tol=1e-9, samples=199)
-    assert [(n, first) for n, _, first in asked] == [(8, 0), (8, 8)]
+    monkeypatch.setattr(score, "draws", lambda *a, **k: asked.append((a[6], a[8])) or plain(*a, **k))
+    monkeypatch.setattr(score.Process, "imprecision", property(lambda self: next(said)))
+    found, process = score.score_test(geno, st, comps, bins, theta, 0.5, resp, vec(spark, c), draw_count=3, most=6, tol=0.5, samples=199, core=5)
+    assert asked == [(6, 0), (6, 6)] and found["draws"] == 6 and found["core"] == 5
+    py, edge = p @ y, int(np.searchsorted(np.cumsum(inv > 0), process.cuts[0])) + 1
+    d = z[:, :edge] @ z[:, :edge].T / process.cuts[0] - z[:, edge:] @ z[:, edge:].T / ((inv > 0).sum() - process.cuts[0])
+    assert abs(process.raw[0] - 0.5 * (py @ d @ py - np.trace(p @ d))) < 6 * process.trace_error[0] + 0.1 * abs(np.trace(p @ np.abs(d)))
 
 
 def test_span_sees_short_directions(spark):

@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velspar.operators import linops
-from velspar.operators.solvers import dots, pcg, solve_spd
+from velspar.operators.score import gated
+from velspar.operators.solvers import dots, solve_spd
 from velspar.sources.shared import written
 
 
-def estimate(product: Callable[[DataFrame], DataFrame], geno: DataFrame, stats: DataFrame, components: DataFrame, theta: DataFrame, response: DataFrame, q: DataFrame) -> dict:
+def estimate(product: Callable[[DataFrame], DataFrame], geno: DataFrame, stats: DataFrame, components: DataFrame, theta: DataFrame, response: DataFrame, q: DataFrame, tol: float = 1e-8) -> dict:
     """Generalised least squares and best linear unbiased prediction for H given as product.
 
     fixed (r, b): coefficients on the basis q; alpha (s, r, x): H⁻¹(y - Qb); random (s, comp, r, x): theta_comp K_comp alpha; variants (v, comp, b): theta_comp Z'alpha / m_eff,
-    so that Z b of a component is its random effect.
+    so that Z b of a component is its random effect. A solution whose residual is above 5 tol is an error.
     """
     rhs = response.select("s", F.lit(-1).cast("long").alias("r"), F.col("y").alias("x")).unionByName(q.select("s", F.col("r").cast("long").alias("r"), "x"))
-    solved = written(pcg(product, written(rhs, "effects-rhs"), tol=1e-8, maxiter=200)[0], "effects-solved")
+    solved = gated(product, written(rhs, "effects-rhs"), tol, 200, floor=0.0)
     qs = q.select("s", F.col("r").cast("long").alias("i"), F.col("x").alias("q"))
     inner = {(r.i, r.r): r.d for r in qs.join(solved, "s").groupBy("i", "r").agg(F.sum(F.col("q") * F.col("x")).alias("d")).collect()}  # a few numbers per covariate
     ranks = sorted({i for i, _ in inner})

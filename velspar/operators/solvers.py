@@ -51,41 +51,84 @@ def residual_of(product: Operator, b: DataFrame, x: DataFrame) -> DataFrame:
 
 def _pcg(product: Operator, b: DataFrame, whole: DataFrame, diagonal: DataFrame | None, tol: float, maxiter: int, precond: Operator | None) -> tuple[DataFrame, dict, int]:
     """pcg from zeros for the residuals b of right-hand sides `whole`, to whose norms tol refers."""
-    spark = b.sparkSession
     norm = dots(whole, whole)
-    scaled = lambda t: t if diagonal is None else t.join(diagonal, "s").select("s", "r", (F.col("x") / F.col("d")).alias("x"))
-    inverse = precond or scaled
+    x, done = (_by_map if precond else _by_diagonal)(product, b, norm, precond or diagonal, tol, maxiter)
+    left = residual_of(product, b, x)
+    error = dots(left, left)
+    return x, {r: (error[r] / n) ** 0.5 if n else 0.0 for r, n in norm.items()}, done
+
+
+def _curved(curve: dict) -> None:
+    bad = {r: c for r, c in curve.items() if not c > 0}
+    if bad:
+        raise ValueError(f"curvature isn't positive: {bad}")
+
+
+def _by_diagonal(product: Operator, b: DataFrame, norm: dict, diagonal: DataFrame | None, tol: float, maxiter: int) -> tuple[DataFrame, int]:
+    """(x, iterations) with a diagonal or nothing: an iteration writes one table and sums over it twice; the new vectors are
+    made only where they are read. Sides that have converged leave the table."""
+    d = F.lit(1.0)
+    state = b.select("s", "r", F.lit(0.0).alias("u"), F.col("x").alias("res"))
+    if diagonal is not None:
+        state, d = state.join(diagonal.select("s", "d"), "s"), F.col("d")
+    state = written(state.withColumn("d", d).withColumn("p", F.col("res") / F.col("d")), "pcg")
+    first = state.groupBy("r").agg(F.sum(F.col("res") * F.col("p")).alias("rho"), F.sum(F.col("res") * F.col("res")).alias("size")).collect()  # a row per side
+    rho, size = {r.r: r.rho for r in first}, {r.r: r["size"] for r in first}
+    ended = [state.where(~F.col("r").isin(*(live := {r for r in norm if norm[r] > 0 and size[r] > tol * tol * norm[r]}))).select("s", "r", F.col("u").alias("x"))]
+    state = state.where(F.col("r").isin(*live))
+    done = 0
+    while live and done < maxiter:
+        done += 1
+        hp = product(state.select("s", "r", F.col("p").alias("x"))).select("s", "r", F.col("x").alias("hp"))
+        both = written(state.join(hp, ["s", "r"], "left").withColumn("hp", F.coalesce("hp", F.lit(0.0))), "pcg")
+        sums = both.groupBy("r").agg(F.sum(F.col("p") * F.col("hp")).alias("curve")).collect()  # a row per side
+        _curved({r.r: r.curve for r in sums})
+        a, before = {r.r: rho[r.r] / r.curve for r in sums}, dict(rho)
+        res = both.join(_scalars(b.sparkSession, a=a), "r").withColumn("res", F.col("res") - F.col("a") * F.col("hp"))
+        for r in res.groupBy("r").agg(F.sum(F.col("res") * F.col("res") / F.col("d")).alias("rho"), F.sum(F.col("res") * F.col("res")).alias("size")).collect():  # a row per side
+            rho[r.r], size[r.r] = r.rho, r["size"]
+        turn = {r: rho[r] / before[r] for r in live}
+        moved = both.join(_scalars(b.sparkSession, a=a, c=turn), "r").select("s", "r", (F.col("u") + F.col("a") * F.col("p")).alias("u"), (F.col("res") - F.col("a") * F.col("hp")).alias("res"), "p", "c", "d")
+        state = moved.withColumn("p", F.col("res") / F.col("d") + F.col("c") * F.col("p")).drop("c")
+        now = {r for r in live if size[r] > tol * tol * norm[r] and rho[r] > 0}
+        if live - now:
+            ended.append(state.where(F.col("r").isin(*(live - now))).select("s", "r", F.col("u").alias("x")))
+            state = state.where(F.col("r").isin(*now))
+        live = now
+    if live:
+        ended.append(state.select("s", "r", F.col("u").alias("x")))
+    out = ended[0]
+    for part in ended[1:]:
+        out = out.unionByName(part)
+    return written(out, "pcg-solution"), done
+
+
+def _by_map(product: Operator, b: DataFrame, norm: dict, inverse: Operator, tol: float, maxiter: int) -> tuple[DataFrame, int]:
+    """(x, iterations) with any linear map as preconditioner."""
     start = b.select("s", "r", F.lit(0.0).alias("u"), F.col("x").alias("res"))
     state = written(start.join(inverse(b).select("s", "r", F.col("x").alias("p")), ["s", "r"]), "pcg")
-    side = lambda c: state.select("s", "r", F.col(c).alias("x"))
-    rho = dots(side("res"), side("p"))
-    first = norm if whole is b else dots(b, b)
+    side = lambda t, c: t.select("s", "r", F.col(c).alias("x"))
+    rho, first = dots(side(state, "res"), side(state, "p")), dots(b, b)
     live = {r for r, v in norm.items() if v > 0 and first[r] > tol * tol * v}
+    ended = state.where(~F.col("r").isin(*live)).select("s", "r", F.col("u").alias("x"))
+    state = state.where(F.col("r").isin(*live))
     done = 0
     while live and done < maxiter:
         done += 1
-        p = side("p").where(F.col("r").isin(*live))
-        hp = written(product(p), "pcg-product")
-        curve = dots(p, hp)
-        bad = {r: c for r, c in curve.items() if not c > 0}
-        if bad:
-            raise ValueError(f"curvature isn't positive: {bad}")
-        step = _scalars(spark, a={r: rho[r] / curve[r] for r in live})
-        moved = state.join(hp.select("s", "r", F.col("x").alias("hp")), ["s", "r"], "left").join(step, "r", "left")
-        a = F.coalesce("a", F.lit(0.0))
-        moved = written(moved.select("s", "r", (F.col("u") + a * F.col("p")).alias("u"), (F.col("res") - a * F.coalesce("hp", F.lit(0.0))).alias("res"), "p"), "pcg")
-        res = moved.select("s", "r", F.col("res").alias("x"))
-        z = inverse(res)
-        new, size = dots(res, z), dots(res, res)
-        turn = _scalars(spark, c={r: new[r] / rho[r] for r in live})
-        state = moved.join(z.select("s", "r", F.col("x").alias("z")), ["s", "r"]).join(turn, "r", "left")
-        state = written(state.select("s", "r", "u", "res", F.when(F.col("c").isNull(), F.col("p")).otherwise(F.col("z") + F.col("c") * F.col("p")).alias("p")), "pcg")
-        rho = {**rho, **new}
-        live = {r for r in live if size[r] > tol * tol * norm[r]}
-    x = state.select("s", "r", F.col("u").alias("x"))
-    left = residual_of(product, b, x)
-    error = dots(left, left)
-    return x, {r: (error[r] / n) ** 0.5 if n else 0.0 for r, n in norm.items()}, done
+        both = written(state.join(product(side(state, "p")).select("s", "r", F.col("x").alias("hp")), ["s", "r"], "left").withColumn("hp", F.coalesce("hp", F.lit(0.0))), "pcg-product")
+        curve = dots(side(both, "p"), side(both, "hp"))
+        _curved(curve)
+        moved = both.join(_scalars(b.sparkSession, a={r: rho[r] / curve[r] for r in live}), "r")
+        moved = moved.select("s", "r", (F.col("u") + F.col("a") * F.col("p")).alias("u"), (F.col("res") - F.col("a") * F.col("hp")).alias("res"), "p")
+        moved = written(moved.join(inverse(side(moved, "res")).select("s", "r", F.col("x").alias("z")), ["s", "r"]), "pcg")
+        sums = moved.groupBy("r").agg(F.sum(F.col("res") * F.col("z")).alias("rho"), F.sum(F.col("res") * F.col("res")).alias("size")).collect()  # a row per side
+        new, size = {r.r: r.rho for r in sums}, {r.r: r["size"] for r in sums}
+        now = {r for r in live if size[r] > tol * tol * norm[r]}
+        ended = ended.unionByName(moved.where(F.col("r").isin(*(live - now))).select("s", "r", F.col("u").alias("x")))
+        turned = moved.where(F.col("r").isin(*now)).join(_scalars(b.sparkSession, c={r: new[r] / rho[r] for r in live}), "r")
+        state = turned.select("s", "r", "u", "res", (F.col("z") + F.col("c") * F.col("p")).alias("p"))
+        rho, live = {**rho, **new}, now
+    return written(ended.unionByName(state.select("s", "r", F.col("u").alias("x"))), "pcg-solution"), done
 
 
 def probes(samples: DataFrame, count: int, seed: int = 1) -> DataFrame:
@@ -209,62 +252,139 @@ def bounded_step(score: np.ndarray, info: np.ndarray, theta: np.ndarray, floor:
     return np.maximum(d, low)
 
 
-def fit_reml(hv: Callable[[np.ndarray, DataFrame], DataFrame], parts: Callable[[DataFrame], DataFrame], response: DataFrame, q: DataFrame, samples: DataFrame, theta: np.ndarray, traces: int = 4, rounds: int = 8, tol: float = 1e-3, floor: float = 1e-2, correction: Callable[[Operator], dict] | None = None) -> tuple[np.ndarray, list[dict]]:
-    """(theta, history): variance components, genetic ones first and the residual last, by average-information scoring.
+#: Kinds of right-hand sides: a side's number in a solve is its kind times this plus its own number, so kinds never meet.
+KIND = 1 << 40
+COVARIATE, RESPONSE, PROBE, PRODUCT, OTHER = range(5)
+
+
+def sided(x: DataFrame, kind: int) -> DataFrame:
+    return x.select("s", (F.col("r").cast("long") + kind * KIND).alias("r"), "x")
+
+
+def of_kind(x: DataFrame, kind: int) -> DataFrame:
+    """The sides of one kind under their own numbers."""
+    return x.where(F.floor(F.col("r") / KIND) == kind).select("s", (F.col("r") - kind * KIND).alias("r"), "x")
+
+
+class Solutions:
+    """H⁻¹ of right-hand sides that come again at other coefficients: the last solution of each is kept as a table and is where the next solve begins.
+
+    A side's residual at the new coefficients is made first; one within 1.05 of the tolerance isn't solved again.
+    """
+
+    def __init__(self, hv: Callable[[np.ndarray, DataFrame], DataFrame], tol: float = 1e-6, maxiter: int = 200):
+        self.hv, self.tol, self.maxiter = hv, tol, maxiter
+        self.known: dict[str, DataFrame] = {}
+        self.iterations = 0
+
+    def solve(self, name: str, at: np.ndarray, b: DataFrame) -> DataFrame:
+        before = self.known.get(name)
+        x, error, used = pcg(lambda t: self.hv(at, t), b, tol=self.tol, maxiter=self.maxiter, x0=before)
+        self.iterations += used
+        bad = {r: e for r, e in error.items() if not e <= max(5 * self.tol, 1e-5)}
+        if bad:
+            raise ValueError(f"unsolved right-hand sides at {at}: {bad}")
+        self.known[name] = written(x, "reml-solved")
+        return self.known[name]
+
+
+def fit_reml(
+    hv: Callable[[np.ndarray, DataFrame], DataFrame], parts: Callable[[DataFrame], DataFrame], response: DataFrame, q: DataFrame, samples: DataFrame, theta: np.ndarray, traces: int = 4, rounds: int = 20,
+    tol: float = 1e-3, floor: float = 1e-2, correction: Callable[[Operator], dict] | None = None, quadrature_of: tuple[int, int] = (4, 8), halvings: int = 6,
+) -> tuple[np.ndarray, list[dict]]:
+    """(theta, history): variance components, genetic ones first and the residual last, by average-information scoring guarded by the likelihood.
 
     hv(theta, x) is H x; parts(x) is (s, comp, r, x) with all K_comp x. Scores are (y'P K P y - tr(P K)) / 2 with traces from fixed ±1
-    probes, the same in every round. Stops when no component moves by more than tol of the whole. correction(project) is what tr(P K) is too large by, per
-    component (-1: the residual), with project(b) = P b at the present theta; history holds the information matrix of each round.
+    probes. The objective is -(log|H| + log|Q'H⁻¹Q| + y'Py) / 2, log|H| by Lanczos on fixed probes too (their number and steps: quadrature_of), so its changes are free
+    of sampling; a step at which it falls is halved, `halvings` times at most, and given up if it still falls. Solutions are kept: a trial that is
+    accepted is the next round's start, and each solve begins at the last one's result.
+
+    It ends where no component would move by more than tol of the whole, or where no part of a step is accepted. history has for each round theta, score, information,
+    the step proposed there, objective, halvings taken and kkt: the largest score of a free component, or of one at its bound that pulls inwards, in standard deviations.
+    correction(project) is what tr(P K) is too large by, per component (-1: the residual), with project(b) = P b at the present theta; the objective
+    doesn't know it, so the guard is off then.
     """
     g = len(theta) - 1
-    ranks = sorted(r.r for r in q.select("r").distinct().collect())
-    u = probes(samples, traces).withColumn("r", F.col("r") + 1000)
-    rhs = written(response.select("s", F.lit(-1).cast("long").alias("r"), F.col("y").alias("x")).unionByName(q.select("s", F.col("r").cast("long").alias("r"), "x")).unionByName(u), "reml-rhs")
-    qs = q.select("s", F.col("r").cast("long").alias("i"), F.col("x").alias("q"))
-
-    def projected(at: np.ndarray, b: DataFrame) -> DataFrame:
-        """P b = H⁻¹b - H⁻¹Q (Q'H⁻¹Q)⁻¹ Q'H⁻¹b for b that holds the columns of Q too."""
-        x, error, _ = pcg(lambda t: hv(at, t), b, tol=1e-6, maxiter=200)
-        if any(not e <= 1e-5 for e in error.values()):
-            raise ValueError(f"unsolved right-hand sides at {at}: {error}")
-        x = written(x, "reml-solved")
-        inner = {(r.i, r.r): r.d for r in qs.join(x, "s").groupBy("i", "r").agg(F.sum(F.col("q") * F.col("x")).alias("d")).collect()}  # a few numbers per side
-        sides = sorted({r for _, r in inner if r not in ranks})
-        gram = np.array([[inner[i, j] for j in ranks] for i in ranks])
+    n = samples.count()
+    qs = written(q.select("s", F.col("r").cast("long").alias("r"), "x"), "reml-covariates")
+    ranks = sorted(r.r for r in qs.select("r").distinct().collect())
+    u = written(probes(samples, traces), "reml-probes")
+    rhs = written(sided(response.select("s", F.lit(0).alias("r"), F.col("y").cast("double").alias("x")), RESPONSE).unionByName(sided(qs, COVARIATE)).unionByName(sided(u, PROBE)), "reml-rhs")
+    solutions = Solutions(hv)
+
+    def projected(name: str, at: np.ndarray, b: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        """(P b, Q'H⁻¹Q) for b with sides of several kinds, the covariates among them: P b = H⁻¹b - H⁻¹Q (Q'H⁻¹Q)⁻¹ Q'H⁻¹b."""
+        x = solutions.solve(name, at, b)
+        cross = qs.select("s", F.col("r").alias("i"), F.col("x").alias("q")).join(x, "s").groupBy("i", "r").agg(F.sum(F.col("q") * F.col("x")).alias("d")).collect()  # a few numbers per side
+        inner = {(r.i, r.r): r.d for r in cross}
+        sides = sorted({r for _, r in inner if r >= KIND})
+        gram = np.array([[inner[i, j] for j in ranks] for i in ranks]).reshape(len(ranks), len(ranks))
+        if not ranks:
+            return x, gram
         c = np.linalg.solve(gram, np.array([[inner[i, r] for r in sides] for i in ranks]))
         share = b.sparkSession.createDataFrame([(int(i), int(r), float(c[k, m])) for k, i in enumerate(ranks) for m, r in enumerate(sides)], "i long, r long, c double")
-        off = x.where(F.col("r").isin(*ranks)).select("s", F.col("r").alias("i"), F.col("x").alias("h")).join(F.broadcast(share), "i").groupBy("s", "r").agg(F.sum(F.col("h") * F.col("c")).alias("o"))
-        return written(x.where(~F.col("r").isin(*ranks)).join(off, ["s", "r"], "left").select("s", "r", (F.col("x") - F.coalesce("o", F.lit(0.0))).alias("x")), "reml-projected")
+        own = x.where(F.col("r") < KIND).select("s", F.col("r").alias("i"), F.col("x").alias("h"))
+        off = own.join(F.broadcast(share), "i").groupBy("s", "r").agg(F.sum(F.col("h") * F.col("c")).alias("o"))  # sides times covariates
+        out = x.where(F.col("r") >= KIND).join(off, ["s", "r"], "left").select("s", "r", (F.col("x") - F.coalesce("o", F.lit(0.0))).alias("x"))
+        return written(out, "reml-projected"), gram
+
+    def evaluated(at: np.ndarray) -> tuple[float, DataFrame]:
+        """(objective, P of response and probes)."""
+        p, gram = projected("whole", at, rhs)
+        fit = sum(dots(of_kind(p, RESPONSE), of_kind(rhs, RESPONSE)).values())
+        inside = float(np.linalg.slogdet(gram)[1]) if ranks else 0.0
+        whole = logdet(lambda t: hv(at, t), samples, n, *quadrature_of)[0] if correction is None else 0.0
+        return -0.5 * (whole + inside + fit), p
 
     def beside(b: DataFrame) -> DataFrame:
-        """P b at the present theta for b without the covariates; its numbers move out of theirs and back."""
-        own = b.select("s", (F.col("r") + 10_000).alias("r"), "x").unionByName(q.select("s", F.col("r").cast("long").alias("r"), "x"))
-        return projected(theta, written(own, "reml-beside")).select("s", (F.col("r") - 10_000).alias("r"), "x")
+        """P b at the present theta for b without the covariates."""
+        own = written(sided(b, OTHER).unionByName(sided(qs, COVARIATE)), "reml-beside")
+        solutions.known.pop("beside", None)  # other sides each time
+        return of_kind(projected("beside", theta, own)[0], OTHER)
 
     history: list[dict] = []
+    objective, p = evaluated(theta)
     for turn in range(rounds):
-        p = projected(theta, rhs)
-        py = p.where("r = -1")
-        k = written(parts(p).unionByName(p.select("s", F.lit(g).cast("int").alias("comp"), "r", "x")), "reml-parts")
-        first = {r.comp: r.d for r in k.where("r = -1").join(py.select("s", F.col("x").alias("y")), "s").groupBy("comp").agg(F.sum(F.col("x") * F.col("y")).alias("d")).collect()}
-        trace = {r.comp: r.d / traces for r in k.where("r >= 1000").join(u.select("s", "r", F.col("x").alias("u")), ["s", "r"]).groupBy("comp").agg(F.sum(F.col("x") * F.col("u")).alias("d")).collect()}
+        k = written(parts(p).select("s", "comp", "r", "x").unionByName(p.select("s", F.lit(g).cast("int").alias("comp"), "r", "x")), "reml-parts")
+        py = of_kind(p, RESPONSE).select("s", F.col("x").alias("y"))
+        own = k.where(F.floor(F.col("r") / KIND) == RESPONSE)
+        first = {r.comp: r.d for r in own.join(py, "s").groupBy("comp").agg(F.sum(F.col("x") * F.col("y")).alias("d")).collect()}  # a row per component
+        signs = sided(u, PROBE).withColumnRenamed("x", "u")
+        trace = {r.comp: r.d / traces for r in k.join(signs, ["s", "r"]).groupBy("comp").agg(F.sum(F.col("x") * F.col("u")).alias("d")).collect()}  # a row per component
         off = correction(beside) if correction else {}
         score = np.array([0.5 * (first.get(c, 0.0) - trace.get(c, 0.0) + off.get(c if c < g else -1, 0.0)) for c in range(g + 1)])
-        kpy = k.where("r = -1").select("s", F.col("comp").cast("long").alias("r"), "x")
-        again = projected(theta, written(kpy.withColumn("r", F.col("r") + 5000).unionByName(q.select("s", F.col("r").cast("long").alias("r"), "x")), "reml-information"))
-        cross = kpy.select("s", F.col("r").alias("a"), "x").join(again.select("s", (F.col("r") - 5000).alias("b"), F.col("x").alias("y")), "s").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("d")).collect()
+        kpy = own.select("s", F.col("comp").cast("long").alias("r"), "x")
+        again = of_kind(projected("information", theta, written(sided(kpy, PRODUCT).unionByName(sided(qs, COVARIATE)), "reml-information"))[0], PRODUCT)
+        cross = kpy.select("s", F.col("r").alias("a"), "x").join(again.select("s", F.col("r").alias("b"), F.col("x").alias("y")), "s").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("d")).collect()
         info = np.zeros((g + 1, g + 1))
         for r in cross:
             info[r.a, r.b] = 0.5 * r.d
         info = (info + info.T) / 2
         step = bounded_step(score, info, theta, floor)
-        theta = theta + step
-        history.append({"round": turn, "theta": theta.tolist(), "score": score.tolist(), "info": info.tolist(), "step": float(np.abs(step).max())})
+        held = theta - np.append(np.zeros(g), floor) <= 1e-12
+        pull = np.where(held, np.maximum(score, 0.0), np.abs(score)) / np.sqrt(np.maximum(np.diag(info), 1e-300))
+        history.append({"round": turn, "theta": theta.tolist(), "score": score.tolist(), "info": info.tolist(), "step": float(np.abs(step).max()), "objective": objective, "kkt": float(pull.max()), "halved": 0, "iterations": solutions.iterations})
         if np.abs(step).max() <= tol * theta.sum():
             break
+        for halved in range(halvings + 1):
+            trial = theta + step / 2**halved
+            reached, p_trial = evaluated(trial)
+            if correction is not None or reached >= objective - 1e-9 * abs(objective):
+                theta, objective, p = trial, reached, p_trial
+                history[-1]["halved"] = halved
+                break
+        else:
+            history[-1]["halved"] = halvings + 1
+            break
     return theta, history
 
 
+def fit_from(starts: list[np.ndarray], fit: Callable[[np.ndarray], tuple[np.ndarray, list[dict]]]) -> tuple[np.ndarray, list[dict]]:
+    """The fit of the highest objective among those from several starts, ties to the first."""
+    found = [fit(np.asarray(s, float)) for s in starts]
+    return max(found, key=lambda x: x[1][-1]["objective"])
+
+
 def lasso_path(gram: np.ndarray, q: np.ndarray, lams: np.ndarray, tol: float = 1e-8, maxiter: int = 10_000) -> np.ndarray:
     """(len(lams), k) minimisers of b'Gb/2 - q'b + lam |b|, by coordinate descent with warm starts, on a bounded set of candidates; a point that doesn't converge is an error."""
     k = len(q)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velspar.operators import align, gwas, ld, linops, selection, solvers, sparse, stats
+from velspar.operators import align, gwas, ld, linops, score, selection, solvers, sparse, stats, tiles
 from velspar.operators import effects as after
 from velspar.plans.proxy import covar, effects, geno, pheno, sql, table, variants
 from velspar.sources.shared import written
@@ -487,13 +487,43 @@ def _system(spark: SparkSession, sf_dir: str):
     return g, st, comps
 
 
-@query()
+def _weights(spark: SparkSession) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(c, 0.1 * (c + 1)) for c in range(3)], "comp int, theta double"))  # a row per component
+
+
+@query("SELECT s, round(y, 3) + 0.0 AS hx FROM yy")
 def pcg_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(s, x): H x = y for H = 0.5 I + 0.1 K_0 + 0.2 K_1 + 0.3 K_2."""
+    """(s, hx): H x = y for H = 0.5 I + 0.1 K_0 + 0.2 K_1 + 0.3 K_2 is solved on tiles and multiplied back on the long table; an unfinished solution is an error."""
     g, st, comps = _system(spark, sf_dir)
-    theta = F.broadcast(spark.createDataFrame([(c, 0.1 * (c + 1)) for c in range(3)], "comp int, theta double"))
     b = written(vector(spark, sf_dir).select("s", F.col("r").cast("long").alias("r"), "x"), "rhs")
-    return solvers.pcg(lambda t: linops.h(g, st, comps, theta, 0.5, t), b, tol=1e-6)[0].select("s", "x")
+    packed = tiles.pack(g)
+    x = score.gated(lambda t: linops.h(packed, st, comps, _weights(spark), 0.5, t), b, 1e-10, 200, factor=1.05, floor=0.0)
+    return rounded(linops.h(g, st, comps, _weights(spark), 0.5, x).select("s", F.col("x").alias("hx")), "hx", digits=3)
+
+
+_TILED = """SELECT s, round(sum(z * b) / (SELECT sum(m) FROM meff), 4) + 0.0 AS x
+FROM zed JOIN (SELECT v, sum(z * y) AS b FROM zed JOIN yy USING (s) GROUP BY v) USING (v) GROUP BY s"""
+
+
+@query(_TILED)
+def tiled_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s, x): K y from packed tiles of 32 variants by 1024 samples."""
+    g, st, _ = _system(spark, sf_dir)
+    return rounded(linops.k(tiles.pack(g, 32, 1024), st, vector(spark, sf_dir)).select("s", "x"), "x", digits=4)
+
+
+@query("SELECT s, v, CAST(g AS INTEGER) AS g FROM calls")
+def tile_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s, v, g): all calls, packed into tiles and read back."""
+    return tiles.pack(geno(spark, sf_dir), 32, 1024).calls()
+
+
+@query("SELECT s, row_number() OVER (ORDER BY y, s) - 1 AS place FROM pheno")
+def dense_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s, place): samples numbered by their response, range by range."""
+    from velspar.operators.order import numbered
+
+    return numbered(pheno(spark, sf_dir), "y", "s", name="place", size=500).select("s", "place")
 
 
 @query()
@@ -519,7 +549,7 @@ def slq_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def reml_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(component, theta, rounds): variance components of the response, three genetic ones and the residual."""
+    """(component, theta, rounds): variance components of the response, three genetic ones and the residual; a fit that hasn't converged is an error."""
     g, st, comps = _system(spark, sf_dir)
     y = written(response(spark, sf_dir), "response")
     q = written(gwas.basis(y, []), "basis")
@@ -529,7 +559,8 @@ def reml_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         return linops.h(g, st, comps, own, float(theta[-1]), t)
 
     parts = lambda t: linops.k_by_component(g, st, comps, t).select("s", "comp", "r", "x")
-    theta, history = solvers.fit_reml(hv, parts, y, q, y.select("s"), np.array([0.1, 0.1, 0.1, 0.7]), rounds=3)
+    theta, history = solvers.fit_reml(hv, parts, y, q, y.select("s"), np.array([0.1, 0.1, 0.1, 0.7]))
+    theta = after.accepted(theta, history)
     return spark.createDataFrame([(c, float(v), len(history)) for c, v in enumerate(theta)], "component int, theta double, rounds int")
 
 
@@ -549,6 +580,18 @@ def lasso_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "path int, lam double, v long, beta double")
 
 
+@query("SELECT s, round(y, 3) + 0.0 AS y FROM yy")
+def blup_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s, y): fixed part, random parts and 0.5 H⁻¹(y - Qb) of the estimates at H = 0.5 I + 0.1 K_0 + 0.2 K_1 + 0.3 K_2 add up to the response."""
+    g, st, comps = _system(spark, sf_dir)
+    y = written(response(spark, sf_dir), "response")
+    q = written(gwas.basis(y, []), "basis")
+    got = after.estimate(lambda t: linops.h(g, st, comps, _weights(spark), 0.5, t), g, st, comps, _weights(spark), y, q, tol=1e-10)
+    fixed = q.join(F.broadcast(got["fixed"]), "r").select("s", (F.col("x") * F.col("b")).alias("x"))  # a row per covariate
+    every = fixed.unionByName(got["random"].select("s", "x")).unionByName(got["alpha"].select("s", (F.col("x") * 0.5).alias("x")))
+    return rounded(every.groupBy("s").agg(F.sum("x").alias("y")), "y", digits=3)
+
+
 @query()
 def blup_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(v, comp, b): effects of all variants given H = 0.5 I + 0.1 K_0 + 0.2 K_1 + 0.3 K_2."""
