@@ -216,6 +216,21 @@ def test_graph_by_insertion_finds_all_in_range():
     assert len(np.unique(found)) == len(found) and len(found) >= 0.99 * want
 
 
+@pytest.mark.parametrize(("size", "copies", "width", "spread"), [(3000, 2, 64, 0.035), (1500, 2, 16, 0.08), (1500, 3, 64, 0.035)])
+def test_no_link_of_a_shard_is_lost(size, copies, width, spread):
+    import pandas as pd
+
+    rng = np.random.default_rng(size + width)
+    x = np.repeat(rng.normal(size=(size // copies, width)), copies, 0)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) + rng.normal(size=x.shape) * spread
+    rows = pd.DataFrame({"node": np.arange(size), "v": list(x), "copies": 1, "home": True})
+    lists = vectors._graph(rows)
+    got = vectors._found(rows.merge(lists, on="node"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    assert got.sort_values("node")["n_links"].tolist() == (near.sum(1) - 1).tolist()
+
+
 def test_text_labels_and_clashing_columns(spark):
     rows = [(1, [1.0, 0.0], "a", "old", 9), (2, [1.0, 0.01], "a", "old", 9), (3, [1.0, 0.0], "b", "old", 9), (4, [1.0, 0.0], None, "old", 9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, n_links string, component_id long")

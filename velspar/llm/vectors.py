@@ -278,7 +278,8 @@ def united(root: np.ndarray, q: np.ndarray, n: np.ndarray) -> None:
 
 
 def _found(rows):
-    """Per home vector its links and, as stars, what holds the linked vectors together in this shard."""
+    """Per home vector its links and, as stars, what holds the linked vectors together in this shard: what the search finds, then, by a
+    product of a group of queries with the shard, what it left out."""
     import pandas as pd
 
     rows = rows.sort_values("node")
@@ -291,22 +292,27 @@ def _found(rows):
     asked = np.flatnonzero(home)
     audited = asked[np.unique(np.linspace(0, len(asked) - 1, AUDIT).astype(int))] if len(asked) else asked
     there = sum(int((x @ x[i] >= COSINE).sum()) for i in audited)
-    beam = next((b for b in BEAMS if sum(len(q) for q, _ in search(x, lists, audited, medoid, b)) >= there), None)
-
-    def every() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for a in range(0, len(asked), QUERIES):
-            q, n = np.nonzero(x[asked[a : a + QUERIES]] @ x.T >= COSINE - 1e-9)
-            yield asked[a + q], n
-
+    beam = next((b for b in BEAMS if sum(len(q) for q, _ in search(x, lists, audited, medoid, b)) >= there), BEAMS[-1])
     links, root, told = copies - 1, np.arange(len(x)), home.copy()
-    for qs, ns in search(x, lists, asked, medoid, beam) if beam else every():
-        for a in range(0, len(qs), PAIRS):
-            q, n = qs[a : a + PAIRS], ns[a : a + PAIRS]
-            exact = (q != n) & ((x[q] * x[n]).sum(1) >= COSINE)  # verified in doubles
-            q, n = q[exact], n[exact]
-            links = links + np.bincount(q, copies[n], len(x)).astype(np.int64)
-            told[n] = True
-            united(root, q, n)
+    for at in range(0, len(asked), QUERIES):
+        group = asked[at : at + QUERIES]
+        seen = np.zeros((len(group), len(x)), bool)
+
+        def pairs(group=group, seen=seen) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for q, n in search(x, lists, group, medoid, beam):
+                seen[np.searchsorted(group, q), n] = True
+                yield q, n
+            missed, n = np.nonzero((x[group] @ x.T >= COSINE - 1e-9) & ~seen)  # what the search left out, so that no link hangs on its recall
+            yield group[missed], n
+
+        for qs, ns in pairs():
+            for a in range(0, len(qs), PAIRS):
+                q, n = qs[a : a + PAIRS], ns[a : a + PAIRS]
+                exact = (q != n) & ((x[q] * x[n]).sum(1) >= COSINE)  # verified in doubles
+                q, n = q[exact], n[exact]
+                links = links + np.bincount(q, copies[n], len(x)).astype(np.int64)
+                told[n] = True
+                united(root, q, n)
     return pd.DataFrame({"node": ids[told], "n_links": np.where(home, links, 0)[told], "root": ids[root[told]], "home": home[told]})
 
 
