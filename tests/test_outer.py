@@ -117,3 +117,31 @@ def test_change_of_the_mean_is_by_its_own_length(spark):
     assert effects.relative_change(one(3, 4), one(0, 0), one(100, 0)) == pytest.approx(1.0)
     assert effects.relative_change(one(0, 0), one(0, 0), one(0, 0)) == 0.0
     assert effects.converged(0.05, 0.51, 0.5) and not effects.converged(0.0, float("nan"), 0.5)
+
+
+def test_partition_grows_to_the_planted_cuts(spark):
+    planted, starts = [20, 8], []
+
+    def test(ranks, theta):
+        edges = {r["first"] for r in ranks.groupBy("comp").agg(F.min("rank").alias("first")).collect()}
+        open_ = [c for c in planted if c not in edges]
+        return {"cut": open_[0], "p": 0.01} if open_ else {"cut": 5, "p": 0.5}
+
+    def fit(components, start):
+        starts.append(start)
+        return start * 0.5
+
+    ranks = spark.range(30).select(F.col("id").alias("v"), F.col("id").alias("rank"), F.lit(0).alias("comp"))
+    parts, theta, history = outer.grown_partition(ranks, np.array([0.6, 0.4]), test, fit)
+    sizes = {r.comp: (r.a, r.b) for r in parts.groupBy("comp").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).collect()}
+    assert sizes == {0: (0, 7), 1: (8, 19), 2: (20, 29)}
+    assert np.allclose(starts[0], [0.4, 0.2, 0.4]) and np.allclose(starts[1], [0.08, 0.12, 0.1, 0.2]) and len(theta) == 4
+    assert [h["p"] for h in history] == [0.01, 0.01, 0.5]
+    assert len(outer.grown_partition(ranks, np.array([0.6, 0.4]), test, fit, limit=1)[2]) == 2
+
+
+def test_partition_test_refuses_variants_that_do_not_vary(spark, dense):  # noqa: F811
+    geno, st, *_ = dense
+    ranks = st.select("v", F.col("v").alias("rank"), F.lit(0).alias("comp"))
+    with pytest.raises(ValueError, match="don't vary"):
+        outer.tested(geno, st, 4, None, None)(ranks, np.array([0.5, 0.5]))

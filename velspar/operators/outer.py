@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velspar.operators import effects, linops, selection, sparse, spans
+from velspar.operators import effects, ld, linops, score, selection, sparse, spans
 from velspar.operators.score import projector
 from velspar.operators.solvers import Operator, fit_reml
 from velspar.sources.shared import written
@@ -129,3 +129,52 @@ def covariance(hv: Callable, parts: Operator, rest: DataFrame, q: DataFrame, the
     correction = (lambda project: spans.span_information(basis, rank, project, parts)["corrections"]) if rank else None
     got, history = fit_reml(hv, parts, rest, q, rest.select("s"), theta, correction=correction, **fit)
     return effects.accepted(got, history, fit.get("tol", 1e-3))
+
+
+def tested(geno: DataFrame, stats: DataFrame, bins: int, response: DataFrame, q: DataFrame, **test) -> Callable[[DataFrame, np.ndarray], dict]:
+    """A test for grown_partition: the adaptive score test of all cuts between `bins` balanced bins of ranks, at the partition and its theta.
+
+    A variant of the ranks that doesn't vary is an error, since cuts count those that do.
+    """
+    varying = written(stats.where("inv > 0").select("v"), "partition-varying")
+
+    def run(ranks: DataFrame, theta: np.ndarray) -> dict:
+        if not ranks.join(varying, "v", "left_anti").isEmpty():
+            raise ValueError("ranks hold variants that don't vary")
+        own = ld.bins_of(ranks, ranks.count(), bins).select("v", "bin", "comp")
+        genetic = F.broadcast(ranks.sparkSession.createDataFrame([(c, float(t)) for c, t in enumerate(theta[:-1])], "comp int, theta double"))  # a row per component
+        return score.score_test(geno, stats, ranks.select("v", "comp"), own, genetic, float(theta[-1]), response, q, **test)[0]
+
+    return run
+
+
+def refitted(geno: DataFrame, stats: DataFrame, response: DataFrame, q: DataFrame, **fit) -> Callable[[DataFrame, np.ndarray], np.ndarray]:
+    """A fit for grown_partition: REML with the mean's coefficients profiled anew, from the split theta; one that doesn't converge is an error."""
+
+    def run(components: DataFrame, theta: np.ndarray) -> np.ndarray:
+        hv, parts = system(geno, stats, components)
+        got, history = fit_reml(hv, parts, response, q, response.select("s"), theta, **fit)
+        return effects.accepted(got, history, fit.get("tol", 1e-3))
+
+    return run
+
+
+def grown_partition(ranks: DataFrame, theta: np.ndarray, test: Callable[[DataFrame, np.ndarray], dict], fit: Callable[[DataFrame, np.ndarray], np.ndarray], alpha: float = 0.05, limit: int = 16) -> tuple[DataFrame, np.ndarray, list[dict]]:
+    """(ranks, theta, history): a partition of ranks (v, rank, comp) into intervals, cut where the test says so until no cut passes.
+
+    Each turn tests all cuts; one with p <= alpha splits its component, whose children share its variance by their numbers of variants, and the
+    covariance is fitted again from there. It ends with a test above alpha, or after `limit` cuts, which history shows by its last p. comp counts from 0 in the order
+    of ranks; the driver holds a row per component and cut.
+    """
+    history: list[dict] = []
+    while True:
+        found = test(ranks, theta)
+        history.append({"cut": found["cut"], "p": found["p"], "theta": np.asarray(theta).tolist()})
+        if found["p"] > alpha or len(history) > limit:
+            return ranks, theta, history
+        spark = ranks.sparkSession
+        genetic = spark.createDataFrame([(c, float(t)) for c, t in enumerate(theta[:-1])], "comp int, theta double")  # a row per component
+        moved, split = ld.split_component(ranks, genetic, found["cut"])
+        ranks = written(moved.withColumn("comp", F.col("comp").cast("int")), "partition-ranks")
+        start = np.array([*(r.theta for r in split.orderBy("comp").collect()), theta[-1]])  # a row per component
+        theta = fit(written(ranks.select("v", "comp"), "partition-components"), start)
