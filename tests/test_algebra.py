@@ -181,7 +181,7 @@ def test_reml_reaches_a_stationary_point(spark, dense):
         return linops.h(geno, st, one, spark.createDataFrame([(0, float(theta[0]))], "comp int, theta double"), float(theta[1]), t)
 
     parts = lambda t: linops.k_by_component(geno, st, one, t).select("s", "comp", "r", "x")
-    theta, history = solvers.fit_reml(hv, parts, resp, q, resp.select("s"), np.array([0.3, 0.7]), traces=12, rounds=3, quadrature_of=(3, 5))
+    theta, history = solvers.fit_reml(hv, parts, resp, q, resp.select("s"), np.array([0.3, 0.7]), traces=12, rounds=2, quadrature_of=(12, 5), halvings=1)
 
     def loglik(t):
         h = t[0] * k + t[1] * np.eye(N)
