@@ -70,7 +70,9 @@ def dedup_lines(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     gone = later.select("doc_id", "__part", F.explode("at").alias("at")).groupBy("doc_id", "__part").agg(F.collect_set("at").alias("gone"))
     d, g = base.alias("d"), gone.alias("g")
     joined = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & F.col("d.__part").eqNullSafe(F.col("g.__part")), "left")
-    kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda x, i: ~F.array_contains("g.gone", i)), "\n")
+    # the difference of two sets of places is hashed, and the lines are bound once, so a text costs as much as it has lines
+    left = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "g.gone"), lambda i: F.get(ls, i))
+    kept = F.transform(F.array(F.split("d.text", "\n", -1)), lambda ls: F.array_join(left(ls), "\n"))[0]
     return joined.select(
         *[F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(kept).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in base.columns if c != "__part"],
         F.coalesce(F.size("g.gone"), F.lit(0)).cast("long").alias("n_removed"),
