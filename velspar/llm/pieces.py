@@ -30,7 +30,7 @@ _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 TOGETHER = 256
 SCHEMA = "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, decoded_sha256 string"
 
-Best = list[tuple[float, bytes]]  # (score, little-endian 32-bit ids), best first; ties by the ids' bytes
+Best = list[tuple[float, bytes]]  # (score, little-endian 32-bit ids), best first; ties by the ids from the last to the first, smaller ones first
 
 
 def combine(slots: list[Best], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
@@ -46,6 +46,27 @@ def combine(slots: list[Best], n: int) -> list[tuple[float, tuple[tuple[int, int
     return found
 
 
+def chained(ids: tuple | None) -> list[int]:
+    """The ids of a chain (ids, rest of the chain)."""
+    out: list[int] = []
+    while ids is not None:
+        out += ids[0]
+        ids = ids[1]
+    return out
+
+
+def joined(parts: list[Best], n: int) -> Best:
+    """The n best of the parts one after another, from the last part on: of equal scores the order of what follows decides, then the part's own."""
+    best: list[tuple[float, int, tuple | None]] = [(0.0, 0, None)]  # score, order of the ids among these, chain of ids
+    for part in reversed(parts):
+        own = sorted(range(len(part)), key=lambda i: np.frombuffer(part[i][1], "<u4")[::-1].tolist())
+        order = {i: place for place, i in enumerate(own)}
+        grown = sorted((-score - part[i][0], place, order[i], i, ids) for score, place, ids in best for i in order)[:n] if len(part) > 1 else [(-score - part[0][0], place, 0, 0, ids) for score, place, ids in best]
+        places = {x: k for k, x in enumerate(sorted((x[1], x[2]) for x in grown))}
+        best = [(-loss, places[place, of], ((part[i][1],), ids)) for loss, place, of, i, ids in grown]
+    return [(score, b"".join(chained(ids))) for score, _, ids in best]
+
+
 #: Weight of the merge of rank r: (1 + r / EARLY) ** -FALL in units of 1 / UNIT, 1 at least: whole numbers, so that sums over a chunk are exact.
 EARLY, FALL, UNIT = 3.0, 3.0, float(1 << 40)
 
@@ -139,19 +160,33 @@ class Pieces:
                 into[start + 1].append((start, self.unknown, ids))
                 reach[start + 1] = max(reach[start + 1], base + self.unknown)
         out: Best = []
-        heap = [(-reach[size], size, 0.0, ())]  # (-(what Viterbi reaches here + what follows), place, what follows, ids that follow)
+        # (place, what follows, ids that follow as a chain) by what Viterbi reaches there plus what follows; scores are whole numbers, so equal sums are equal
+        open_at: dict[float, list[tuple[int, float, tuple | None]]] = {reach[size]: [(size, 0.0, None)]}
+        heap = [-reach[size]]
         while heap:
-            worth, at, after, ids = heapq.heappop(heap)
-            if len(out) >= self.n and -worth < out[self.n - 1][0]:
-                break
-            if at == 0:
-                out.append((-worth, np.array(ids, "<u4").tobytes()))
-                if len(out) > 4 * self.n:  # ties beyond count
-                    break
-                continue
-            for start, score, own in into[at]:
-                heapq.heappush(heap, (-(reach[start] + score + after), start, score + after, own + ids))
-        return sorted(out, key=lambda x: (-x[0], x[1]))[: self.n]
+            worth = -heapq.heappop(heap)
+            # nothing joins this class from a better one any more; its least member's children of the same worth come before all others
+            stack = sorted(open_at.pop(worth), key=lambda x: chained(x[2])[::-1], reverse=True)
+            while stack:
+                at, after, ids = stack.pop()
+                if at == 0:
+                    out.append((worth, np.array(chained(ids), "<u4").tobytes()))
+                    if len(out) == self.n:
+                        return out
+                    continue
+                same = []
+                for start, score, own in into[at]:
+                    reached = reach[start] + score + after
+                    item = (start, score + after, (own, ids))
+                    if reached == worth:
+                        same.append(item)
+                    elif reached in open_at:
+                        open_at[reached].append(item)
+                    else:
+                        open_at[reached] = [item]
+                        heapq.heappush(heap, -reached)
+                stack += sorted(same, key=lambda x: x[2][0][::-1], reverse=True)
+        return out
 
     def n_best(self, chunk: str) -> Best:
         """The n best of a chunk, by A*; long ones are cut where no piece reaches over, and their parts' n best combined."""
@@ -159,11 +194,7 @@ class Pieces:
         if got is None:
             cuts = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.together), len(chunk)] if len(chunk) > WIDE else [0, len(chunk)]
             parts = [self.search(chunk[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            total, got = sum(p[0][0] for p in parts), []
-            for loss, chosen in combine(parts, self.n):
-                pick = dict(chosen)
-                got.append((total - loss, b"".join(p[pick.get(i, 0)][1] for i, p in enumerate(parts))))
-            got.sort(key=lambda x: (-x[0], x[1]))
+            got = joined(parts, self.n)
             if len(self.searched) >= REMEMBERED:
                 self.searched.clear()
             self.searched[chunk] = got
@@ -280,7 +311,7 @@ class Pieces:
         return out
 
     def encode(self, texts: list[str | None]) -> list[Best]:
-        """The n best segmentations of each text; ties by the ids' bytes within a chunk, else by the place of the chunk that changes."""
+        """The n best segmentations of each text; ties by the ids from the last on within a chunk, else by the place of the chunk that changes."""
         cut = [self.slots(t) if t else [] for t in texts]
         known = self.known
         new = [c for c in set(chain.from_iterable(cut)) if c not in known]
@@ -325,7 +356,7 @@ def _held(path: str, n: int) -> Pieces:
 def encode(documents: DataFrame, path: str, n: int = 3, ids: bool = False) -> DataFrame:
     """Per document and rank (from 1, at most n): doc_id, score, n_pieces, ids_crc32, decoded_sha256 and, with ids=True, the ids.
 
-    Whole texts are segmented; ties of scores go by the ids' little-endian bytes. decoded_sha256 is that of the text that
+    Whole texts are segmented; ties of scores within a chunk go by its ids from the last to the first, smaller ones first, those between chunks by the place of the chunk that changes. decoded_sha256 is that of the text that
     the ids give back. Null and empty texts have one segmentation of no pieces; texts with fewer than n
     segmentations have fewer rows; a null doc_id stays null; repeated rows give repeated results; an empty table gives
     none; other columns are ignored. Each row is worked on where it is read; nothing is shuffled.
