@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -62,6 +63,18 @@ def test_pieces_against_all_segmentations():
         assert all(held.decode(b) == text for _, b in got)
 
 
+def test_pieces_with_many_tied_paths():
+    """More equal paths than n, against all paths of short strings; a long chunk is cut and joined in the same order."""
+    held = pieces.Pieces(f"{TOKENIZERS}/piece_bpe_32k.model", 3)
+    r = random.Random(5)
+    for text in ["sttttttttttt", "nnnnnnnnnnin", "aaaaaaaaaaaa", "=-=-=-=-=", "ttttt梦tttt"] + ["".join(r.choices("stn", k=9)) for _ in range(30)]:
+        ids = lambda x: np.frombuffer(x, "<u4").tolist()
+        want = sorted(((-s, ids(b)[::-1]) for s, b in every_segmentation(held, text)))[:3]
+        assert [(-s, ids(b)[::-1]) for s, b in held.search(text)] == want
+    long = "sttttttttttt" * 2 + "<>" * 9 + "nnnnnnnnnnin" + "~" * 30
+    assert held.n_best(long) == held.search(long)
+
+
 def test_best_pieces_agree_with_the_models_own():
     """Merge scores: the best path of all words of two tables against the model's own encoding."""
     import pandas as pd
@@ -354,6 +367,16 @@ def test_line_dedup(spark, window, few, monkeypatch):
 # 7 --------------------------------------------------------------------------------------------------------------
 
 
+def test_line_dedup_of_long_texts_of_repeated_lines(spark):
+    n = 60_000
+    lines_of = [f"line {i % 7000}" for i in range(n)]
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in lines.dedup_lines(docs(spark, [(1, "\n".join(lines_of)), (2, "\n".join(lines_of))])).collect()}
+    assert time.perf_counter() - start < 60
+    assert got[1].text == "\n".join(lines_of[:7000]) and got[1].n_removed == n - 7000
+    assert got[2].text == "" and got[2].n_removed == n
+
+
 def test_toxicity_on_held_out_and_misspelt_words(spark):
     r = random.Random(7)
     bad = ["grobnak", "zulfist"]
@@ -384,16 +407,26 @@ def test_toxicity_on_held_out_and_misspelt_words(spark):
         said = {}
         for x in set(w):
             grams, _ = toxicity.word_grams([x])
-            said[x] = float(model.weights[grams].mean())
-        cuts = [w] if len(w) <= toxicity.SEGMENT else [w[a : a + toxicity.SEGMENT] for a in range(len(w) - toxicity.SEGMENT + 1)]
-        worst = max((sum(said[x] for x in set(c)) / len(c) for c in cuts if c), default=0.0)
-        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-np.clip(worst + model.bias, -40, 40))))
+            said[x] = model.weights[:, grams].mean(1)
+        logits = []
+        for k, size in enumerate(toxicity.SEGMENTS):
+            cuts = [w] if len(w) <= size else [w[a : a + size] for a in range(len(w) - size + 1)]
+            logits.append(max((sum(said[x][k] for x in set(c)) / len(c) for c in cuts if c), default=0.0) + model.bias[k])
+        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-np.clip(np.mean(logits), -40, 40))))
     # a phrase scores alike wherever it begins, and blocks of segments give what all at once do
     phrase = "grobnak grobnaka zulfist zulfisten"
     worst = {model.score(f"{'lo ' * k}{phrase}{' lo' * 8}") for k in range(8, 16)}
     assert len(worst) == 1
     places, numbers = np.arange(300) % 11, np.linspace(-1, 1, 11)
-    assert np.array_equal(toxicity.segment_means(places, numbers), toxicity.segment_means(places, numbers, block=7)) and len(toxicity.segments(300)) == 293
+    assert np.array_equal(toxicity.segment_means(places, numbers, 8), toxicity.segment_means(places, numbers, 8, block=7)) and len(toxicity.segments(300, 8)) == 293
+    whole = toxicity.parts
+    for t in [rows[0][1], "lo grobnak", "lo  lo zulfist grobnak lo"]:  # cuts of a long text change nothing
+        try:
+            toxicity.parts = lambda text: whole(text, 3)
+            cut = model.score(t)
+        finally:
+            toxicity.parts = whole
+        assert cut == model.score(t)
     nothing = toxicity.fit(d, labels.limit(0))
     assert 0 <= nothing.score("anything") <= 1 and toxicity.score(d.limit(0), nothing).count() == 0
 

@@ -1,8 +1,8 @@
 """Toxicity: words are bags of hashed character n-grams with embeddings, averaged, under a linear softmax; all trained jointly in numpy.
 
-A text is read in short segments, one from each word on; a segment's vector is the mean of its words' vectors, a word's the mean of its
-n-grams' vectors, and a text's score is that of its most toxic segment: a few insults in a long text count as in a
-short one. Since the softmax is linear, a trained word is one number, so scoring a text is a lookup for each word.
+A text is read in segments of one and of three words, one of each length from each word on, each length with embeddings and a softmax of its own; a segment's vector is
+the mean of its words' vectors, a word's the mean of its n-grams' vectors. A text's logit is the mean over the lengths of that of its most toxic segment: a few
+insults in a long text count as in a short one, whatever stands beside them. Since the softmax is linear, a trained word is one number a length, so scoring a text is a lookup for each word.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 #: The classifier is fitted on at most so many toxic and clean labelled rows, those with the smallest hash of doc_id.
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
-BUCKETS, DIM, SEGMENT = 1 << 17, 8, 8
+BUCKETS, DIM = 1 << 17, 8
+#: Lengths of segments in words, chosen by cross-validation within the training rows of sf0.1.
+SEGMENTS = (1, 3)
 GRAMS = (3, 4, 5)
 #: Words whose numbers a Python worker remembers.
 REMEMBERED = 300_000
@@ -32,7 +34,7 @@ def split_words(text: str | None) -> list[str]:
 
 
 def parts(text: str, size: int = 500_000) -> Iterator[str]:
-    """A long text in parts, cut at white space, so that the words of one part fit in memory; a segment doesn't reach over such a cut."""
+    """A long text in parts, cut at white space, so that the words of one part fit in memory."""
     at = 0
     while at < len(text):
         gap = _GAP.search(text, at + size)
@@ -69,12 +71,12 @@ def word_grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """One number per bucket and a bias: embeddings times the difference of the softmax's two columns."""
+    """For each length of segments one number per bucket and a bias: embeddings times the difference of the softmax's two columns."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: np.ndarray, bias: np.ndarray):
+        self.weights, self.bias = weights, bias  # (lengths, BUCKETS) and (lengths,)
         self.known: dict[str, int] = {}  # word: its place in scores
-        self.scores = np.zeros(REMEMBERED)
+        self.scores = np.zeros((len(weights), REMEMBERED))
 
     def places(self, text_words: list[str]) -> np.ndarray:
         """The places of a text's words in self.scores."""
@@ -83,38 +85,46 @@ class Model:
         if len(known) + len(fresh) > REMEMBERED:
             known.clear()
             fresh = list(set(text_words))
-            if len(fresh) > len(self.scores):
-                self.scores = np.zeros(len(fresh))
+            if len(fresh) > self.scores.shape[1]:
+                self.scores = np.zeros((len(self.weights), len(fresh)))
         for at in range(0, len(fresh), 50_000):
             part = fresh[at : at + 50_000]
             grams, limits = word_grams(part)
             first = len(known)
-            self.scores[first : first + len(part)] = np.add.reduceat(self.weights[grams], limits[:-1]) / np.diff(limits)
+            self.scores[:, first : first + len(part)] = np.add.reduceat(self.weights[:, grams], limits[:-1], axis=1) / np.diff(limits)
             known.update(zip(part, range(first, first + len(part)), strict=True))
         return np.fromiter(map(known.__getitem__, text_words), np.int64, len(text_words))
 
     def score(self, text: str | None) -> float:
-        """The softmax of the worst segment; a text without words has the bias alone."""
-        worst = None
+        """The softmax of the mean, over the lengths of segments, of the worst one; a text without words has the bias alone."""
+        widest, worst, held = max(SEGMENTS), np.full(len(self.weights), -np.inf), []
         for part in parts(text or ""):
-            found = split_words(part)
-            if found:
-                top = float(segment_means(self.places(found), self.scores).max())
-                worst = top if worst is None else max(worst, top)
-        worst = worst or 0.0
-        return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -40, 40))))
+            held += split_words(part)
+            if len(held) >= widest:
+                worst = np.maximum(worst, self._worst(held))
+                held = held[len(held) - widest + 1 :]  # the next part's first segments begin here
+        if held and worst[0] == -np.inf:  # fewer words than the longest segment
+            worst = self._worst(held)
+        logit = float(((worst if worst[0] > -np.inf else 0.0) + self.bias).mean())
+        return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
+    def _worst(self, text_words: list[str]) -> np.ndarray:
+        places = self.places(text_words)
+        return np.array([segment_means(places, own, size).max() for own, size in zip(self.scores, SEGMENTS, strict=True)])
 
-def segments(n: int) -> np.ndarray:
-    """Where the segments of n words start: at each word that SEGMENT words follow from, so that a phrase scores alike wherever it begins; a shorter text is one segment."""
-    return np.arange(max(n - SEGMENT, 0) + 1)
 
+def segments(n: int, size: int) -> np.ndarray:
+    """Where the segments of n words start: at each word that `size` words follow from, so that a phrase scores alike wherever it begins; a shorter text is one segment."""
+    return np.arange(max(n - size, 0) + 1)
 
-def segment_means(places: np.ndarray, scores: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+
+def segment_means(places: np.ndarray, scores: np.ndarray, size: int, block: int = 1 << 16) -> np.ndarray:
     """The sum of scores over the distinct words of each segment, divided by its length: a word that repeats itself doesn't outweigh the rest. So many segments are held at a time."""
-    starts, means = segments(len(places)), []
+    if size == 1:
+        return scores[places]
+    starts, means = segments(len(places), size), []
     for at in range(0, len(starts), block):
-        rows = np.sort(places[starts[at : at + block, None] + np.arange(min(SEGMENT, len(places)))], 1)
+        rows = np.sort(places[starts[at : at + block, None] + np.arange(min(size, len(places)))], 1)
         own = scores[rows]
         own[:, 1:][rows[:, 1:] == rows[:, :-1]] = 0
         means.append(own.sum(1) / rows.shape[1])
@@ -124,15 +134,14 @@ def segment_means(places: np.ndarray, scores: np.ndarray, block: int = 1 << 16)
 def train(rows: Iterable[tuple[int, str | None, int]], seed: int = 7, rounds: int = 6) -> Model:
     """A model of rows (doc_id, text, label), which are read once and held as numbers of words.
 
-    Fits embeddings and softmax together (AdaGrad). In each round a toxic text teaches by the segment that scores worst so far, a clean one by its worst and by others drawn at random.
+    Fits embeddings and softmax of a length together (AdaGrad). In each round a toxic text teaches by the segment that scores worst so far, a clean one by its worst and by others drawn at random.
     """
-    rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     numbered = sorted(((i, int(y > 0), np.array([vocabulary.setdefault(x, len(vocabulary)) for x in split_words(t)], np.int32)) for i, t, y in rows), key=lambda r: (r[0], len(r[2])))
     share = sum(y for _, y, _ in numbered) / len(numbered) if numbered else 0.0
     docs, toxic = [d for _, _, d in numbered if len(d)], np.array([y for _, y, d in numbered if len(d)], np.int64)
     if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return Model(np.zeros((len(SEGMENTS), BUCKETS)), np.full(len(SEGMENTS), np.log((share + 1e-3) / (1 - share + 1e-3))))
     names, parts, limits = list(vocabulary), [], [np.zeros(1, np.int64)]
     del vocabulary, numbered
     for at in range(0, len(names), 10_000):  # a few words at a time: this runs on the driver
@@ -140,8 +149,14 @@ def train(rows: Iterable[tuple[int, str | None, int]], seed: int = 7, rounds: in
         parts.append(own.astype(np.int32))
         limits.append(ends[1:] + limits[-1][-1])
     grams, limits = np.concatenate(parts), np.concatenate(limits)
-    sizes = np.diff(limits)
     del names, parts
+    fitted = [_fitted(docs, toxic, grams, limits, size, np.random.default_rng(seed), rounds) for size in SEGMENTS]
+    return Model(np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]))
+
+
+def _fitted(docs: list[np.ndarray], toxic: np.ndarray, grams: np.ndarray, limits: np.ndarray, size: int, rng: np.random.Generator, rounds: int) -> tuple[np.ndarray, float]:
+    """(a number per bucket, bias) for segments of `size` words; docs hold numbers of words, a word's buckets are grams between its limits."""
+    sizes = np.diff(limits)
     E = rng.normal(0, 0.1, (BUCKETS, DIM))
     U, b = np.zeros((DIM, 2)), np.zeros(2)
     U[:, 1] = rng.normal(0, 0.1, DIM)
@@ -186,10 +201,9 @@ def train(rows: Iterable[tuple[int, str | None, int]], seed: int = 7, rounds: in
             if turn == 0:  # words of the whole text first: their means say which words go with the label
                 some = [doc if len(doc) <= 200 else rng.choice(doc, 200, replace=False)]
             else:
-                starts = segments(len(doc))
-                worst = int(np.argmax(segment_means(doc, now)))
-                chosen = {worst} if label else {worst, *rng.integers(0, len(starts), 2).tolist()}
-                some = [doc[starts[i] : starts[i] + SEGMENT] for i in sorted(chosen)]
+                worst = int(np.argmax(segment_means(doc, now, size)))
+                chosen = {worst} if label else {worst, *rng.integers(0, len(segments(len(doc), size)), 2).tolist()}
+                some = [doc[i : i + size] for i in sorted(chosen)]
             bags += [np.unique(x) for x in some]
             length += map(len, some)
             y += [label] * len(some)
@@ -199,7 +213,7 @@ def train(rows: Iterable[tuple[int, str | None, int]], seed: int = 7, rounds: in
             for at in range(0, len(order), 256):
                 chosen = order[at : at + 256]
                 step([bags[i] for i in chosen], length[chosen], y[chosen], 0.3)
-    return Model(E @ (U[:, 1] - U[:, 0]), float(b[1] - b[0]))
+    return E @ (U[:, 1] - U[:, 0]), float(b[1] - b[0])
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, toxic: int = MAX_TOXIC, clean: int = MAX_CLEAN) -> DataFrame:
@@ -222,7 +236,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     Only text decides. Null and empty texts get the score of no words; every row gives one row; whole texts count.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # one number for each of BUCKETS
+    shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # a number for each of BUCKETS and each length
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
