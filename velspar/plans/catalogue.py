@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from velspar.operators import align, gwas, ld, linops, score, selection, solvers, sparse, stats, tiles
 from velspar.operators import effects as after
 from velspar.plans.proxy import covar, effects, geno, pheno, sql, table, variants
-from velspar.sources.shared import written
+from velspar.sources import artifacts
+from velspar.sources.shared import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -345,6 +347,16 @@ def ld_rank_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ld.bins_of(ld.ranked(p), p.count(), 7)
 
 
+@query("SELECT v, rank, CAST((SELECT count(*) FROM cut WHERE c <= rank) AS INTEGER) AS bin FROM pts", _RANK)
+def rank_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks and cuts of ld_rank_bins, kept with a digest of the scores that they were made from and read back."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"), F.col("p_retailprice").alias("ld_score"))
+    at, source = f"{shared_dir(spark)}/ranks-{uuid.uuid4().hex}", artifacts.digest(p)
+    artifacts.save_ranks(ld.ranked(p), at, 7, source)
+    ranks, cuts = artifacts.load_ranks(spark, at, source)
+    return ranks.select("v", "rank", sum((F.when(F.col("rank") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).alias("bin"))
+
+
 @query("SELECT CAST(v % 3 AS INTEGER) AS comp, min(rank) AS first, max(rank) AS last, count(*) AS n, CAST(sum(CASE WHEN before IS NOT DISTINCT FROM rank - 1 THEN 0 ELSE 1 END) AS BIGINT) AS islands FROM (SELECT *, lag(rank) OVER (PARTITION BY v % 3 ORDER BY rank) AS before FROM pts) GROUP BY 1", _RANK)
 def interval_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"), F.col("p_retailprice").alias("ld_score"))

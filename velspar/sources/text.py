@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,6 +125,18 @@ def read_pvar(spark: SparkSession, path: str) -> DataFrame:
     return _ordered(rows.where("not startswith(f[0], '#')").select(*cols, "row"), "variant_idx").select("variant_idx", *VARIANT)
 
 
+def read_variants(spark: SparkSession, source: str) -> DataFrame:
+    """The variants of a genotype source, a path with or without its ending: of the .bim file beside it, else of the .pvar file; an error if there is neither."""
+    prefix = re.sub(r"\.(bed|pgen|bim|pvar)$", "", source)
+    for end, read in ((".bim", read_bim), (".pvar", read_pvar)):
+        try:
+            spark.read.text(prefix + end)
+        except AnalysisException:
+            continue
+        return read(spark, prefix + end)
+    raise ValueError(f"no .bim or .pvar file beside {source}")
+
+
 def read_ld_scores(spark: SparkSession, path: str, variants: DataFrame) -> DataFrame:
     """(variant_idx, ld_score) of a tab-separated file with ID and ld_score, in the variants' order; ids must agree and scores be finite and not negative."""
     got = spark.read.csv(path, sep="\t", header=True).select(F.col("ID").alias("variant_id"), F.col("ld_score").try_cast("double").alias("ld_score"))
