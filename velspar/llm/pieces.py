@@ -16,6 +16,7 @@ import gc
 import hashlib
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -119,7 +120,7 @@ class Pieces:
         self.prefixes = {p[:i] for p in self.vocabulary for i in range(1, len(p))}
         self.searched: dict[str, Best] = {}
         self.known: dict[str, int] = {}  # chunk: its place in the lists of best score, its ids, loss of the second best
-        self.best_score, self.best_ids, self.best_loss = [], [], []
+        self.best_score, self.best_ids, self.best_loss, self.best_size = array("d"), [], array("d"), array("q")
         hashes = np.zeros(len(self.vocabulary), np.uint64)
         for i, p in enumerate(self.vocabulary):
             h = 0
@@ -166,7 +167,9 @@ class Pieces:
         while heap:
             worth = -heapq.heappop(heap)
             # nothing joins this class from a better one any more; its least member's children of the same worth come before all others
-            stack = sorted(open_at.pop(worth), key=lambda x: chained(x[2])[::-1], reverse=True)
+            stack = open_at.pop(worth)
+            if len(stack) > 1:
+                stack.sort(key=lambda x: chained(x[2])[::-1], reverse=True)
             while stack:
                 at, after, ids = stack.pop()
                 if at == 0:
@@ -185,7 +188,9 @@ class Pieces:
                     else:
                         open_at[reached] = [item]
                         heapq.heappush(heap, -reached)
-                stack += sorted(same, key=lambda x: x[2][0][::-1], reverse=True)
+                if len(same) > 1:
+                    same.sort(key=lambda x: x[2][0][::-1], reverse=True)
+                stack += same
         return out
 
     def n_best(self, chunk: str) -> Best:
@@ -202,10 +207,10 @@ class Pieces:
 
     def _remember(self, chunk: str, score: float, ids: bytes, loss: float) -> None:
         self.known[chunk] = len(self.best_ids)
-        self.best_score.append(score), self.best_ids.append(ids), self.best_loss.append(loss)
+        self.best_score.append(score), self.best_ids.append(ids), self.best_loss.append(loss), self.best_size.append(len(ids))
 
     def _forget(self) -> None:
-        self.known.clear(), self.best_score.clear(), self.best_ids.clear(), self.best_loss.clear()
+        self.known, self.best_score, self.best_ids, self.best_loss, self.best_size = {}, array("d"), [], array("d"), array("q")
 
     def _learn(self, chunks: list[str]) -> None:
         """Remembers (best score, its ids, loss of the second best) of new chunks."""
@@ -214,8 +219,8 @@ class Pieces:
             by_length.setdefault(len(c) if len(c) <= WIDE else 0, []).append(c)
         slow = by_length.pop(0, [])
         for length, same in by_length.items():
-            for at in range(0, len(same), 4096):
-                slow += self._viterbi(same[at : at + 4096], length)
+            for at in range(0, len(same), 1024):  # arrays of this size stay in the processor's cache
+                slow += self._viterbi(same[at : at + 1024], length)
         for c in slow:
             best = self.n_best(c)
             self._remember(c, best[0][0], best[0][1], best[0][0] - best[1][0] if len(best) > 1 else np.inf)
@@ -228,65 +233,71 @@ class Pieces:
         code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).reshape(len(chunks), length).astype(np.uint64)
         reach = np.full((len(chunks), length + 1), -np.inf)
         reach[:, 0] = 0
-        score, ids, some, h = [], [], [], np.zeros((len(chunks), length + 1), np.uint64)
+        arcs, h = {}, np.zeros((len(chunks), length + 1), np.uint64)  # length of a piece: (scores, ids) by chunk and start, for lengths that occur
         for n in range(1, min(length, self.longest) + 1):
             h = h[:, : length - n + 1] * _STEP + code[:, n - 1 :]
-            place, any_found = self._places(h)
-            some.append(any_found)
-            ids.append(self.sorted_ids[place])
-            score.append(self.sorted_scores[place])
+            found = self._found(h)
+            if found is not None:
+                arcs[n] = found
+        if 1 not in arcs:
+            return chunks
         for end in range(1, length + 1):
-            for n in range(1, min(end, len(score)) + 1):
-                if some[n - 1]:
-                    np.maximum(reach[:, end], reach[:, end - n] + score[n - 1][:, end - n], out=reach[:, end])
+            for n, (score, _) in arcs.items():
+                if n <= end:
+                    np.maximum(reach[:, end], reach[:, end - n] + score[:, end - n], out=reach[:, end])
         after = np.full((len(chunks), length + 1), -np.inf)
         after[:, length] = 0
         for start in range(length - 1, -1, -1):
-            for n in range(1, min(length - start, len(score)) + 1):
-                if some[n - 1]:
-                    np.maximum(after[:, start], score[n - 1][:, start] + after[:, start + n], out=after[:, start])
+            for n, (score, _) in arcs.items():
+                if n <= length - start:
+                    np.maximum(after[:, start], score[:, start] + after[:, start + n], out=after[:, start])
         best = reach[:, length]
         rows, at = np.arange(len(chunks)), np.full(len(chunks), length)
         found, count = np.zeros((len(chunks), length), "<u4"), np.zeros(len(chunks), np.int64)
-        through = [reach[:, : length - n + 1] + score[n - 1] + after[:, n:] for n in range(1, len(score) + 1)]
-        whole = (score[0] > -np.inf).all(1)
+        through = {n: reach[:, : length - n + 1] + score + after[:, n:] for n, (score, _) in arcs.items()}
+        whole = (arcs[1][0] > -np.inf).all(1)
         live = rows[whole]
         while len(live):
             rest = live
-            for size in range(1, len(score) + 1):  # the arc that reaches this place with its best score
-                if not some[size - 1] or not len(rest):
-                    continue
+            for size, (score, ids) in arcs.items():  # the arc that reaches this place with its best score
+                if not len(rest):
+                    break
                 start = at[rest] - size
                 fits = start >= 0
-                fits[fits] = reach[rest[fits], start[fits]] + score[size - 1][rest[fits], start[fits]] == reach[rest[fits], at[rest[fits]]]
+                fits[fits] = reach[rest[fits], start[fits]] + score[rest[fits], start[fits]] == reach[rest[fits], at[rest[fits]]]
                 r, s = rest[fits], start[fits]
-                found[r, length - 1 - count[r]] = ids[size - 1][r, s]
-                through[size - 1][r, s] = -np.inf
+                found[r, length - 1 - count[r]] = ids[r, s]
+                through[size][r, s] = -np.inf
                 rest = rest[~fits]
                 at[r] = -1 - s
             count[live] += 1
             at[live] = -1 - at[live]
             assert not len(rest)
             live = live[at[live] > 0]
-        second = np.max([t.max(1) for t, there in zip(through, some, strict=True) if there] or [np.full(len(chunks), -np.inf)], 0)
+        second = np.max([t.max(1) for t in through.values()], 0)
         with np.errstate(invalid="ignore"):
             loss = best - second
         good = whole & (loss > 0)
-        raw = found.tobytes()
-        for i, (s, n, x) in enumerate(zip(best.tolist(), count.tolist(), loss.tolist(), strict=True)):
-            if good[i]:
-                self._remember(chunks[i], s, raw[4 * (length * (i + 1) - n) : 4 * length * (i + 1)], x)
+        kept, raw = np.flatnonzero(good), found.tobytes()
+        self.known.update(zip([chunks[i] for i in kept.tolist()], range(len(self.best_ids), len(self.best_ids) + len(kept)), strict=True))
+        ends = (4 * length * (kept + 1)).tolist()
+        sizes = 4 * count[kept]
+        self.best_ids += [raw[end - size : end] for end, size in zip(ends, sizes.tolist(), strict=True)]
+        self.best_score.frombytes(best[kept].tobytes()), self.best_loss.frombytes(loss[kept].tobytes()), self.best_size.frombytes(sizes.tobytes())
         return [chunks[i] for i in np.flatnonzero(~good).tolist()]
 
-    def _places(self, h: np.ndarray) -> tuple[np.ndarray, bool]:
-        """Where each hash stands among the sorted hashes of the pieces, the last place if it doesn't; whether any does."""
-        out = np.full(h.shape, len(self.sorted_hashes))
-        maybe = self.filter[(h * _SPREAD) >> np.uint64(46)]
-        some = h[maybe]
+    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The scores (minus infinity where there is no piece) and ids of the pieces of these hashes; None if none is a piece's."""
+        maybe = np.flatnonzero(self.filter[(h * _SPREAD) >> np.uint64(46)])
+        some = h.ravel()[maybe]
         place = np.minimum(np.searchsorted(self.sorted_hashes, some), len(self.sorted_hashes) - 1)
         same = self.sorted_hashes[place] == some
-        out[maybe] = np.where(same, place, len(self.sorted_hashes))
-        return out, bool(same.any())
+        if not same.any():
+            return None
+        at, place = maybe[same], place[same]
+        score, ids = np.full(h.shape, -np.inf), np.zeros(h.shape, "<u4")
+        score.ravel()[at], ids.ravel()[at] = self.sorted_scores[place], self.sorted_ids[place]
+        return score, ids
 
     def slots(self, text: str) -> list[str]:
         """The chunks of a text: line feeds, which no longer piece holds, and runs of blanks with what follows them; as the model's files do it, one blank goes before the text and blanks are written as a mark."""
@@ -313,25 +324,30 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[Best]:
         """The n best segmentations of each text; ties by the ids from the last on within a chunk, else by the place of the chunk that changes."""
         cut = [self.slots(t) if t else [] for t in texts]
-        known = self.known
-        new = [c for c in set(chain.from_iterable(cut)) if c not in known]
-        if len(known) + len(new) > REMEMBERED:
+        new = [c for c in set(chain.from_iterable(cut)) if c not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
             self._forget()
             new = list(set(chain.from_iterable(cut)))
         self._learn(new)
+        known = self.known
         scores, all_losses, ids_of = np.array(self.best_score), np.array(self.best_loss), self.best_ids
+        sizes = np.array(self.best_size)  # bytes of the ids
         out = []
         for slots in cut:
             at = list(map(known.__getitem__, slots))
-            total, losses, firsts = float(scores[at].sum()) if at else 0.0, all_losses[at] if at else np.zeros(0), [ids_of[i] for i in at]
+            total, losses = (float(scores[at].sum()), all_losses[at]) if at else (0.0, np.zeros(0))
+            first = b"".join([ids_of[i] for i in at])
             few = range(len(slots)) if len(slots) < self.n else np.sort(np.argsort(losses, kind="stable")[: self.n - 1]).tolist()
             few = [i for i in few if losses[i] < np.inf]
+            ends = np.cumsum(sizes[at]).tolist() if few else []
             mine: Best = []
             for loss, chosen in combine([self.n_best(slots[i]) for i in few], self.n):
-                own = list(firsts) if chosen else firsts
-                for i, e in chosen:
-                    own[few[i]] = self.n_best(slots[few[i]])[e][1]
-                mine.append((total - loss, b"".join(own)))
+                parts, done = [], 0
+                for i, e in sorted(chosen):
+                    begin = ends[few[i] - 1] if few[i] else 0
+                    parts += [first[done:begin], self.n_best(slots[few[i]])[e][1]]
+                    done = ends[few[i]]
+                mine.append((total - loss, b"".join([*parts, first[done:]]) if chosen else first))
             out.append(mine)
         return out
 
