@@ -108,7 +108,7 @@ def alternating(
         fitted = linops.z(geno, stats, betas.withColumn("r", F.lit(0).cast("long"))).select("s", "r", F.col("x").alias("g"))
         both = written(y.join(fitted, ["s", "r"], "left").select("s", "r", "x", F.coalesce("g", F.lit(0.0)).alias("g")), "outer-fitted")
         mean, rest = both.select("s", "r", F.col("g").alias("x")), both.select("s", "r", (F.col("x") - F.col("g")).alias("x"))
-        basis, rank = spans.span(written(sparse.columns(geno, stats, betas.select("v")), "outer-columns"), n)
+        basis, rank = spans.span(written(sparse.columns(geno, stats, betas.select("v"), y), "outer-columns"), n)
         theta = np.asarray(fit(rest.select("s", F.col("x").alias("y")), theta, basis, rank), float)
         trace = spans.span_information(basis, rank, weighted(theta))["trace"]
         part = effects.sparse_variance(mean, rest, trace, n)

@@ -17,9 +17,16 @@ from velspar.sources.shared import written
 Weight = Callable[[DataFrame], DataFrame]
 
 
-def columns(geno: DataFrame, stats: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(s, r, x): the standardised columns of a bounded set of variants (v), r the variant."""
-    return standardised(geno.join(chosen, "v", "left_semi"), stats).select("s", F.col("v").alias("r"), F.col("z").alias("x"))
+def columns(geno: DataFrame, stats: DataFrame, chosen: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """(s, r, x): the standardised columns of a bounded set of variants (v), r the variant.
+
+    With samples (s) a column has a row for each of them and no other, 0 where the call is missing, as solvers need it: to them a sample without a row is outside the system.
+    """
+    got = standardised(geno.join(chosen, "v", "left_semi"), stats).select("s", F.col("v").alias("r"), F.col("z").alias("x"))
+    if samples is None:
+        return got
+    every = samples.select("s").crossJoin(F.broadcast(chosen.select(F.col("v").alias("r"))))  # the bounded set
+    return every.join(got, ["s", "r"], "left").select("s", "r", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
 def scores(geno: DataFrame, stats: DataFrame, response: DataFrame, betas: DataFrame, weight: Weight) -> DataFrame:
@@ -46,7 +53,7 @@ def certified_path(geno: DataFrame, stats: DataFrame, response: DataFrame, lams:
         new = [v for v in held if (v, v) not in known]
         if new:
             chosen = F.broadcast(spark.createDataFrame([(v,) for v in new], "v long"))  # the candidates, a bounded set
-            got = linops.zt(geno, stats, weight(columns(geno, stats, chosen))).where(F.col("v").isin(held))
+            got = linops.zt(geno, stats, weight(columns(geno, stats, chosen, response))).where(F.col("v").isin(held))
             for r in got.collect():
                 known[r.v, r.r] = known[r.r, r.v] = r.b
         gram = np.array([[known.get((a, b), 0.0) for b in held] for a in held])

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velspar.operators import align, gwas, ld, linops, score, selection, solvers, sparse, stats, tiles
+from velspar.operators import align, branches, gwas, ld, linops, score, selection, solvers, sparse, stats, tiles
+from velspar.operators import blocks as kernels
 from velspar.operators import effects as after
 from velspar.plans.proxy import covar, effects, geno, pheno, sql, table, variants
 from velspar.sources import artifacts
@@ -278,6 +279,48 @@ def block_weighted_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linops.k_blocks(*made(spark, sf_dir), blocks(spark, sf_dir), 40.0, vector(spark, sf_dir)), "x", digits=4).select("s", "x")
 
 
+_SETS = """sets AS (SELECT k, a.v // width AS block, a.v AS i, b.v AS j, CASE WHEN a.v = b.v THEN 1.0 ELSE off END::DOUBLE AS w
+  FROM variants a CROSS JOIN (VALUES (0, 4, 0.25), (1, 10, 0.1)) t(k, width, off) JOIN variants b ON a.v // width = b.v // width),
+forms AS (SELECT a.s, k, sum(w * a.z * b.z) AS d FROM sets JOIN zed a ON a.v = i JOIN zed b ON b.v = j AND b.s = a.s GROUP BY a.s, k),
+scales AS (SELECT k, sum(d) / (SELECT count(*) FROM pheno) AS c FROM forms GROUP BY k)"""
+
+
+def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of two kernels: blocks of 4 variants and of 10."""
+    v = variants(spark, sf_dir).select("v")
+    out = None
+    for k, width, off in ((0, 4, 0.25), (1, 10, 0.1)):
+        own = v.select("v", F.floor(F.col("v") / width).alias("block"))
+        w = F.when(F.col("i") == F.col("j"), 1.0).otherwise(off).alias("w")
+        both = own.select(F.col("v").alias("i"), "block").join(own.select(F.col("v").alias("j"), "block"), "block").select(F.lit(k).alias("kernel"), "block", "i", "j", w)
+        out = both if out is None else out.unionByName(both)
+    return kernels.checked(written(out, "block-sets"))
+
+
+@query("SELECT k, s, round(sum(z * wb) / max(c), 4) + 0.0 AS x FROM zed JOIN (SELECT k, i AS v, sum(w * b) AS wb FROM sets JOIN zty ON j = v GROUP BY k, i) USING (v) JOIN scales USING (k) GROUP BY k, s", f"{_ZTY}, {_SETS}")
+def multi_block_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, s, x): two block-weighted kernels by y, each scaled to a mean diagonal of 1."""
+    g, st, _ = _system(spark, sf_dir)
+    w = sets(spark, sf_dir)
+    scales = kernels.trace_scales(g, st, w, pheno(spark, sf_dir).count())
+    return rounded(kernels.products(g, st, w, scales, vector(spark, sf_dir)).select(F.col("kernel").alias("k"), "s", "x"), "x", digits=4)
+
+
+@query("SELECT k, s, round(d / c, 4) + 0.0 AS d FROM forms JOIN scales USING (k)", _SETS)
+def multi_block_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, s, d): the diagonals of the same kernels."""
+    g, st, _ = _system(spark, sf_dir)
+    w = sets(spark, sf_dir)
+    return rounded(kernels.diagonals(g, st, w, kernels.trace_scales(g, st, w, pheno(spark, sf_dir).count())).select(F.col("kernel").alias("k"), "s", "d"), "d", digits=4)
+
+
+@query("SELECT k, sum(r)::DOUBLE AS c FROM (SELECT k, block, (1 + count(DISTINCT i)) / 2.0 AS r FROM sets GROUP BY k, block) GROUP BY k", _SETS)
+def block_rank_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, c): the same kernels' scales from stored effective ranks, here halfway between 1 and each block's width."""
+    w = sets(spark, sf_dir)
+    return kernels.rank_scales(w, kernels.widths(w).select("kernel", "block", ((1 + F.col("width")) / 2).alias("rank"))).select(F.col("kernel").alias("k"), "c")
+
+
 @query("SELECT i AS v, round(sum(w * b) * 0.5 / 40.0::DOUBLE, 4) + 0.0 AS b FROM blocks JOIN zty ON j = v GROUP BY i", f"{_ZTY}, {_BLOCKS}")
 def block_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linops.block_effects(*made(spark, sf_dir), blocks(spark, sf_dir), 40.0, 0.5, vector(spark, sf_dir)), "b", digits=4).select("v", "b")
@@ -620,3 +663,24 @@ def certified_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = linops.zt(g, st, vector(spark, sf_dir)).agg(F.max(F.abs("b")).alias("top")).first().top
     lams = np.array([r.lam for r in selection.lambda_grid(spark, top, 0.2, 12).orderBy("path").collect()])
     return sparse.certified_path(g, st, y, lams, first=20, block=6)[0]
+
+
+@query("SELECT CAST(path AS BIGINT) AS path, s, round(y, 3) + 0.0 AS y FROM yy CROSS JOIN range(4) t(path)")
+def path_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, s, y): at four sparse means, the first one empty, prediction and 0.5 alpha add up to the response, whatever the mean."""
+    g, st, comps = _system(spark, sf_dir)
+    y = written(response(spark, sf_dir), "response")
+    q = written(gwas.basis(y, []), "basis")
+    theta = np.array([0.1, 0.2, 0.3, 0.5])
+
+    def hv(at: np.ndarray, t: DataFrame) -> DataFrame:
+        own = F.broadcast(spark.createDataFrame([(c, float(v)) for c, v in enumerate(at[:-1])], "comp int, theta double"))  # a row per component
+        return linops.h(g, st, comps, own, float(at[-1]), t)
+
+    points = spark.createDataFrame([(p,) for p in range(4)], "path long")
+    betas = written(effects(spark, sf_dir).crossJoin(F.broadcast(points)).where("path > 0 and v % (8 - path) = 0").select("path", "v", (F.col("b") / 10).alias("b")), "betas")  # four points
+    duals = branches.path_duals(solvers.Solutions(hv, tol=1e-9), theta, g, st, points, betas, y, q)
+    back = written(branches.background_effects(g, st, comps, theta, duals["alpha"]), "background")
+    got = branches.predicted_path(g, st, points, betas, back, duals["fixed"], q, y)
+    whole = got.join(duals["alpha"].select("s", F.col("r").alias("path"), "x"), ["s", "path"]).select("path", "s", (F.col("total") + 0.5 * F.col("x")).alias("y"))
+    return rounded(whole, "y", digits=3)
