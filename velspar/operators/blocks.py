@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velspar.operators import linops
+from velspar.operators.narrow import Rows
 from velspar.operators.stats import standardised
 
 
@@ -42,8 +43,10 @@ def rank_scales(entries: DataFrame, stored: DataFrame) -> DataFrame:
     return both.groupBy("kernel").agg(F.sum("rank").cast("double").alias("c"))
 
 
-def forms(geno: DataFrame, stats: DataFrame, entries: DataFrame) -> DataFrame:
+def forms(geno: DataFrame | Rows, stats: DataFrame, entries: DataFrame) -> DataFrame:
     """(s, kernel, d): z_s' W_k z_s, the diagonals of the kernels before scaling. A call meets the entries of its own blocks only, and sums per sample and variant come before the second join."""
+    if isinstance(geno, Rows):
+        return geno.forms(stats, entries)
     z = standardised(linops.calls(geno), stats)
     own = z.withColumnRenamed("v", "j").join(entries, "j").groupBy("s", "kernel", F.col("i").alias("v")).agg(F.sum(F.col("w") * F.col("z")).alias("wz"))
     return own.join(z, ["s", "v"]).groupBy("s", "kernel").agg(F.sum(F.col("z") * F.col("wz")).alias("d"))

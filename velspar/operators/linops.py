@@ -2,7 +2,7 @@
 
 Vectors are tables: over samples (s, r, x), over variants (v, r, b); r numbers the right-hand sides of one scan. Centring
 needs no dense work: Z'x of a variant is inv (sum of g x - mean sum of x) over its calls, so statistics meet sums, not calls.
-geno is the long table (s, v, g) or, for large ones, packed Tiles, which multiply without a row per call.
+geno is the long table (s, v, g) or, for large ones, packed Tiles, which multiply without a row per call, or Rows where variants are few.
 """
 
 from __future__ import annotations
@@ -10,26 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velspar.operators.narrow import Rows
 from velspar.operators.tiles import Tiles
 
 
-def calls(geno: DataFrame | Tiles) -> DataFrame:
-    if isinstance(geno, Tiles):
+def calls(geno: DataFrame | Tiles | Rows) -> DataFrame:
+    if isinstance(geno, Tiles | Rows):
         return geno.calls()
     return geno.where("g is not null").select("s", "v", "g")
 
 
-def zt(geno: DataFrame | Tiles, stats: DataFrame, x: DataFrame) -> DataFrame:
+def zt(geno: DataFrame | Tiles | Rows, stats: DataFrame, x: DataFrame) -> DataFrame:
     """(v, r, b) = Z'x for x (s, r, x). Partial sums per variant and task come before the shuffle."""
-    if isinstance(geno, Tiles):
+    if isinstance(geno, Tiles | Rows):
         return geno.zt(stats, x)
     sums = calls(geno).join(x, "s").groupBy("v", "r").agg(F.sum(F.col("g") * F.col("x")).alias("gx"), F.sum("x").alias("sx"))
     return sums.join(stats.select("v", "mean", "inv"), "v").select("v", "r", (F.col("inv") * (F.col("gx") - F.col("mean") * F.col("sx"))).alias("b"))
 
 
-def z(geno: DataFrame | Tiles, stats: DataFrame, b: DataFrame, keep: tuple[str, ...] = ("r",)) -> DataFrame:
+def z(geno: DataFrame | Tiles | Rows, stats: DataFrame, b: DataFrame, keep: tuple[str, ...] = ("r",)) -> DataFrame:
     """(s, *keep, x) = Z b for b (v, *keep, b): scores of samples; keep may name a component or a path place beside r."""
-    if isinstance(geno, Tiles):
+    if isinstance(geno, Tiles | Rows):
         return geno.z(stats, b, keep)
     scaled = b.join(stats.select("v", "mean", "inv"), "v").select("v", *keep, (F.col("inv") * F.col("b")).alias("w"), (F.col("mean") * F.col("inv") * F.col("b")).alias("c"))
     return calls(geno).join(scaled, "v").groupBy("s", *keep).agg(F.sum(F.col("g") * F.col("w") - F.col("c")).alias("x"))

@@ -137,15 +137,15 @@ def probes(samples: DataFrame, count: int, seed: int = 1) -> DataFrame:
     return rows.select("s", F.col("r").cast("long").alias("r"), F.when(F.pmod(F.xxhash64("s", "r", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("x"))
 
 
-def lanczos(product: Operator, samples: DataFrame, n: int, count: int = 8, steps: int = 10, seed: int = 1, parts: Callable[[DataFrame], DataFrame] | None = None, size: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+def lanczos(product: Operator, samples: DataFrame, n: int, count: int = 8, steps: int = 10, seed: int = 1, parts: Callable[[DataFrame], DataFrame] | None = None, size: int = 0, start: DataFrame | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each of `count` probes its tridiagonal matrix T (k, k) and dT (size, k, k), the exact derivatives of T by the coefficients of the product's components.
 
     parts(x) is (s, comp, r, x), all K_comp x for comp from 0 to size - 1. A row holds a probe's vector and its derivatives as one array, so that
-    one scan serves all probes and components. A probe whose space is exhausted ends there.
+    one scan serves all probes and components. A probe whose space is exhausted ends there. start (s, r, x) are the probes where they aren't made here, of squared length n and numbered from 0.
     """
     spark = samples.sparkSession
     q, wide = F.col("q"), range(size + 1)
-    state = probes(samples, count, seed).select("s", F.col("r").alias("p"), F.array(F.col("x") / n**0.5, *[F.lit(0.0)] * size).alias("q"), F.array(*[F.lit(0.0)] * (size + 1)).alias("o"))
+    state = (probes(samples, count, seed) if start is None else start).select("s", F.col("r").alias("p"), F.array(F.col("x") / n**0.5, *[F.lit(0.0)] * size).alias("q"), F.array(*[F.lit(0.0)] * (size + 1)).alias("o"))
     state = written(state, "lanczos")
     alphas, betas = {p: [] for p in range(count)}, {p: [] for p in range(count)}
     none = [0.0] * (size + 1)
@@ -196,18 +196,18 @@ def quadrature(t: np.ndarray, slopes: np.ndarray) -> tuple[float, np.ndarray]:
     return float(first**2 @ np.log(values)), np.array([first @ (divided * (vectors.T @ s @ vectors)) @ first for s in slopes])
 
 
-def logdet(product: Operator, samples: DataFrame, n: int, count: int = 8, steps: int = 10, seed: int = 1) -> tuple[float, float]:
+def logdet(product: Operator, samples: DataFrame, n: int, count: int = 8, steps: int = 10, seed: int = 1, start: DataFrame | None = None) -> tuple[float, float]:
     """(estimate, standard error) of log|H|: Lanczos on probes gives small tridiagonal matrices whose eigenvalues are a quadrature of the logarithm."""
-    each = [n * quadrature(t, d)[0] for t, d in lanczos(product, samples, n, count, steps, seed)]
+    each = [n * quadrature(t, d)[0] for t, d in lanczos(product, samples, n, count, steps, seed, start=start)]
     return float(np.mean(each)), float(np.std(each, ddof=1) / len(each) ** 0.5) if len(each) > 1 else float("nan")
 
 
-def logdet_slopes(product: Operator, parts: Callable[[DataFrame], DataFrame], size: int, samples: DataFrame, n: int, count: int = 8, steps: int = 10, seed: int = 1) -> tuple[float, np.ndarray]:
+def logdet_slopes(product: Operator, parts: Callable[[DataFrame], DataFrame], size: int, samples: DataFrame, n: int, count: int = 8, steps: int = 10, seed: int = 1, start: DataFrame | None = None) -> tuple[float, np.ndarray]:
     """(log|H|, its gradient by the coefficients of the components): the exact gradient of the estimate that logdet makes from the same probes.
 
     parts(x) is (s, comp, r, x), all K_comp x for comp from 0 to size - 1, the identity included if the residual is one of them.
     """
-    got = [quadrature(t, d) for t, d in lanczos(product, samples, n, count, steps, seed, parts, size)]
+    got = [quadrature(t, d) for t, d in lanczos(product, samples, n, count, steps, seed, parts, size, start)]
     return n * float(np.mean([v for v, _ in got])), n * np.mean([g for _, g in got], axis=0)
 
 
@@ -291,6 +291,7 @@ class Solutions:
 def fit_reml(
     hv: Callable[[np.ndarray, DataFrame], DataFrame], parts: Callable[[DataFrame], DataFrame], response: DataFrame, q: DataFrame, samples: DataFrame, theta: np.ndarray, traces: int = 4, rounds: int = 20,
     tol: float = 1e-3, floor: float = 1e-2, correction: Callable[[Operator], dict] | None = None, quadrature_of: tuple[int, int] = (4, 8), halvings: int = 6,
+    start: DataFrame | None = None, n: int | None = None,
 ) -> tuple[np.ndarray, list[dict]]:
     """(theta, history): variance components, genetic ones first and the residual last, by average-information scoring guarded by the likelihood.
 
@@ -303,12 +304,16 @@ def fit_reml(
     the step proposed there, objective, halvings taken and kkt: the largest score of a free component, or of one at its bound that pulls inwards, in standard deviations.
     correction(project) is what tr(P K) is too large by, per component (-1: the residual), with project(b) = P b at the present theta; the objective
     doesn't know it, so the guard is off then.
+
+    Tables may be in coordinates (narrow.Span): start (s, r, x) are then the first `traces` probes in them and n the samples' number, and both traces and likelihood take these.
     """
     g = len(theta) - 1
-    n = samples.count()
+    if start is not None:
+        quadrature_of = traces, quadrature_of[1]
+    n = samples.count() if n is None else n
     qs = written(q.select("s", F.col("r").cast("long").alias("r"), "x"), "reml-covariates")
     ranks = sorted(r.r for r in qs.select("r").distinct().collect())
-    u = written(probes(samples, traces), "reml-probes")
+    u = written(probes(samples, traces) if start is None else start, "reml-probes")
     rhs = written(sided(response.select("s", F.lit(0).alias("r"), F.col("y").cast("double").alias("x")), RESPONSE).unionByName(sided(qs, COVARIATE)).unionByName(sided(u, PROBE)), "reml-rhs")
     solutions = Solutions(hv)
 
@@ -333,7 +338,7 @@ def fit_reml(
         p, gram = projected("whole", at, rhs)
         fit = sum(dots(of_kind(p, RESPONSE), of_kind(rhs, RESPONSE)).values())
         inside = float(np.linalg.slogdet(gram)[1]) if ranks else 0.0
-        whole = logdet(lambda t: hv(at, t), samples, n, *quadrature_of)[0] if correction is None else 0.0
+        whole = logdet(lambda t: hv(at, t), samples, n, *quadrature_of, start=start)[0] if correction is None else 0.0
         return -0.5 * (whole + inside + fit), p
 
     def beside(b: DataFrame) -> DataFrame:

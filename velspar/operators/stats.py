@@ -18,8 +18,13 @@ def inverse_sd(cnt: Column, s1: Column, s2: Column) -> Column:
 def variant_stats(geno: DataFrame) -> DataFrame:
     """(v, cnt, s1, s2, mean, inv): the calls of each variant; one shuffle of three integers per variant and task."""
     got = geno.groupBy("v").agg(F.count("g").alias("cnt"), F.coalesce(F.sum("g"), F.lit(0)).alias("s1"), F.coalesce(F.sum(F.col("g") * F.col("g")), F.lit(0)).alias("s2"))
+    return with_moments(got)
+
+
+def with_moments(sums: DataFrame) -> DataFrame:
+    """sums (v, cnt, s1, s2) with mean and inv."""
     mean = F.when(F.col("cnt") > 0, F.col("s1").cast("double") / F.col("cnt")).otherwise(F.lit(0.0))
-    return got.withColumn("mean", mean).withColumn("inv", inverse_sd(F.col("cnt"), F.col("s1"), F.col("s2")))
+    return sums.withColumn("mean", mean).withColumn("inv", inverse_sd(F.col("cnt"), F.col("s1"), F.col("s2")))
 
 
 def sparse_stats(entries: DataFrame, variants: DataFrame, n: int | Column) -> DataFrame:
@@ -27,9 +32,7 @@ def sparse_stats(entries: DataFrame, variants: DataFrame, n: int | Column) -> Da
     got = entries.groupBy("v").agg(F.sum(F.col("g").isNull().cast("long")).alias("m"), F.sum("g").cast("long").alias("s1"), F.sum(F.col("g") * F.col("g")).cast("long").alias("s2"))
     n = F.lit(n) if isinstance(n, int) else n
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    out = variants.select("v").join(got, "v", "left").select("v", (n - zero("m")).alias("cnt"), zero("s1").alias("s1"), zero("s2").alias("s2"))
-    mean = F.when(F.col("cnt") > 0, F.col("s1").cast("double") / F.col("cnt")).otherwise(F.lit(0.0))
-    return out.withColumn("mean", mean).withColumn("inv", inverse_sd(F.col("cnt"), F.col("s1"), F.col("s2")))
+    return with_moments(variants.select("v").join(got, "v", "left").select("v", (n - zero("m")).alias("cnt"), zero("s1").alias("s1"), zero("s2").alias("s2")))
 
 
 def trace_atoms(stats: DataFrame, components: DataFrame, n: int | Column) -> DataFrame:
